@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimtrace.plans.hot import hot_keys, join_bounded
+from claimtrace.sources.storage import written
 
 RANGES = 256
 
@@ -55,11 +56,13 @@ class OrderedGroups:
                 .agg(F.percentile_approx(first, at, 10 * RANGES).alias("__cuts"))
             )
             below = F.size(F.filter("__cuts", lambda cut: cut < F.col(first)))
-            self._df = (
+            ranged = (
                 join_bounded(df, cuts, self.keys, "left")
                 .withColumn(_PART, F.when(F.col("__cuts").isNull(), 0).otherwise(1 + below))
                 .drop("__cuts")
             )
+            # read again for what the ranges carry over, so it is computed only once
+            self._df = written(ranged, "ranges")
 
     def running_sum(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the sum of ``column`` from the start of the group to this row."""

@@ -1,6 +1,6 @@
 """Readers, writers and the role tables of the payment-integrity model."""
 
-from claimtrace.sources.storage import read_rows, scratch_path, stream_rows, write_rows
+from claimtrace.sources.storage import read_rows, scratch_path, stream_rows, write_rows, written
 from claimtrace.sources.tables import (
     LINE_KEY,
     SCHEMAS,
@@ -31,4 +31,5 @@ __all__ = [
     "stream_rows",
     "table",
     "write_rows",
+    "written",
 ]

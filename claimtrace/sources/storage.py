@@ -52,3 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="claimtrace-")
         spark.conf.set(SHARED_DIR_CONF, shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For a result that several later steps read: it is computed once, its plan ends
+    here, and the files outlive the executors that wrote them.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
