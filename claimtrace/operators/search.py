@@ -19,7 +19,7 @@ FUSION = 60
 
 
 class Index(NamedTuple):
-    """Postings (term, doc_id, tf, length), lengths (doc_id, length) and terms (term, df)."""
+    """Postings (doc_id, term, length, tf), lengths (doc_id, length) and terms (term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -37,11 +37,11 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def build_postings(docs: DataFrame) -> Index:
-    """The index of ``docs``; a document without tokens has no length row."""
-    words = tokenised(docs).where(F.size("tokens") > 0)
+    """The index of ``docs``."""
+    words = tokenised(docs)
     length = F.size("tokens").alias("length")
     postings = (
-        words.select("doc_id", length, F.explode("tokens").alias("term"))
+        _exploded(words.select("doc_id", length, "tokens"), F.col("tokens"))
         .groupBy("doc_id", "term", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -83,8 +83,9 @@ def bm25_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """
     wanted = _query_terms(queries)
     df = _document_frequency(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
-    n = index.lengths.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mean = index.lengths.agg(F.avg("length").alias("mean")).scalar()
+    # documents without tokens do not count
+    n = index.lengths.agg(F.count_if(F.col("length") > 0).alias("n")).scalar()
+    mean = index.lengths.agg(F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
@@ -130,9 +131,9 @@ def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     are looked at. Positions count from 0.
     """
     words = tokenised(docs)
-    present = words.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    present = _exploded(words, F.array_distinct("tokens"))
     sought = phrases.select("query_id", tokens("text").alias("phrase")).where(F.size("phrase") > 0)
-    terms = sought.select("query_id", F.explode(F.array_distinct("phrase")).alias("term"))
+    terms = _exploded(sought, F.array_distinct("phrase")).drop("phrase")
     df = _document_frequency(present.join(terms.select("term").distinct(), "term", "left_semi"))
     rarest = (
         terms.join(df, "term", "left")
@@ -264,7 +265,16 @@ def _document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    return _exploded(queries.select("query_id", tokens("text").alias("tokens")), F.array_distinct("tokens"))
+
+
+def _exploded(rows: DataFrame, words: Column) -> DataFrame:
+    """One row per word instead of the array ``tokens``.
+
+    The outer form with a filter after it: for the inner form Spark would first filter on
+    the size of the array and so tokenise every text once more.
+    """
+    return rows.withColumn("term", F.explode_outer(words)).where(F.col("term").isNotNull()).drop("tokens")
 
 
 def _spaced(words: str) -> Column:

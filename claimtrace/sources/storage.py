@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -49,11 +50,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="claimtrace-")
-        spark.conf.set(SHARED_DIR_CONF, shared)
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="claimtrace-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
