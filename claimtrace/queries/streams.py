@@ -30,6 +30,10 @@ def _settings(settings):
     return wrap
 
 
+def _events(spark, path):
+    return stream_events(spark, path, "events.parquet")
+
+
 def _plain(df):
     """Times without zone, and money as doubles, as in the batch queries."""
     return df.withColumns(
@@ -45,14 +49,14 @@ def _plain(df):
 def stream_alerts(spark, path):
     x = F.col("amount").cast("double")
     baseline = case_events(spark, path).groupBy("case_id").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("dev"))
-    alerted = alerts.stream_alerts(stream_events(spark, path), baseline, ["case_id"], "amount", 2.0, salts=2)
+    alerted = alerts.stream_alerts(_events(spark, path), baseline, ["case_id"], "amount", 2.0, salts=2)
     return _plain(run_to_table(alerted.drop("props"), "alerts"))
 
 
 @_settings(ROCKSDB)
 def stream_case_state(spark, path):
     """The latest row of the log per case."""
-    log = run_to_table(cases.stream_case_state(stream_events(spark, path), DELAY, STALE), "case-state")
+    log = run_to_table(cases.stream_case_state(_events(spark, path), DELAY, STALE), "case-state")
     latest = F.struct(*[c for c in log.columns if c != "case_id"])
     current = log.groupBy("case_id").agg(F.max_by(latest, F.struct("observed_at", "stale")).alias("row"))
     return _plain(current.select("case_id", "row.state", "row.since", "row.n_events", "row.amount_cents", "row.stale"))
@@ -60,25 +64,25 @@ def stream_case_state(spark, path):
 
 @_settings(LOCAL_SESSIONS)
 def stream_build_cases(spark, path):
-    return _plain(run_to_table(cases.stream_build_cases(stream_events(spark, path), "6 hours", DELAY), "cases"))
+    return _plain(run_to_table(cases.stream_build_cases(_events(spark, path), "6 hours", DELAY), "cases"))
 
 
 @_settings({})
 def stream_event_counts(spark, path):
-    counts = cases.stream_event_counts(stream_events(spark, path), ["state"], "1 day", DELAY)
+    counts = cases.stream_event_counts(_events(spark, path), ["state"], "1 day", DELAY)
     return _plain(run_to_table(counts, "event-counts"))
 
 
 @_settings({})
 def stream_event_counts_sliding(spark, path):
-    counts = cases.stream_event_counts(stream_events(spark, path), ["state"], "1 day", DELAY, "6 hours")
+    counts = cases.stream_event_counts(_events(spark, path), ["state"], "1 day", DELAY, "6 hours")
     return _plain(run_to_table(counts, "event-counts-sliding"))
 
 
 @_settings({})
 def stream_dedup(spark, path):
     """Every event is delivered twice."""
-    delivered = stream_events(spark, path).union(stream_events(spark, path))
+    delivered = _events(spark, path).union(_events(spark, path))
     unique = cases.stream_dedup(delivered, ["event_id"], "2 days", salts=4)
     return _plain(run_to_table(unique.drop("props"), "unique-events"))
 
@@ -86,7 +90,7 @@ def stream_dedup(spark, path):
 @_settings({})
 def stream_recovery_match(spark, path):
     matched = recovery.stream_recovery_match(
-        obligations(stream_events(spark, path)), recoveries(stream_events(spark, path)), 2, DELAY
+        obligations(_events(spark, path)), recoveries(_events(spark, path)), 2, DELAY
     )
     return _plain(run_to_table(matched, "recovery-match"))
 
@@ -96,7 +100,7 @@ def stream_ledger_upsert(spark, path):
     """Every entry is delivered twice."""
 
     def entries():
-        events = stream_events(spark, path)
+        events = _events(spark, path)
         signed = F.when(F.col("state") == "error", F.col("amount")).otherwise(-F.col("amount"))
         return events.where(F.col("state").isin("error", "purchase")).select(
             F.col("case_id").alias("party"), F.col("event_id").alias("entry_id"), "ts",

@@ -4,6 +4,7 @@ from claimtrace.sources.storage import read_rows, scratch_path, stream_rows, wri
 from claimtrace.sources.tables import (
     LINE_KEY,
     SCHEMAS,
+    as_case_events,
     case_events,
     claim_lines,
     document_vectors,
@@ -18,6 +19,7 @@ from claimtrace.sources.tables import (
 __all__ = [
     "LINE_KEY",
     "SCHEMAS",
+    "as_case_events",
     "case_events",
     "claim_lines",
     "document_vectors",

@@ -53,22 +53,21 @@ def claim_lines(spark: SparkSession, path: str, member: bool = False) -> DataFra
 
 
 def case_events(spark: SparkSession, path: str) -> DataFrame:
-    return _as_case_events(table(spark, path, "events"))
+    return as_case_events(table(spark, path, "events"))
 
 
-def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_events(
+    spark: SparkSession, path: str, files: str = "*.parquet", files_per_trigger: int | None = None
+) -> DataFrame:
     """Case events as a stream; watermarks need ``timestamp``, so the time is cast."""
     events = stream_rows(
-        spark,
-        path,
-        SCHEMAS["events"],
-        files_per_trigger=files_per_trigger,
-        pathGlobFilter="events*.parquet",
+        spark, path, SCHEMAS["events"], files_per_trigger=files_per_trigger, pathGlobFilter=files
     )
-    return _as_case_events(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    return as_case_events(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _as_case_events(events: DataFrame) -> DataFrame:
+def as_case_events(events: DataFrame) -> DataFrame:
+    """The columns of a case event, from the events table."""
     return events.select(
         F.col("user_id").alias("case_id"),
         "event_id",

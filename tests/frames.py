@@ -28,5 +28,10 @@ def events(spark, rows) -> DataFrame:
     )
 
 
-def tuples(df: DataFrame, *columns: str) -> list[tuple]:
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+def ordered(rows) -> list[tuple]:
+    """Rows in order, nulls first."""
+    return sorted(rows, key=lambda row: [(v is not None, v) if v is not None else (False,) for v in row])
+
+
+def tuples(df: DataFrame, *columns) -> list[tuple]:
+    return ordered(tuple(r) for r in df.select(*columns).collect())
