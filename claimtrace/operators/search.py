@@ -195,28 +195,35 @@ def hybrid_topk(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:
 
 
 def search_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, width: int) -> DataFrame:
-    """The tokens around the first query term in each hit, ``width`` on either side."""
+    """The tokens around the first query term in each hit, ``width`` on either side.
+
+    ``position`` and ``snippet`` are null for a hit without a query term.
+    """
     asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("__terms"))
-    words = docs.select("doc_id", tokens("text").alias("__tokens"))
-    found = hits.join(asked, "query_id").join(words, "doc_id")
-    shared = F.array_intersect("__tokens", "__terms")
-    first = F.array_min(F.transform(shared, lambda t: F.array_position("__tokens", t)))
+    # joined before it is tokenised: only texts that were hit are
+    found = (
+        hits.join(asked, "query_id")
+        .join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id")
+        .withColumn("__tokens", tokens("__text"))
+    )
+    # the intersection keeps the order of the text
+    earliest = F.get(F.array_intersect("__tokens", "__terms"), F.lit(0))
     begin = F.greatest(F.col("__first") - width, F.lit(1))
     cut = F.slice("__tokens", begin.cast("int"), (F.col("__first") + width - begin + 1).cast("int"))
     return (
-        found.withColumn("__first", first)
-        .where(F.col("__first").isNotNull())
+        found.withColumn("__first", F.array_position("__tokens", earliest))
         .withColumn("position", (F.col("__first") - 1).cast("int"))
         .withColumn("snippet", F.array_join(cut, " "))
-        .drop("__terms", "__tokens", "__first")
+        .drop("__terms", "__tokens", "__text", "__first")
     )
 
 
 def collapse_duplicates(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """One hit per query and identical text: the one of best rank."""
-    texts = docs.select("doc_id", F.sha2("text", 256).alias("__hash"))
+    texts = docs.select("doc_id", F.col("text").alias("__text"))
+    hashed = hits.join(texts, "doc_id").withColumn("__hash", F.sha2("__text", 256)).drop("__text")
     order = [F.col("rank"), F.col("doc_id")]
-    return top_k(hits.join(texts, "doc_id"), ["query_id", "__hash"], order, 1, "__best").drop("__hash", "__best")
+    return top_k(hashed, ["query_id", "__hash"], order, 1, "__best").drop("__hash", "__best")
 
 
 def search_facets(hits: DataFrame, docs: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,16 +1,18 @@
 """Which groups are too large for one task.
 
-A group is *hot* when it holds more than ``HOT_ROWS`` rows and more than one part
-in ``MAX_HOT`` of all rows. By the second condition there are fewer than ``MAX_HOT``
-hot groups whatever the size of the data, so their keys may be fetched and broadcast.
-Every other group is small enough for one sort or one window.
+The *hot* groups are the largest ``MAX_HOT`` of those with more than ``HOT_ROWS`` rows.
+Their number is fixed, so their keys may be fetched and broadcast whatever the size of
+the data. Any other group has at most ``HOT_ROWS`` rows or one part in ``MAX_HOT`` of all
+rows, which one sort or one window can take.
 
 Group sizes are estimated from a fixed share of the rows. Only the choice of plan
 depends on the estimate: both plans give the same, whole result for any group.
 """
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
@@ -25,8 +27,8 @@ SAMPLE_CONF = "claimtrace.hotSample"
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys of the hot groups, or None if there are none; runs one counting job.
 
-    ``__salts`` tells how many ordinary groups a hot one is worth. The salts of all hot
-    groups add up to fewer than ``2 * MAX_HOT``.
+    ``__salts`` is the number of tasks a hot group should be spread over, in proportion
+    to its size. The salts of all hot groups add up to at most ``2 * MAX_HOT``.
     """
     spark = df.sparkSession
     sample = float(spark.conf.get(SAMPLE_CONF, str(SAMPLE)))
@@ -34,14 +36,22 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     seen = df.select(*keys)
     if sample < 1:
         seen = seen.sample(sample, seed=1)
-    counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    share = counts.agg((F.sum("__n") / MAX_HOT).alias("share")).scalar()
-    limit = F.greatest(F.lit(at_least), share)
-    hot = counts.where(F.col("__n") > limit).select(
-        *keys, F.ceil(F.col("__n") / limit).cast("int").alias("__salts")
+    largest = (
+        seen.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > at_least)
+        .orderBy(F.col("__n").desc())
+        .limit(MAX_HOT)
+        .toArrow()
     )
-    found = hot.toArrow()
-    return spark.createDataFrame(found, hot.schema) if found.num_rows else None
+    if not largest.num_rows:
+        return None
+    sizes = largest.column("__n").to_pylist()
+    one_task = max(at_least, sum(sizes) / MAX_HOT)
+    salts = pa.array([math.ceil(n / one_task) for n in sizes], pa.int32())
+    table = largest.select(list(keys)).append_column("__salts", salts)
+    schema = seen.select(*keys, F.lit(0).alias("__salts")).schema
+    return spark.createDataFrame(table, schema)
 
 
 def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

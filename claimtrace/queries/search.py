@@ -75,8 +75,17 @@ def search_facets(spark, path):
 
 
 def retrieval_eval(spark, path):
+    """A document is a true hit if it contains the passage word for word."""
     docs, queries = documents(spark, path), search_queries(spark, path)
-    return search.retrieval_eval(_bm25(spark, path), search.phrase_search(docs, queries), TOP)
+    passages = queries.select("query_id", F.col("text").alias("passage"))
+    truth = (
+        search.phrase_search(docs, queries)
+        .join(docs.select("doc_id", "text"), "doc_id")
+        .join(passages, "query_id")
+        .where(F.contains("text", "passage"))
+        .select("query_id", "doc_id")
+    )
+    return search.retrieval_eval(_bm25(spark, path), truth, TOP)
 
 
 def update_postings(spark, path):
