@@ -193,13 +193,13 @@ def risk_score(
     """The ``k`` highest-scoring lines per provider; a rule counts once per line."""
     hits = None
     for rule, flags in flag_sets.items():
-        part = flags.select(*key, F.lit(rule).alias("rule"), F.lit(float(weights[rule])).alias("weight"))
+        part = flags.select(*key, F.lit(rule).alias("rule"))
         hits = part if hits is None else hits.unionByName(part)
-    scores = (
-        hits.groupBy(*key, "rule")
-        .agg(F.max("weight").alias("weight"))
-        .groupBy(*key)
-        .agg(F.round(F.sum("weight"), 4).alias("score"), F.count(F.lit(1)).alias("n_rules"))
+    hit = {rule: F.count_if(F.col("rule") == rule) > 0 for rule in flag_sets}
+    score = sum(F.when(found, float(weights[rule])).otherwise(0.0) for rule, found in hit.items())
+    n_rules = sum(found.cast("int") for found in hit.values())
+    scores = hits.groupBy(*key).agg(
+        F.round(score, 4).alias("score"), n_rules.cast("bigint").alias("n_rules")
     )
     order: list[Column] = [F.col("score").desc(), *[F.col(c) for c in key]]
     return top_k(scores, [provider], order, k)

@@ -4,16 +4,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimtrace.plans.hot import hot_keys, join_bounded
+from claimtrace.plans.hot import MAX_HOT_STATS, hot_keys, join_bounded
 from claimtrace.plans.ordered import OrderedGroups
 
 
 def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ordinary groups, and the rows of hot groups if there are any."""
-    hot = hot_keys(df, keys)
+    hot = hot_keys(df, keys, MAX_HOT_STATS)
     if hot is None:
         return df, None
-    hot = hot.drop("__salts")
+    hot = hot.select(*keys)
     return join_bounded(df, hot, keys, "left_anti"), join_bounded(df, hot, keys, "left_semi")
 
 
@@ -95,7 +95,9 @@ def salted_join(
     to columns of both sides.
     """
     hot = hot_keys(left, on)
-    if hot is None:
+    if hot is not None:
+        hot = hot.drop("__rows")
+    else:
         renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
         match = [left[c] == renamed[f"__r_{c}"] for c in on]
         if condition is not None:

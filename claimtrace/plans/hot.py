@@ -19,16 +19,20 @@ HOT_ROWS = 1_000_000
 MAX_HOT = 1_000
 SAMPLE = 0.01
 
+# where only a few numbers per hot group are broadcast, many more groups may be hot
+MAX_HOT_STATS = 100_000
+
 # session settings that override the first and the last of these
 HOT_ROWS_CONF = "claimtrace.hotRows"
 SAMPLE_CONF = "claimtrace.hotSample"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], at_most: int = MAX_HOT) -> DataFrame | None:
     """Keys of the hot groups, or None if there are none; runs one counting job.
 
-    ``__salts`` is the number of tasks a hot group should be spread over, in proportion
-    to its size. The salts of all hot groups add up to at most ``2 * MAX_HOT``.
+    ``__rows`` is the estimated size of a group. ``__salts`` is the number of tasks it
+    should be spread over, in proportion to its size; all salts add up to at most
+    ``2 * at_most``.
     """
     spark = df.sparkSession
     sample = float(spark.conf.get(SAMPLE_CONF, str(SAMPLE)))
@@ -41,16 +45,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > at_least)
         .orderBy(F.col("__n").desc())
-        .limit(MAX_HOT)
+        .limit(at_most)
         .toArrow()
     )
     if not largest.num_rows:
         return None
     sizes = largest.column("__n").to_pylist()
-    one_task = max(at_least, sum(sizes) / MAX_HOT)
+    one_task = max(at_least, sum(sizes) / at_most)
     salts = pa.array([math.ceil(n / one_task) for n in sizes], pa.int32())
-    table = largest.select(list(keys)).append_column("__salts", salts)
-    schema = seen.select(*keys, F.lit(0).alias("__salts")).schema
+    rows = pa.array([n / sample for n in sizes], pa.float64())
+    table = largest.select(list(keys)).append_column("__rows", rows).append_column("__salts", salts)
+    schema = seen.select(*keys, F.lit(0.0).alias("__rows"), F.lit(0).alias("__salts")).schema
     return spark.createDataFrame(table, schema)
 
 

@@ -1,68 +1,58 @@
 """Row-order functions (running sums, previous and next rows) over groups of any size.
 
-An ordinary group is one window partition. A hot group is cut, at approximate
-quantiles of its first order column, into consecutive ranges that are window
-partitions of their own; what earlier ranges contribute to a later one is carried
-over in a table of at most ``MAX_HOT * RANGES`` rows. The result is the same as that
-of one window per group. Rows that are equal in the first order column stay together.
+An ordinary group is one window partition. A hot group is cut into consecutive ranges of
+its order, at points found in a sample of its rows, and each range is a window partition
+of its own; what earlier ranges contribute to a later one is carried over in a table of
+at most ``MAX_HOT * RANGES`` rows. The result is the same as that of one window per group.
 """
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from claimtrace.plans.hot import hot_keys, join_bounded
 from claimtrace.sources.storage import written
 
 RANGES = 256
+SAMPLED_PER_RANGE = 20
 
-_PART = "__part"
+_RANGE = "__range"
+_OUT_OF = 1_000_000_000
 
 
 @dataclass(frozen=True)
 class _Step:
-    """One added column: its value within a range, and how other ranges change it."""
+    """One added column: its value in a window, and how other ranges change it."""
 
     name: str
-    within: Column
+    in_window: Callable[[WindowSpec], Column]
     per_range: Column
     over_ranges: Callable[[Column], Column]
-    backward: bool
-    combined: Callable[[Column, Column], Column]
+    combined: Callable[[Column, Column, WindowSpec], Column]
+    looks_ahead: bool = False
+    reads_backward: bool = False
 
 
 class OrderedGroups:
     """Rows grouped by ``keys`` and ordered by ``order`` (ascending, nulls first).
 
-    ``order`` should end in a column that makes it unique within a group; its first
-    column is a number, date or timestamp. Methods note columns to add and return self;
-    a column may be built on earlier ones only after ``with_column``.
+    ``order`` should end in a column that makes it unique within a group. Methods note
+    columns to add and return self; a column may be built on earlier ones only after
+    ``with_column``.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
         self.order = list(order)
-        self._df = df
         self._steps: list[_Step] = []
+        self._columns = df.columns
         hot = hot_keys(df, self.keys)
-        self._cut = hot is not None
-        if self._cut:
-            first = self.order[0]
-            at = [i / RANGES for i in range(1, RANGES)]
-            cuts = (
-                join_bounded(df, hot, self.keys, "left_semi")
-                .groupBy(*self.keys)
-                .agg(F.percentile_approx(first, at, 10 * RANGES).alias("__cuts"))
-            )
-            below = F.size(F.filter("__cuts", lambda cut: cut < F.col(first)))
-            ranged = (
-                join_bounded(df, cuts, self.keys, "left")
-                .withColumn(_PART, F.when(F.col("__cuts").isNull(), 0).otherwise(1 + below))
-                .drop("__cuts")
-            )
+        self._whole, self._ranged = df, None
+        if hot is not None:
+            self._whole = join_bounded(df, hot.select(*self.keys), self.keys, "left_anti")
             # read again for what the ranges carry over, so it is computed only once
-            self._df = written(ranged, "ranges")
+            self._ranged = written(self._in_ranges(df, hot), "ranges")
 
     def running_sum(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the sum of ``column`` from the start of the group to this row."""
@@ -71,117 +61,145 @@ class OrderedGroups:
             self._steps.append(
                 _Step(
                     name,
-                    F.coalesce(F.sum(column).over(self._so_far()), zero),
+                    lambda rows, c=column: F.coalesce(F.sum(c).over(_so_far(rows)), zero),
                     F.sum(column),
                     F.sum,
-                    False,
-                    lambda within, carried: within + F.coalesce(carried, zero),
+                    lambda here, carried, rows: here + F.coalesce(carried, zero),
                 )
             )
         return self
 
     def previous(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the value of ``column`` in the row before, null in the first row."""
-        return self._neighbour(columns, backward=False)
+        return self._beside(columns, F.lag, F.max_by, looks_ahead=False)
 
     def following(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the value of ``column`` in the row after, null in the last row."""
-        return self._neighbour(columns, backward=True)
+        return self._beside(columns, F.lead, F.min_by, looks_ahead=True)
 
     def last_known(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the latest non-null ``column`` up to and including this row."""
-        return self._known(columns, backward=False)
+        return self._known(columns, F.max_by, looks_ahead=False)
 
     def next_known(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the earliest non-null ``column`` from this row on."""
-        return self._known(columns, backward=True)
+        return self._known(columns, F.min_by, looks_ahead=True)
 
     def with_column(self, name: str, col: Column) -> "OrderedGroups":
         """Adds the noted columns, then ``col``, which may refer to them."""
         self._add()
-        self._df = self._df.withColumn(name, col)
+        self._columns = [*self._columns, name]
+        self._whole = self._whole.withColumn(name, col)
+        if self._ranged is not None:
+            self._ranged = self._ranged.withColumn(name, col)
         return self
 
     def result(self) -> DataFrame:
         self._add()
-        return self._df.drop(_PART)
+        if self._ranged is None:
+            return self._whole
+        return self._whole.unionByName(self._ranged.drop(_RANGE))
 
-    def _neighbour(self, columns: dict[str, str], backward: bool) -> "OrderedGroups":
-        rows = self._rows()
-        beside = F.lead if backward else F.lag
-        pick = F.min_by if backward else F.max_by
-        at_edge = beside(F.lit(True)).over(rows).isNull()
+    def _beside(self, columns: dict[str, str], offset, nearest, looks_ahead: bool) -> "OrderedGroups":
         for name, column in columns.items():
             self._steps.append(
                 _Step(
                     name,
-                    beside(column).over(rows),
-                    pick(column, F.struct(*self.order)),
+                    lambda rows, c=column: offset(c).over(rows),
+                    nearest(column, F.struct(*self.order)),
                     F.last,
-                    backward,
-                    lambda within, carried: F.when(at_edge, carried).otherwise(within),
+                    lambda here, carried, rows: F.when(
+                        offset(F.lit(True)).over(rows).isNull(), carried
+                    ).otherwise(here),
+                    looks_ahead,
                 )
             )
         return self
 
-    def _known(self, columns: dict[str, str], backward: bool) -> "OrderedGroups":
-        pick = F.min_by if backward else F.max_by
+    def _known(self, columns: dict[str, str], nearest, looks_ahead: bool) -> "OrderedGroups":
         for name, column in columns.items():
             place = F.when(F.col(column).isNotNull(), F.struct(*self.order))
             self._steps.append(
                 _Step(
                     name,
-                    F.last(column, ignorenulls=True).over(self._so_far(backward)),
-                    pick(column, place),
+                    lambda rows, c=column: F.last(c, ignorenulls=True).over(_so_far(rows)),
+                    nearest(column, place),
                     lambda col: F.last(col, ignorenulls=True),
-                    backward,
-                    F.coalesce,
+                    lambda here, carried, rows: F.coalesce(here, carried),
+                    looks_ahead,
+                    # the next known value is the last one when reading from the end
+                    reads_backward=looks_ahead,
                 )
             )
         return self
 
-    def _rows(self, backward: bool = False):
-        """Row order; looking ahead means reading the rows from the end."""
-        order = [F.col(c).desc_nulls_last() if backward else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*self.keys, *([_PART] if self._cut else [])).orderBy(*order)
-
-    def _so_far(self, backward: bool = False):
-        return self._rows(backward).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def _window(self, step: _Step, *extra: str) -> WindowSpec:
+        order = [
+            F.col(c).desc_nulls_last() if step.reads_backward else F.col(c).asc_nulls_first()
+            for c in self.order
+        ]
+        return Window.partitionBy(*self.keys, *extra).orderBy(*order)
 
     def _add(self) -> None:
         steps, self._steps = self._steps, []
         if not steps:
             return
-        if not self._cut:
-            self._df = self._df.select("*", *[s.within.alias(s.name) for s in steps])
+        columns = self._columns
+        self._columns = [*columns, *[s.name for s in steps]]
+        self._whole = self._whole.select(
+            *columns, *[s.in_window(self._window(s)).alias(s.name) for s in steps]
+        )
+        if self._ranged is None:
             return
-        joined = join_bounded(self._df, self._carried(steps), [*self.keys, _PART], "left")
-        self._df = joined.select(
-            *self._df.columns,
-            *[s.combined(s.within, F.col(f"__c_{s.name}")).alias(s.name) for s in steps],
+        joined = join_bounded(self._ranged, self._carried(steps), [*self.keys, _RANGE], "left")
+        added = []
+        for s in steps:
+            rows = self._window(s, _RANGE)
+            added.append(s.combined(s.in_window(rows), F.col(f"__c_{s.name}"), rows).alias(s.name))
+        self._ranged = joined.select(*columns, _RANGE, *added)
+
+    def _in_ranges(self, df: DataFrame, hot: DataFrame) -> DataFrame:
+        """The rows of hot groups with the number of the range each falls in.
+
+        Which rows are sampled depends on their keys and order alone, about
+        ``RANGES * SAMPLED_PER_RANGE`` of them per group.
+        """
+        rows = join_bounded(df, hot.drop("__salts"), self.keys, "inner")
+        place = F.struct(*self.order)
+        chance = F.least(F.lit(1.0), RANGES * SAMPLED_PER_RANGE / F.col("__rows"))
+        drawn = F.pmod(F.xxhash64(*self.keys, *self.order), F.lit(_OUT_OF)) < chance * _OUT_OF
+        sample = (
+            rows.where(drawn).groupBy(*self.keys).agg(F.sort_array(F.collect_set(place)).alias("__sample"))
+        )
+        at = F.transform(
+            F.sequence(F.lit(1), F.lit(RANGES - 1)),
+            lambda i: F.get("__sample", F.floor(i * F.size("__sample") / RANGES).cast("int")),
+        )
+        cuts = sample.select(*self.keys, F.array_distinct(at).alias("__cuts"))
+        below = F.size(F.filter(F.col("__cuts"), lambda cut: cut < place))
+        return (
+            join_bounded(rows.drop("__rows"), cuts, self.keys, "left")
+            .withColumn(_RANGE, F.when(F.col("__cuts").isNull(), 0).otherwise(below))
+            .drop("__cuts")
         )
 
     def _carried(self, steps: list[_Step]) -> DataFrame:
         """For each range of a hot group, what the ranges before (or after) it contribute."""
-        ranges = (
-            self._df.where(F.col(_PART) > 0)
-            .groupBy(*self.keys, _PART)
-            .agg(*[s.per_range.alias(f"__p_{s.name}") for s in steps])
+        ranges = self._ranged.groupBy(*self.keys, _RANGE).agg(
+            *[s.per_range.alias(f"__p_{s.name}") for s in steps]
         )
 
-        def others(backward: bool):
-            step = F.col(_PART).desc() if backward else F.col(_PART).asc()
-            return (
-                Window.partitionBy(*self.keys)
-                .orderBy(step)
-                .rowsBetween(Window.unboundedPreceding, -1)
-            )
+        def others(s: _Step) -> WindowSpec:
+            number = F.col(_RANGE).desc() if s.looks_ahead else F.col(_RANGE).asc()
+            by_number = Window.partitionBy(*self.keys).orderBy(number)
+            return by_number.rowsBetween(Window.unboundedPreceding, -1)
 
         return ranges.select(
             *self.keys,
-            _PART,
-            *[
-                s.over_ranges(F.col(f"__p_{s.name}")).over(others(s.backward)).alias(f"__c_{s.name}")
-                for s in steps
-            ],
+            _RANGE,
+            *[s.over_ranges(F.col(f"__p_{s.name}")).over(others(s)).alias(f"__c_{s.name}") for s in steps],
         )
+
+
+def _so_far(rows: WindowSpec) -> WindowSpec:
+    return rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
