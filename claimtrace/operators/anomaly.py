@@ -162,9 +162,9 @@ def provider_peer_rank(totals: DataFrame, provider: str, peer: str, amount: str)
     """
     rows = totals.withColumn("__one", F.lit(1))
     rows = OrderedGroups(rows, [peer], [amount, provider]).running_sum(__row="__one").result()
-    rows = with_group_stats(rows, [peer], {"__n": F.count(F.lit(1))})
+    rows = with_group_stats(rows, [peer], {"__n": F.count(F.lit(1))}, totals)
     rows = with_group_stats(
-        rows, [peer, amount], {"__low": F.min("__row"), "__high": F.max("__row")}
+        rows, [peer, amount], {"__low": F.min("__row"), "__high": F.max("__row")}, totals
     )
     n, row = F.col("__n"), F.col("__row")
     size = F.floor(n / 10)

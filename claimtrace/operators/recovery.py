@@ -43,8 +43,10 @@ def fifo_allocate(obligations: DataFrame, recoveries: DataFrame) -> DataFrame:
     """
     owed = _end_points(obligations, "obligation")
     paid = _end_points(recoveries, "recovery")
+    parties = obligations.select("party").unionAll(recoveries.select("party"))
+    ends = owed.unionByName(paid, allowMissingColumns=True)
     points = (
-        OrderedGroups(owed.unionByName(paid, allowMissingColumns=True), ["party"], ["end", "kind"])
+        OrderedGroups(ends, ["party"], ["end", "kind"], sizes_from=parties)
         .previous(start="end")
         .next_known(obligation_at="obligation", recovery_at="recovery")
         .result()
@@ -68,7 +70,7 @@ def outstanding(obligations: DataFrame, recoveries: DataFrame) -> DataFrame:
     """Obligations with the part that recoveries, oldest obligation first, have not paid."""
     owed = _end_points(obligations, "obligation")
     paid = _accepted(recoveries).groupBy("party").agg(F.sum("amount").alias("paid"))
-    joined = salted_join(owed, paid, ["party"], "left")
+    joined = salted_join(owed, paid, ["party"], "left", sizes_from=obligations)
     covered = F.coalesce("paid", F.lit(0)) - (F.col("end") - F.col("amount"))
     unpaid = F.col("amount") - F.least("amount", F.greatest(covered, F.lit(0)))
     return joined.select(

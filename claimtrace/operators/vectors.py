@@ -56,8 +56,8 @@ def vector_topk_lsh(
 
     A bucket is the signs of ``bits`` random projections (Charikar, 2002); there are
     ``tables`` independent ones. Similarities of the candidates are exact. There are at
-    most tables x 2^bits buckets, so their sizes may be broadcast; a bucket with more than
-    ``cell_rows`` vectors is dealt out over several cells.
+    most tables x 2^bits buckets, so their sizes may be broadcast. A bucket with more than
+    ``cell_rows`` vectors or queries is dealt out over several cells.
     """
     width = queries.agg(F.max(F.size("vector"))).first()[0]
     signs = _signs(tables, bits, seed)
@@ -66,18 +66,26 @@ def vector_topk_lsh(
         buckets = F.posexplode(signs("vector")).alias("__table", "__bucket")
         return _usable(rows, width).select("id", "vector", buckets)
 
-    bucketed = hashed(vectors)
-    sizes = F.broadcast(
-        bucketed.groupBy("__table", "__bucket").agg(
-            F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("__cells")
-        )
-    )
     keys = ["__table", "__bucket"]
-    left = bucketed.join(sizes, keys).withColumn("__cell", F.pmod(F.xxhash64("id"), "__cells").cast("int"))
-    right = hashed(queries).join(sizes, keys).withColumn(
-        "__cell", F.explode(F.sequence(F.lit(0), F.col("__cells") - 1))
+
+    def cells(rows: DataFrame, name: str) -> DataFrame:
+        number = F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias(f"{name}s")
+        return F.broadcast(rows.groupBy(*keys).agg(number))
+
+    left, right = hashed(vectors), hashed(queries)
+    sizes = cells(left, "__v").join(cells(right, "__q"), keys)
+
+    def placed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        return (
+            rows.join(F.broadcast(sizes), keys)
+            .withColumn(own, F.pmod(F.xxhash64("id"), f"{own}s").cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+            .select("id", "vector", *keys, "__v", "__q")
+        )
+
+    near = _within_cells(
+        placed(left, "__v", "__q"), placed(right, "__q", "__v"), [*keys, "__v", "__q"], k
     )
-    near = _within_cells(left.drop("__cells"), right.drop("__cells"), [*keys, "__cell"], k)
     return _ranked(near.distinct(), k)
 
 

@@ -8,22 +8,30 @@ from claimtrace.plans.hot import MAX_HOT_STATS, hot_keys, join_bounded
 from claimtrace.plans.ordered import OrderedGroups
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary groups, and the rows of hot groups if there are any."""
-    hot = hot_keys(df, keys, MAX_HOT_STATS)
+def split_hot(
+    df: DataFrame, keys: Sequence[str], sizes_from: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary groups, and the rows of hot groups if there are any.
+
+    Here and below, group sizes are estimated from ``sizes_from`` instead of rows that
+    are costly to compute twice.
+    """
+    hot = hot_keys(df if sizes_from is None else sizes_from, keys, MAX_HOT_STATS)
     if hot is None:
         return df, None
     hot = hot.select(*keys)
     return join_bounded(df, hot, keys, "left_anti"), join_bounded(df, hot, keys, "left_semi")
 
 
-def with_group_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def with_group_stats(
+    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], sizes_from: DataFrame | None = None
+) -> DataFrame:
     """Each row with aggregates of its group.
 
     Ordinary groups: one shuffle, one unordered window. Hot groups: aggregated on the
     map side to one row each and joined back by broadcast, so their rows never move.
     """
-    ordinary, hot = split_hot(df, by)
+    ordinary, hot = split_hot(df, by, sizes_from)
     group = Window.partitionBy(*by)
     rows = ordinary.select("*", *[c.over(group).alias(n) for n, c in stats.items()])
     if hot is None:
@@ -86,7 +94,12 @@ def counted_quantiles(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", condition: Column | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    condition: Column | None = None,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (null never matches) where ``left`` may have hot keys.
 
@@ -94,7 +107,7 @@ def salted_join(
     repeated once per salt; other keys have the single salt 0. ``condition`` may refer
     to columns of both sides.
     """
-    hot = hot_keys(left, on)
+    hot = hot_keys(left if sizes_from is None else sizes_from, on)
     if hot is not None:
         hot = hot.drop("__rows")
     else:

@@ -39,15 +39,22 @@ class OrderedGroups:
 
     ``order`` should end in a column that makes it unique within a group. Methods note
     columns to add and return self; a column may be built on earlier ones only after
-    ``with_column``.
+    ``with_column``. Group sizes are estimated from ``sizes_from``, for a ``df`` that is
+    costly to compute twice.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        sizes_from: DataFrame | None = None,
+    ):
         self.keys = list(keys)
         self.order = list(order)
         self._steps: list[_Step] = []
         self._columns = df.columns
-        hot = hot_keys(df, self.keys)
+        hot = hot_keys(df if sizes_from is None else sizes_from, self.keys)
         self._whole, self._ranged = df, None
         if hot is not None:
             self._whole = join_bounded(df, hot.select(*self.keys), self.keys, "left_anti")
