@@ -14,12 +14,16 @@ TOTAL = "decimal(28,2)"
 
 
 def overpayments(variance: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Positive variance summed per group; an underpayment never offsets it."""
-    return (
-        variance.where(F.col("variance") > 0)
-        .groupBy(*by)
-        .agg(F.sum("variance").alias("overpaid"), F.count(F.lit(1)).alias("n_lines"))
+    """Positive variance summed per group; an underpayment never offsets it.
+
+    Lines are chosen inside the sums: as a filter the condition would be moved into the
+    join that prices the lines, and computed for every rate interval of a code.
+    """
+    over = F.col("variance") > 0
+    totals = variance.groupBy(*by).agg(
+        F.sum(F.when(over, F.col("variance"))).alias("overpaid"), F.count_if(over).alias("n_lines")
     )
+    return totals.where(F.col("n_lines") > 0)
 
 
 def recovery_ledger(obligations: DataFrame, recoveries: DataFrame) -> DataFrame:

@@ -166,8 +166,9 @@ def chunk_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
     return (
         docs.select("doc_id", tokens("text").alias("tokens"))
-        .where(F.size("tokens") > 0)
-        .select("doc_id", "tokens", F.posexplode(starts).alias("chunk_no", "start"))
+        # the outer form, as in _exploded
+        .select("doc_id", "tokens", F.posexplode_outer(starts).alias("chunk_no", "start"))
+        .where(F.col("start") < F.size("tokens"))
         .withColumn("__chunk", F.slice("tokens", F.col("start") + 1, size))
         .select(
             "doc_id",

@@ -17,12 +17,16 @@ STALE = timedelta(days=1)
 
 
 def _settings(settings):
-    """Runs a query with session settings; the fixture's times are read as UTC."""
+    """Runs a query with session settings, one state partition per core, and times read as UTC."""
 
     def wrap(query):
         @wraps(query)
         def run(spark, path):
-            with session_settings(spark, {"spark.sql.session.timeZone": "UTC", **settings}):
+            common = {
+                "spark.sql.session.timeZone": "UTC",
+                "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+            }
+            with session_settings(spark, {**common, **settings}):
                 return query(spark, path)
 
         return run
