@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from claimtrace.plans.hot import hot_keys, join_bounded
 from claimtrace.sources.storage import written
 
+# a power of two
 RANGES = 256
 SAMPLED_PER_RANGE = 20
 
@@ -183,7 +184,13 @@ class OrderedGroups:
             lambda i: F.get("__sample", F.floor(i * F.size("__sample") / RANGES).cast("int")),
         )
         cuts = sample.select(*self.keys, F.array_distinct(at).alias("__cuts"))
-        below = F.size(F.filter(F.col("__cuts"), lambda cut: cut < place))
+        # how many cuts lie below the row: a binary search, largest step first
+        steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+        below = F.aggregate(
+            steps,
+            F.lit(0),
+            lambda at, step: F.when(F.get("__cuts", at + step - 1) < place, at + step).otherwise(at),
+        )
         return (
             join_bounded(rows.drop("__rows"), cuts, self.keys, "left")
             .withColumn(_RANGE, F.when(F.col("__cuts").isNull(), 0).otherwise(below))
