@@ -214,6 +214,5 @@ def event_props(events: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _microseconds(start, end) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col(start) if isinstance(start, str) else start,
-                            F.col(end) if isinstance(end, str) else end)
+def _microseconds(start: str, end: str | Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end) if isinstance(end, str) else end)
