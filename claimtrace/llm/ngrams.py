@@ -9,7 +9,8 @@ overlap can reach what the sizes ask for.
    share one of the first n - ceil(0.75 n) + 1 columns of both, so only those enter the product.
 3. The columns are dealt over tasks in blocks. Rows of one column whose sizes can link are
    multiplied with one pivot each, which is linear in the column, and surviving pairs are verified by
-   their whole sets; what they link becomes a component.
+   their whole sets; what they link becomes a component. Rounds with other pivots follow until
+   hardly any component grows, so a large group of copies never becomes all its pairs.
 4. Products of rows that are in different components after that are accumulated over all
    columns; pairs whose overlap so far and whose rest cannot reach the bound are discarded, the
    others are verified. No link between different components is missed.
@@ -32,6 +33,9 @@ MAX_FREQUENT = 1 << 19
 MIN_COUNT = 8
 SALT_ROWS = 10_000
 SEEN = 1 << 18
+BITS = 1024
+MORE = 0.05
+WANTED_BITS = 24
 
 
 def need(size):
@@ -51,19 +55,22 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(_signatures(docs, width), "ngram-rows")
     nodes = written(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")),
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")),
         "ngram-nodes",
     )
     docs = docs.where("doc_id is not null")
-    frequent = _frequent(docs, width)
-    postings = _postings(docs, width, frequent)
+    postings = _postings(docs, width, _frequent(docs, width))
     sets = _Sets(docs, nodes, width)
-    stars = sets.linked(written(_star_pairs(postings), "ngram-pairs"))
-    labels = written(components(stars.select("a", "b")), "ngram-labels")
-    rest = sets.linked(written(_cross_pairs(postings, labels), "ngram-pairs"))
-    # what links components is few; their own links stay in the labels
-    links = rest.select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    labels = components(links)
+    labels, before, reached, number = None, 0, 0, 0
+    while number == 0 or reached - before > MORE * reached:
+        # stars of other pivots until hardly any component grows
+        found = sets.linked(_star_pairs(postings, labels, number))
+        links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = written(components(links), "ngram-labels")
+        counts = labels.agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("labels")).first()
+        before, reached, number = reached, counts["nodes"] - counts["labels"], number + 1
+    rest = sets.linked(_cross_pairs(postings, labels))
+    labels = components(rest.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     first = (
         nodes.join(labels, "node", "left")
         .select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -101,17 +108,29 @@ def _node(values: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _bitmap(values: np.ndarray) -> bytes:
+    """BITS bits, the one of each shingle set."""
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[(values >> np.uint64(13)).astype(np.int64) & (BITS - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, "text"):
-            found = [(_node(s), len(s)) for s in _sets(part, width)]
+            found = [(_node(s), len(s), _bitmap(s)) for s in _sets(part, width)]
             yield pa.RecordBatch.from_arrays(
-                [part.rows.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
-                ["doc_id", "node", "n_shingles"],
+                [
+                    part.rows.column("doc_id"),
+                    pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([f[1] for f in found], pa.int64()),
+                    pa.array([f[2] for f in found], pa.binary()),
+                ],
+                ["doc_id", "node", "n_shingles", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, node bigint, n_shingles bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, node bigint, n_shingles bigint, bits binary")
 
 
 def _frequent(docs: DataFrame, width: int):
@@ -239,24 +258,38 @@ def _several(table: pa.Table) -> pa.RecordBatch:
 # --- products ------------------------------------------------------------------------------
 
 
-def _star_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of each row with the pivot of its size in a block of a column, linear in the rows.
+def _star_pairs(postings: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
+    """Pairs of each row with a pivot of its size in a block of a column, linear in the rows.
 
-    The pivots of the blocks of a salted column meet its first pivot as well.
+    Which row is the pivot depends on a hash. In the first round it is the same for all columns,
+    so few documents are pivots; later rounds differ by column and pair rows of different
+    components only. The pivots of the blocks of a salted column meet its first pivot as well.
     """
     # a size class and the next hold all sizes that can link
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    row = F.struct("n", "node", "at")
-    wide = postings.select("column", "salt", row.alias("q"), F.explode(F.array(size, size + 1)).alias("size"))
+    turn = F.xxhash64("node") if labels is None else F.xxhash64("node", "column", F.lit(number))
+    marked = postings.withColumn("label", F.col("node")) if labels is None else _mixed(postings, labels)
+    row = F.struct(turn.alias("turn"), "node", "n", "at", "label")
+    wide = marked.select("column", "salt", row.alias("q"), F.explode(F.array(size, size + 1)).alias("size"))
     pivots = wide.groupBy("column", "salt", "size").agg(F.min("q").alias("p"), F.count("*").alias("rows"))
     pairs = wide.join(pivots.where("rows > 1").drop("rows"), ["column", "salt", "size"])
     salted = pivots.where("salt > 0").select("column", "size", F.col("p").alias("q"))
     tops = salted.groupBy("column", "size").agg(F.min("q").alias("p"))
     both = pairs.select("p", "q").union(salted.join(tops, ["column", "size"]).select("p", "q"))
-    fits = both.where((F.col("p.node") != F.col("q.node")) & _may_link("p.n", "q.n", "p.at", "q.at"))
+    fits = both.where((F.col("p.label") != F.col("q.label")) & _may_link("p.n", "q.n", "p.at", "q.at"))
     return fits.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
+def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with the component of each row, of the columns that hold several components."""
+    named = labels.withColumnRenamed("node", "n_")
+    marked = postings.join(named, F.col("node") == F.col("n_"), "left").select(
+        "column", "salt", "node", "n", "at", F.coalesce("label", "node").alias("label")
+    )
+    mixed = marked.groupBy("column").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return written(marked.join(mixed.select("column"), "column"), "ngram-mixed")
+
+
 def _least_overlap(n: str, m: str):
     return F.ceil(PERCENT * (F.col(n) + F.col(m)) / F.lit(100 + PERCENT))
 
@@ -275,12 +308,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     a pair is discarded when those in the prefixes and all that may follow the last of them
     are fewer than the sizes ask for.
     """
-    marked = (
-        postings.join(labels.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left")
-        .select("column", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-    )
-    mixed = marked.groupBy("column").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("column")
-    marked = written(marked.join(mixed, "column"), "ngram-mixed")
+    marked = _mixed(postings, labels)
     other = marked.select("column", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
     met = marked.join(other, "column").where(
         (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & _may_link("n", "o_n", "at", "o_at")
@@ -302,28 +330,51 @@ class _Sets:
         self.docs, self.nodes, self.width = docs, nodes, width
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. One text stands for each node; a pair meets both texts."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        owners = wanted.join(self.nodes, "node").select("node", F.col("doc_id").alias("owner"))
-        texts = self.docs.join(owners, F.col("doc_id") == F.col("owner")).select("node", "text")
-        texts = written(texts.mapInArrow(self._own, "node bigint, text string").dropDuplicates(["node"]), "ngram-texts")
+        """The pairs (a, b) that link.
+
+        Bitmaps go first: a bit of one set that the other lacks is a shingle that they do not
+        share, so the bits bound the overlap from above. Of the pairs left both texts meet.
+        """
+        marks = [self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"]
+        close = pairs.select("a", "b").join(marks[0], "a").join(marks[1], "b").mapInArrow(_by_bits, "a bigint, b bigint")
+        pairs = written(close, "ngram-pairs")
+        texts = self._texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text")), "a")
+            pairs.join(texts.select(F.col("node").alias("a"), "text"), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
             .select("a", "b", "text", "other")
         )
         return written(both.mapInArrow(self._verified, "a bigint, b bigint"), "ngram-links")
 
-    @property
-    def _own(self):
-        width = self.width
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """One text for each wanted node.
+
+        A bit array of fixed size, built by Spark, says which nodes may be wanted, so that other
+        texts do not move; what it lets through by chance goes in the join.
+        """
+        place = F.col("node").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+        bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+        packed = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(1 << (WANTED_BITS - 6), dtype=np.uint64)
+        words[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
+        shared, width = wanted.sparkSession.sparkContext.broadcast(words), self.width
 
         def run(batches):
+            bits, seen = shared.value, set()
             for part in slices(batches, "text"):
                 own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
-                yield part.rows.filter(pa.array(own == part.rows.column("node").to_numpy()))
+                at = own & ((1 << WANTED_BITS) - 1)
+                take = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+                for i in np.flatnonzero(take).tolist():
+                    take[i] = int(own[i]) not in seen
+                    seen.add(int(own[i]))
+                if len(seen) > SEEN:
+                    seen.clear()
+                chosen = part.rows.filter(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(own[take]), chosen.column("text")], ["node", "text"])
 
-        return run
+        found = self.docs.mapInArrow(run, "node bigint, text string")
+        return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
 
     @property
     def _verified(self):
@@ -339,3 +390,16 @@ class _Sets:
                 yield part.rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         return run
+
+
+def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose overlap may reach the bound by what their bitmaps say."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (
+            np.frombuffer(b"".join(batch.column(f"{c}_bits").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in "ab"
+        )
+        n, m = (batch.column(f"{c}_n").to_numpy() for c in "ab")
+        most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
+        yield batch.select(["a", "b"]).filter(pa.array(100 * most >= PERCENT * (n + m - most)))
