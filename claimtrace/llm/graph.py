@@ -1,31 +1,37 @@
 """Connected components of undirected links, by Spark jobs alone."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from claimtrace.sources import written
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, label): label is the smallest node of the component; nodes without links are absent.
 
-    ``links`` has two columns a and b of one orderable type; nulls and loops are dropped. Large-star and small-star
-    steps alternate (Kiveris et al. 2014) until the links are stars; each state is written to
-    the shared folder, so that no plan grows and lost executors cost one step only. Only
-    minima are taken of a node's links, so a node with very many of them is no trouble.
+    ``links`` has two columns a and b of one orderable type; nulls and loops are dropped. Large-star
+    and small-star steps alternate (Kiveris et al. 2014) until the links are stars; each state is
+    written to the shared folder, so that no plan grows and lost executors cost one step only.
+    Only minima are taken of a node's links, so a node with very many of them is no trouble.
+
+    With ``rounds`` it stops after so many: nodes of one label are then of one component still,
+    but a component may have several labels.
     """
-    links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        size = _state(links)
-        links = written(_small_star(_large_star(links)), "links")
-        if _state(links) == size:
+    links, before = _kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while rounds is None or rounds > 0:
+        links, state = _kept(_small_star(_large_star(links)))
+        rounds = None if rounds is None else rounds - 1
+        if state == before:
             break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
-        links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    )
+        before = state
+    both = links.union(links.select("b", "b"))
+    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links written, and what tells one state from another, taken while they are written."""
+    seen = Observation()
+    kept = written(links.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "links")
+    return kept, (seen.get["n"], seen.get["x"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -60,17 +60,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
     docs = docs.where("doc_id is not null")
     postings = _postings(docs, width, _frequent(docs, width))
-    sets = _Sets(docs, nodes, width)
-    labels, before, reached, number = None, 0, 0, 0
-    while number == 0 or reached - before > MORE * reached:
+    sets = _Sets(docs, nodes, postings, width)
+    labels, links, grown, number = None, None, 1.0, 0
+    while grown > MORE:
         # stars of other pivots until hardly any component grows
         found = sets.linked(_star_pairs(postings, labels, number))
-        links = found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = written(components(links), "ngram-labels")
-        counts = labels.agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("labels")).first()
-        before, reached, number = reached, counts["nodes"] - counts["labels"], number + 1
-    rest = sets.linked(_cross_pairs(postings, labels))
-    labels = components(rest.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        links = found if links is None else links.union(found)
+        before, labels, number = labels, written(components(links, rounds=2), "ngram-labels"), number + 1
+        merges = [0 if x is None else x.where("node <> label").count() for x in (before, labels)]
+        grown = (merges[1] - merges[0]) / max(1, merges[1])
+    labels = components(links.union(sets.linked(_cross_pairs(postings, labels))))
     first = (
         nodes.join(labels, "node", "left")
         .select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -324,10 +323,11 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class _Sets:
-    """Verifies pairs of nodes by their whole sets."""
+    """Verifies pairs of nodes by their whole sets; only texts of nodes in shared columns move."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int):
-        self.docs, self.nodes, self.width = docs, nodes, width
+    def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, width: int):
+        self.nodes, self.width = nodes.select("node", "n", "bits"), width
+        self.texts = self._texts(docs, postings.select("node").distinct())
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link.
@@ -337,16 +337,14 @@ class _Sets:
         """
         marks = [self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"]
         close = pairs.select("a", "b").join(marks[0], "a").join(marks[1], "b").mapInArrow(_by_bits, "a bigint, b bigint")
-        pairs = written(close, "ngram-pairs")
-        texts = self._texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = (
-            pairs.join(texts.select(F.col("node").alias("a"), "text"), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+            close.join(self.texts.select(F.col("node").alias("a"), "text"), "a")
+            .join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
             .select("a", "b", "text", "other")
         )
         return written(both.mapInArrow(self._verified, "a bigint, b bigint"), "ngram-links")
 
-    def _texts(self, wanted: DataFrame) -> DataFrame:
+    def _texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """One text for each wanted node.
 
         A bit array of fixed size, built by Spark, says which nodes may be wanted, so that other
@@ -373,7 +371,7 @@ class _Sets:
                 chosen = part.rows.filter(pa.array(take))
                 yield pa.RecordBatch.from_arrays([pa.array(own[take]), chosen.column("text")], ["node", "text"])
 
-        found = self.docs.mapInArrow(run, "node bigint, text string")
+        found = docs.mapInArrow(run, "node bigint, text string")
         return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
 
     @property
