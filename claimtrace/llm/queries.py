@@ -3,7 +3,7 @@
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.llm import bpe, decontamination, lines, ngrams, pii, toxicity
+from claimtrace.llm import bpe, decontamination, langid, lines, ngrams, pii, quality, toxicity
 from claimtrace.sources import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -34,6 +34,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.in_fold("doc_id", 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.rate(docs, model).select("doc_id", held_out.alias("held_out"), "expected_grade", "tail_probability", "selected")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.in_fold("doc_id", 1)
+    profiles = langid.train(docs.where(~held_out))
+    return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +61,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op8_toxicity, op9_pii)
+    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op8_toxicity, op9_pii)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
