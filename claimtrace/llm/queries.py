@@ -3,7 +3,7 @@
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.llm import bpe, decontamination, langid, lines, ngrams, pii, quality, toxicity
+from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, ngrams, pii, quality, toxicity
 from claimtrace.sources import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -48,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -61,7 +65,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op8_toxicity, op9_pii)
+    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
