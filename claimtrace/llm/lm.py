@@ -33,7 +33,7 @@ BLANK = 32
 MIN_BITS, MAX_BITS = 18, 20
 BYTES_PER_SLOT = 1024
 CHUNK = 1 << 14
-SLICE = 1 << 19
+SLICE = 1 << 18
 HEAD = 1 << 18
 EPOCHS = 30
 _U = np.uint64
