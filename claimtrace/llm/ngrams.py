@@ -34,6 +34,7 @@ MIN_COUNT = 8
 SALT_ROWS = 10_000
 SEEN = 1 << 18
 BITS = 1024
+FOLDED = 8
 MORE = 0.05
 WANTED_BITS = 24
 
@@ -55,7 +56,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(_signatures(docs, width), "ngram-rows")
     nodes = written(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")),
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("folded").alias("folded")),
         "ngram-nodes",
     )
     docs = docs.where("doc_id is not null")
@@ -69,7 +70,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         before, labels, number = labels, written(components(links, rounds=2), "ngram-labels"), number + 1
         merges = [0 if x is None else x.where("node <> label").count() for x in (before, labels)]
         grown = (merges[1] - merges[0]) / max(1, merges[1])
-    labels = components(links.union(sets.linked(_cross_pairs(postings, labels))))
+    labels = components(links.union(sets.linked(_cross_pairs(postings, labels, nodes))))
     first = (
         nodes.join(labels, "node", "left")
         .select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -114,22 +115,30 @@ def _bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _folded(values: np.ndarray) -> np.ndarray:
+    """The same with as many bits as FOLDED numbers have, for comparison in Spark."""
+    bits = np.zeros(64 * FOLDED, dtype=np.uint8)
+    bits[(values >> np.uint64(13)).astype(np.int64) % (64 * FOLDED)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, "text"):
-            found = [(_node(s), len(s), _bitmap(s)) for s in _sets(part, width)]
+            found = [(_node(s), len(s), _bitmap(s), _folded(s)) for s in _sets(part, width)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.rows.column("doc_id"),
                     pa.array([f[0] for f in found], pa.int64()),
                     pa.array([f[1] for f in found], pa.int64()),
                     pa.array([f[2] for f in found], pa.binary()),
+                    pa.array([f[3] for f in found], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "node", "n_shingles", "bits"],
+                ["doc_id", "node", "n_shingles", "bits", "folded"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, node bigint, n_shingles bigint, bits binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, node bigint, n_shingles bigint, bits binary, folded array<bigint>")
 
 
 def _frequent(docs: DataFrame, width: int):
@@ -279,6 +288,11 @@ def _star_pairs(postings: DataFrame, labels: DataFrame | None, number: int) -> D
     return fits.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
+def _only_in(x: str, y: str):
+    """Bits of one set that the other lacks: at least as many shingles are not shared."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(FOLDED)), F.lit(0))
+
+
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the component of each row, of the columns that hold several components."""
     named = labels.withColumnRenamed("node", "n_")
@@ -300,17 +314,21 @@ def _may_link(n: str, m: str, at: str, m_at: str):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (room >= _least_overlap(n, m))
 
 
-def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of rows of different components whose overlap may reach the bound.
 
-    Only columns that hold several components take part. Overlaps accumulate over columns;
+    Only columns that hold several components take part, and a product is made only where sizes,
+    places and the bits that one set has alone leave room for a link. Overlaps accumulate over columns;
     a pair is discarded when those in the prefixes and all that may follow the last of them
     are fewer than the sizes ask for.
     """
-    marked = _mixed(postings, labels)
-    other = marked.select("column", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
+    marked = _mixed(postings, labels).drop("salt").join(nodes.select("node", "folded"), "node")
+    other = marked.select("column", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label", "folded")])
     met = marked.join(other, "column").where(
-        (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & _may_link("n", "o_n", "at", "o_at")
+        (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label"))
+        & _may_link("n", "o_n", "at", "o_at")
+        & (F.col("n") - _only_in("folded", "o_folded") >= _least_overlap("n", "o_n"))
+        & (F.col("o_n") - _only_in("o_folded", "folded") >= _least_overlap("n", "o_n"))
     )
     sums = met.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
         F.count("*").alias("overlap"),
