@@ -5,6 +5,8 @@ places before they are compared with a limit.
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -70,7 +72,7 @@ def rolling_baseline(lines: DataFrame, entity: Sequence[str], ts: str, amount: s
 
     Lines are summed per entity and day first, so the moving window runs over at most
     one row per calendar day, however many lines an entity has. An empty window has
-    count 0 and null sum and deviation.
+    count 0 and null sum and deviation. Lines without an entity are an entity.
     """
     rows = lines.where(F.col(amount).isNotNull()).withColumn("__day", F.to_date(ts))
     daily = rows.groupBy(*entity, "__day").agg(
@@ -87,7 +89,13 @@ def rolling_baseline(lines: DataFrame, entity: Sequence[str], ts: str, amount: s
         F.sum("__sum").over(before).alias("prior_sum"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("prior_count"),
     )
-    scored = salted_join(rows, baseline, [*entity, "__day"], "left").drop("__day")
+    keys = [*entity, "__day"]
+    named = reduce(and_, [F.col(c).isNotNull() for c in keys])
+    # equal nulls do not join by name, so lines with a null in a key join apart
+    marked = baseline.select(*[F.col(c).alias(f"__b_{c}") for c in keys], "prior_sum", "prior_count")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in keys])
+    nameless = rows.where(~named).join(marked, same, "left").drop(*[f"__b_{c}" for c in keys])
+    scored = salted_join(rows.where(named), baseline, keys, "left").unionByName(nameless).drop("__day")
     scored = scored.withColumn("prior_count", F.coalesce("prior_count", F.lit(0)))
     mean = F.col("prior_sum").cast("double") / F.col("prior_count")
     return scored.withColumn("deviation", F.col(amount).cast("double") - mean)
@@ -96,7 +104,7 @@ def rolling_baseline(lines: DataFrame, entity: Sequence[str], ts: str, amount: s
 def rate_variance(lines: DataFrame, rates: DataFrame, on: str, date: str) -> DataFrame:
     """Each line with its ``variance`` = paid - units * rate, the rate in force on ``date``.
 
-    Validity is valid_from <= date < valid_to. A line without a rate in force gets a
+    Validity is valid_from <= date < valid_to; a null valid_to is open. Units count to six places. A line without a rate in force gets a
     null variance and status ``no_rate``. Overlapping intervals of one code stop the query.
     """
     checked = (
@@ -104,7 +112,9 @@ def rate_variance(lines: DataFrame, rates: DataFrame, on: str, date: str) -> Dat
         .following(__next_from="valid_from")
         .result()
     )
-    overlap = F.col("__next_from") < F.col("valid_to")
+    overlap = F.col("__next_from").isNotNull() & (
+        F.col("valid_to").isNull() | (F.col("__next_from") < F.col("valid_to"))
+    )
     message = F.concat(F.lit("overlapping rate intervals for code "), F.col(on).cast("string"))
     checked = checked.select(
         on,
@@ -118,9 +128,9 @@ def rate_variance(lines: DataFrame, rates: DataFrame, on: str, date: str) -> Dat
         checked,
         [on],
         "left",
-        (F.col("valid_from") <= day) & (day < F.col("valid_to")),
+        (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))),
     )
-    owed = F.col("units").cast("decimal(12,2)") * F.col("rate").cast("decimal(18,2)")
+    owed = F.col("units").cast("decimal(18,6)") * F.col("rate").cast("decimal(18,2)")
     return (
         priced.withColumn("variance", (F.col("paid") - owed).cast("decimal(18,2)"))
         .withColumn("status", F.when(F.col("rate").isNull(), "no_rate").otherwise("priced"))

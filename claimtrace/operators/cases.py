@@ -85,7 +85,7 @@ def case_state_asof(probes: DataFrame, events: DataFrame) -> DataFrame:
     """The state in force at each probe (case_id, probe_id, ts), null before the first event.
 
     Probes and events are merged into one order per case, in which an event comes before
-    a probe of the same time; the state is the last one seen.
+    a probe of the same time; the state is the last one seen. A probe without a case has none.
     """
     merged = probes.select("case_id", "ts", F.lit(1).alias("__probe"), F.col("probe_id").alias("__id")).unionByName(
         events.select("case_id", "ts", F.lit(0).alias("__probe"), F.col("event_id").alias("__id"), "state"),
@@ -93,7 +93,7 @@ def case_state_asof(probes: DataFrame, events: DataFrame) -> DataFrame:
     )
     known = OrderedGroups(merged, ["case_id"], ["ts", "__probe", "__id"]).last_known(state_asof="state").result()
     return known.where(F.col("__probe") == 1).select(
-        "case_id", F.col("__id").alias("probe_id"), "ts", F.col("state_asof").alias("state")
+        "case_id", F.col("__id").alias("probe_id"), "ts", F.when(F.col("case_id").isNotNull(), F.col("state_asof")).alias("state")
     )
 
 
@@ -118,7 +118,10 @@ def case_backlog_daily(events: DataFrame, group: str, closed: str) -> DataFrame:
         .select(group, F.explode(F.sequence("__first", last_day)).alias("day"))
     )
     to_date = Window.partitionBy(group).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(daily, [group, "day"], "left").select(
+    # the null group is a group
+    changed = daily.select(F.col(group).alias("__group"), F.col("day").alias("__day"), "__change")
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("day") == F.col("__day"))
+    return spine.join(changed, same, "left").select(
         group, "day", F.sum(F.coalesce("__change", F.lit(0))).over(to_date).alias("n_open")
     )
 
@@ -205,12 +208,20 @@ def case_upsert(
 
 
 def event_props(events: DataFrame, by: Sequence[str]) -> DataFrame:
-    """JSON properties of the events, summed per property name."""
-    parsed = F.from_json("props", "map<string,bigint>")
+    """JSON properties of the events, whole numbers summed per property name.
+
+    ``n`` counts the whole numbers, ``n_other`` the values that are none; each value counts by itself.
+    """
+    parsed = F.from_json("props", "map<string,string>")
+    whole = F.when(F.col("value").rlike("^-?[0-9]+$"), F.expr("try_cast(value AS bigint)"))
     return (
         events.select(*by, F.explode(parsed).alias("prop", "value"))
         .groupBy(*by, "prop")
-        .agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+        .agg(
+            F.sum(whole).alias("total"),
+            F.count(whole).alias("n"),
+            F.count_if(F.col("value").isNotNull() & whole.isNull()).alias("n_other"),
+        )
     )
 
 

@@ -43,8 +43,10 @@ def fifo_allocate(obligations: DataFrame, recoveries: DataFrame) -> DataFrame:
     pays a single obligation, so one ordered pass over the end points gives every
     allocation; no pairs of obligations and recoveries are formed. Recoveries are not
     tied to dates: an early one is a credit. Amounts of 0 are left out and a negative
-    amount stops the query.
+    amount stops the query. Entries without a party pay nothing and are not paid.
     """
+    obligations = obligations.where(F.col("party").isNotNull())
+    recoveries = recoveries.where(F.col("party").isNotNull())
     owed = _end_points(obligations, "obligation")
     paid = _end_points(recoveries, "recovery")
     parties = obligations.select("party").unionAll(recoveries.select("party"))
@@ -85,7 +87,12 @@ def outstanding(obligations: DataFrame, recoveries: DataFrame) -> DataFrame:
 def outstanding_aging(
     obligations: DataFrame, recoveries: DataFrame, as_of: str, limits: Sequence[int], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Unpaid balance by age in days at ``as_of``; ``limits`` are the last days of all buckets but one."""
+    """Unpaid balance by age in days at ``as_of``; ``limits`` are the last days of all buckets but one.
+
+    Obligations and recoveries after the day ``as_of`` do not count.
+    """
+    known = F.to_date("ts") <= F.lit(as_of).cast("date")
+    obligations, recoveries = obligations.where(known), recoveries.where(known)
     open_items = outstanding(obligations, recoveries).where(F.col("unpaid") > 0)
     age = F.datediff(F.lit(as_of).cast("date"), F.to_date("ts"))
     bucket, first = None, 0
@@ -191,11 +198,17 @@ def recovery_trend(recoveries: DataFrame, period: str, by: Sequence[str]) -> Dat
     spine = totals.groupBy(*by).agg(
         F.explode(F.sequence(F.min("period_start"), F.max("period_start"), step)).alias("period_start")
     )
+    # null groups are groups
+    renamed = totals.select(*[F.col(c).alias(f"__{c}") for c in (*by, "period_start", "total")])
+    same = F.col("period_start") == F.col("__period_start")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
     # at most one row per group and period
     along = Window.partitionBy(*by).orderBy("period_start")
     return (
-        spine.join(totals, [*by, "period_start"], "left")
-        .withColumn("total", F.coalesce("total", F.lit(0)).cast(TOTAL))
+        spine.join(renamed, same, "left")
+        .withColumn("total", F.coalesce("__total", F.lit(0)).cast(TOTAL))
+        .select(*by, "period_start", "total")
         .withColumn("change", (F.col("total") - F.lag("total").over(along)).cast(TOTAL))
     )
 
@@ -204,7 +217,8 @@ def ledger_diff(prev: DataFrame, curr: DataFrame, key: Sequence[str]) -> DataFra
     """Entries added, removed or changed from one snapshot to the next.
 
     Rows present in both snapshots cancel out in one aggregation, partly on the map
-    side; only what remains is compared by key. Within a snapshot the key is unique.
+    side; only what remains is compared by key. A key that a snapshot holds in two different rows stops
+    the query.
     """
     values = [c for c in curr.columns if c not in key]
     tagged = prev.withColumn("__in", F.lit(-1)).unionByName(curr.withColumn("__in", F.lit(1)))
@@ -215,8 +229,10 @@ def ledger_diff(prev: DataFrame, curr: DataFrame, key: Sequence[str]) -> DataFra
         *[F.max(F.when(F.col("__in") < 0, F.col(c))).alias(f"prev_{c}") for c in values],
         *[F.max(F.when(F.col("__in") > 0, F.col(c))).alias(f"curr_{c}") for c in values],
     )
+    twice = F.concat(F.lit("key in more than one row: "), F.to_json(F.struct(*key)))
     status = (
-        F.when(F.col("__before") == 0, "added").when(F.col("__after") == 0, "removed").otherwise("changed")
+        F.when((F.col("__before") > 1) | (F.col("__after") > 1), F.raise_error(twice).cast("string"))
+        .when(F.col("__before") == 0, "added").when(F.col("__after") == 0, "removed").otherwise("changed")
     )
     return sides.withColumn("status", status).drop("__before", "__after")
 

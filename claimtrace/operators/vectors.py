@@ -20,15 +20,19 @@ BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES
+    vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, dimension: int | None = None
 ) -> DataFrame:
     """The exact ``k`` nearest vectors per query: query_id, doc_id, score and rank.
 
     The work is queries x vectors x dimension. Queries that fit in ``block_bytes`` are
     broadcast and the vectors are never shuffled; otherwise both sides are cut into
     blocks of that size and every block of queries meets every block of vectors.
+
+    A vector that is null is left out. One of another width than ``dimension`` (by default
+    that of the widest vector) or with a null element stops the query.
     """
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    n = queries.count()
+    width = _width(vectors, dimension)
     row_bytes = 8 * (width or 1)
     queries, vectors = _usable(queries, width), _usable(vectors, width)
     if n * row_bytes <= block_bytes:
@@ -51,6 +55,7 @@ def vector_topk_lsh(
     bits: int = 8,
     seed: int = 1,
     cell_rows: int = 100_000,
+    dimension: int | None = None,
 ) -> DataFrame:
     """Approximate ``vector_topk``: only vectors that share a bucket with the query are compared.
 
@@ -59,7 +64,7 @@ def vector_topk_lsh(
     most tables x 2^bits buckets, so their sizes may be broadcast. A bucket with more than
     ``cell_rows`` vectors or queries is dealt out over several cells.
     """
-    width = queries.agg(F.max(F.size("vector"))).first()[0]
+    width = _width(vectors, dimension)
     signs = _signs(tables, bits, seed)
 
     def hashed(rows: DataFrame) -> DataFrame:
@@ -89,10 +94,16 @@ def vector_topk_lsh(
     return _ranked(near.distinct(), k)
 
 
+def _width(vectors: DataFrame, dimension: int | None) -> int | None:
+    return dimension or vectors.agg(F.max(F.size("vector"))).first()[0]
+
+
 def _usable(rows: DataFrame, width: int | None) -> DataFrame:
-    """Rows whose vector has the common width and no null element, as doubles."""
+    """Rows with a vector, as doubles; another width or a null element stops the query."""
     whole = (F.size("vector") == (width or 0)) & ~F.exists("vector", lambda x: x.isNull())
-    return rows.where(whole).select(F.col("id").cast("bigint"), F.col("vector").cast("array<double>"))
+    message = F.concat(F.lit(f"not a vector of {width} numbers: id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    checked = F.when(whole, F.col("vector").cast("array<double>")).otherwise(F.raise_error(message).cast("array<double>"))
+    return rows.where(F.col("vector").isNotNull()).select(F.col("id").cast("bigint"), checked.alias("vector"))
 
 
 def _dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

@@ -105,7 +105,7 @@ def case_upsert(spark, path):
 
 
 def event_props(spark, path):
-    return cases.event_props(case_events(spark, path), ["case_id"])
+    return cases.event_props(case_events(spark, path), ["case_id"]).drop("n_other")
 
 
 def integrity_flow(spark, path):

@@ -7,7 +7,8 @@ from claimtrace.operators import recovery
 from claimtrace.queries.anomaly import LINES, line_variance
 from claimtrace.sources import case_events, obligations, recoveries, table
 
-AS_OF = "2024-01-31"
+# inside the span of the entries, so that some come after it
+AGED_AT = "2024-01-22"
 
 
 def _sides(spark, path):
@@ -43,7 +44,7 @@ def fifo_allocate(spark, path):
 
 
 def outstanding_aging(spark, path):
-    aged = recovery.outstanding_aging(*_sides(spark, path), AS_OF, [7, 14])
+    aged = recovery.outstanding_aging(*_sides(spark, path), AGED_AT, [7, 14])
     return aged.withColumn("unpaid", dollars("unpaid"))
 
 
@@ -203,12 +204,12 @@ FROM entries""",
 WITH {SIDES}, {ALLOCATED}
 SELECT party, obligation_id, recovery_id, CAST(amount AS DOUBLE) AS amount FROM allocated""",
     "outstanding_aging": f"""
-WITH {SIDES}, {ALLOCATED}, open_items AS (
+WITH {SIDES.replace("event_type =", f"CAST(ts AS DATE) <= DATE '{AGED_AT}' AND event_type =")}, {ALLOCATED}, open_items AS (
   SELECT o.ts, o.amount - coalesce(sum(a.amount), 0) AS unpaid
   FROM owed o LEFT JOIN allocated a ON a.party = o.party AND a.obligation_id = o.entry_id
   GROUP BY o.party, o.entry_id, o.ts, o.amount
 ), aged AS (
-  SELECT *, date_diff('day', CAST(ts AS DATE), DATE '{AS_OF}') AS age FROM open_items WHERE unpaid > 0
+  SELECT *, date_diff('day', CAST(ts AS DATE), DATE '{AGED_AT}') AS age FROM open_items WHERE unpaid > 0
 )
 SELECT CASE WHEN age <= 7 THEN '0-7' WHEN age <= 14 THEN '8-14' ELSE '15+' END AS bucket,
        count(*) AS n_open, CAST(sum(unpaid) AS DOUBLE) AS unpaid

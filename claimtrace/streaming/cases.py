@@ -76,11 +76,12 @@ CASE_STATE = (
 _PARTIAL = "case_id bigint, ts timestamp, event_id bigint, state string, n_events bigint, amount_cents bigint"
 
 
-def stream_case_state(stream: DataFrame, delay: str, stale_after: timedelta) -> DataFrame:
+def stream_case_state(stream: DataFrame, delay: str, stale_after: timedelta, keep_for: timedelta | None = None) -> DataFrame:
     """A log of each case's latest state, with a ``stale`` row when it has been still for too long.
 
     Each input block is reduced to one row per case before the shuffle. The state held per
-    case is one row, and one timer. Needs the RocksDB state store.
+    case is one row, and one timer. Needs the RocksDB state store. With ``keep_for`` the state of a
+    case ends that long after it went stale; a later event then begins the case anew.
     """
     cents = (F.col("amount") * 100).cast("bigint").alias("amount_cents")
     partial = (
@@ -89,7 +90,7 @@ def stream_case_state(stream: DataFrame, delay: str, stale_after: timedelta) ->
         .withWatermark("ts", delay)
     )
     return partial.groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=CaseState(stale_after),
+        statefulProcessor=CaseState(stale_after, keep_for),
         outputStructType=CASE_STATE,
         outputMode="Append",
         timeMode="EventTime",
@@ -103,16 +104,19 @@ def _latest_per_case(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _collapsed(rows: pd.DataFrame) -> pd.DataFrame:
     """One row per case: its latest state, with counts and amounts added up."""
-    groups = rows.sort_values(["ts", "event_id"]).groupby("case_id", as_index=False)
-    latest = groups.agg({"ts": "last", "event_id": "last", "state": "last", "n_events": "sum", "amount_cents": "sum"})
-    return latest[rows.columns.tolist()]
+    ordered = rows.sort_values(["ts", "event_id"])
+    # the latest event as a whole, nulls included; the null case is a case
+    latest = ordered.drop_duplicates("case_id", keep="last").drop(columns=["n_events", "amount_cents"])
+    totals = ordered.groupby("case_id", as_index=False, dropna=False)[["n_events", "amount_cents"]].sum()
+    return latest.merge(totals, on="case_id", how="left")[rows.columns.tolist()]
 
 
 class CaseState(StatefulProcessor):
     """Keeps the latest event and the totals of one case."""
 
-    def __init__(self, stale_after: timedelta):
+    def __init__(self, stale_after: timedelta, keep_for: timedelta | None = None):
         self._stale_ms = int(stale_after / timedelta(milliseconds=1))
+        self._keep_ms = None if keep_for is None else int(keep_for / timedelta(milliseconds=1))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -126,7 +130,7 @@ class CaseState(StatefulProcessor):
             seen = block if latest is None else pd.concat([latest, block[latest.columns]], ignore_index=True)
             latest = _collapsed(seen[_columns(_PARTIAL)])
         row = latest.iloc[0]
-        self._state.update(tuple(row[c] for c in _columns(_PARTIAL)))
+        self._state.update(tuple(None if pd.isna(row[c]) else row[c] for c in _columns(_PARTIAL)))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         self._handle.registerTimer(_millis(row["ts"]) + self._stale_ms)
@@ -134,8 +138,13 @@ class CaseState(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         row = dict(zip(_columns(_PARTIAL), self._state.get(), strict=True))
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield self._logged(row, at, True)
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if expired > _millis(row["ts"]) + self._stale_ms:
+            self._state.clear()
+            return
+        if self._keep_ms is not None:
+            self._handle.registerTimer(expired + max(1, self._keep_ms))
+        yield self._logged(row, pd.Timestamp(expired, unit="ms"), True)
 
     def close(self) -> None:
         pass

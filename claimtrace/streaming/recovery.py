@@ -1,12 +1,16 @@
 """Recoveries on streams of obligations and recoveries (party, entry_id, ts, amount)."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimtrace.plans import top_k
-from claimtrace.sources.storage import read_rows
+from claimtrace.sources.storage import read_rows, scratch_path
 from claimtrace.streaming.run import run_batches
 
-ENTRIES = "party bigint, entry_id bigint, ts timestamp, signed decimal(18,2), batch_id bigint"
+ENTRIES = (
+    "party bigint, entry_id bigint, ts timestamp, signed decimal(18,2), written_at timestamp, run string, batch_id bigint"
+)
 
 
 def stream_recovery_match(
@@ -48,23 +52,29 @@ def stream_recovery_match(
     )
 
 
-def stream_ledger_upsert(stream: DataFrame, path: str) -> None:
+def stream_ledger_upsert(stream: DataFrame, path: str, checkpoint: str | None = None) -> None:
     """Adds signed entries (party, entry_id, ts, signed) to the ledger table at ``path``.
 
-    A micro-batch is one directory, which a repeated run of that batch replaces, so every
-    batch counts once and nothing written before is rewritten.
+    With the ``checkpoint`` of an earlier call the stream goes on where that one stopped; without
+    one it starts anew under a checkpoint of its own. A micro-batch is one directory, named by
+    the checkpoint and the batch number. A repeated run of a batch replaces that
+    directory and no other, so every batch counts once and no call touches what another wrote.
     """
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, "ledger-state")
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:32]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stamped = batch.withColumn("written_at", F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
-    run_batches(stream, "ledger", write)
+    run_batches(stream, checkpoint, write)
 
 
 def ledger_entries(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger with one row per entry: the one from the latest batch."""
+    """The ledger with one row per entry: the one that was written last."""
     rows = read_rows(spark, path, ENTRIES)
-    return top_k(rows, ["entry_id"], [F.col("batch_id").desc(), F.col("ts").desc()], 1, "__rank").drop("__rank")
+    latest = [F.col(c).desc() for c in ("written_at", "batch_id", "run", "ts")]
+    return top_k(rows, ["entry_id"], latest, 1, "__rank").drop("__rank")
 
 
 def ledger_balances(spark: SparkSession, path: str) -> DataFrame:

@@ -33,14 +33,17 @@ def session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterat
                 spark.conf.set(name, value)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an append stream to the end of its input into Parquet files and reads them back."""
+def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Runs an append stream to the end of its input into Parquet files and reads them back.
+
+    To resume a stream later, give the same ``checkpoint`` and ``path`` again.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", f"{path}-state")
+        .option("checkpointLocation", checkpoint or f"{path}-state")
         .trigger(availableNow=True)
         .start(path)
     )
@@ -48,11 +51,11 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     """Runs a stream to the end of its input, handing each micro-batch and its number to ``write``."""
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, f"{name}-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
