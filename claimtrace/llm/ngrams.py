@@ -341,11 +341,31 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
 
 
 class _Sets:
-    """Verifies pairs of nodes by their whole sets; only texts of nodes in shared columns move."""
+    """Verifies pairs of nodes by their whole sets.
+
+    Texts of nodes in shared columns are written once, without a shuffle; in each round only those
+    of pairs that their bitmaps leave are dealt by node.
+    """
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, width: int):
         self.nodes, self.width = nodes.select("node", "n", "bits"), width
-        self.texts = self._texts(docs, postings.select("node").distinct())
+        wanted = _node_bits(postings.select("node"))
+
+        def run(batches):
+            seen: set[int] = set()
+            for part in slices(batches, "text"):
+                own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
+                take = _in_bits(own, wanted.value)
+                for i in np.flatnonzero(take).tolist():
+                    # copies in one task send one text; others go when a round deals them
+                    take[i] = int(own[i]) not in seen
+                    seen.add(int(own[i]))
+                if len(seen) > SEEN:
+                    seen.clear()
+                chosen = part.rows.filter(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(own[take]), chosen.column("text")], ["node", "text"])
+
+        self.texts = written(docs.mapInArrow(run, "node bigint, text string"), "ngram-texts")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link.
@@ -355,43 +375,21 @@ class _Sets:
         """
         marks = [self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"]
         close = pairs.select("a", "b").join(marks[0], "a").join(marks[1], "b").mapInArrow(_by_bits, "a bigint, b bigint")
+        pairs = written(close, "ngram-pairs")
+        wanted = _node_bits(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_in_bits(batch.column("node").to_numpy(), wanted.value)))
+
+        texts = written(self.texts.mapInArrow(run, "node bigint, text string").dropDuplicates(["node"]), "ngram-pair-texts")
         both = (
-            close.join(self.texts.select(F.col("node").alias("a"), "text"), "a")
-            .join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+            pairs.join(texts.select(F.col("node").alias("a"), "text"), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
             .select("a", "b", "text", "other")
         )
         return written(both.mapInArrow(self._verified, "a bigint, b bigint"), "ngram-links")
 
-    def _texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """One text for each wanted node.
-
-        A bit array of fixed size, built by Spark, says which nodes may be wanted, so that other
-        texts do not move; what it lets through by chance goes in the join.
-        """
-        place = F.col("node").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
-        bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
-        packed = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        words = np.zeros(1 << (WANTED_BITS - 6), dtype=np.uint64)
-        words[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
-        shared, width = wanted.sparkSession.sparkContext.broadcast(words), self.width
-
-        def run(batches):
-            bits, seen = shared.value, set()
-            for part in slices(batches, "text"):
-                own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
-                at = own & ((1 << WANTED_BITS) - 1)
-                take = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-                for i in np.flatnonzero(take).tolist():
-                    take[i] = int(own[i]) not in seen
-                    seen.add(int(own[i]))
-                if len(seen) > SEEN:
-                    seen.clear()
-                chosen = part.rows.filter(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(own[take]), chosen.column("text")], ["node", "text"])
-
-        found = docs.mapInArrow(run, "node bigint, text string")
-        return written(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-texts")
-
     @property
     def _verified(self):
         width = self.width
@@ -419,3 +417,21 @@ def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, m = (batch.column(f"{c}_n").to_numpy() for c in "ab")
         most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
         yield batch.select(["a", "b"]).filter(pa.array(100 * most >= PERCENT * (n + m - most)))
+
+
+def _node_bits(nodes: DataFrame):
+    """A bit array of fixed size with a bit for each node, packed by Spark and handed to the tasks.
+
+    It only keeps texts from moving: a node it lets through by chance finds no pair in the join.
+    """
+    place = F.col("node").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    packed = nodes.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << (WANTED_BITS - 6), dtype=np.uint64)
+    words[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
+    return nodes.sparkSession.sparkContext.broadcast(words)
+
+
+def _in_bits(nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = nodes & ((1 << WANTED_BITS) - 1)
+    return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
