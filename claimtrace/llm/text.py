@@ -138,9 +138,3 @@ def shingles(words: Words, width: int, short: bool = True) -> tuple[np.ndarray,
     if short:
         starts |= at == np.repeat(words.first[:-1], words.counts())
     return mix(total), starts
-
-
-def binary_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[i]:first[i+1]]; empty ranges give 0."""
-    sums = np.concatenate([[0], np.cumsum(values)])
-    return sums[first[1:]] - sums[first[:-1]]
