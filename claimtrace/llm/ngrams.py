@@ -10,7 +10,8 @@ overlap can reach what the sizes ask for.
 3. The columns are dealt over tasks in blocks. Rows of one column whose sizes can link are
    multiplied with one pivot each, which is linear in the column, and surviving pairs are verified by
    their whole sets; what they link becomes a component. Rounds with other pivots follow until
-   hardly any component grows, so a large group of copies never becomes all its pairs.
+   hardly any component grows, so a large group of copies never becomes all its pairs. A round
+   takes about STAR_COLUMNS columns of a row, as copies share most; step 4 takes all.
 4. Products of rows that are in different components after that are accumulated over all
    columns; pairs whose overlap so far and whose rest cannot reach the bound are discarded, the
    others are verified. No link between different components is missed.
@@ -33,8 +34,9 @@ MAX_FREQUENT = 1 << 19
 MIN_COUNT = 8
 SALT_ROWS = 10_000
 SEEN = 1 << 18
-BITS = 1024
+MIN_BITS, MAX_BITS = 1 << 8, 1 << 15
 FOLDED = 8
+STAR_COLUMNS = 8
 MORE = 0.05
 WANTED_BITS = 24
 
@@ -56,16 +58,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(_signatures(docs, width), "ngram-rows")
     nodes = written(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("folded").alias("folded")),
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.xxhash64(F.min("doc_id")).alias("key"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("folded").alias("folded")),
         "ngram-nodes",
     )
     docs = docs.where("doc_id is not null")
     postings = _postings(docs, width, _frequent(docs, width))
-    sets = _Sets(docs, nodes, postings, width)
+    sets = _Sets(docs, nodes, width)
     labels, links, grown, number = None, None, 1.0, 0
     while grown > MORE:
         # stars of other pivots until hardly any component grows
-        found = sets.linked(_star_pairs(postings, labels, number))
+        found = sets.linked(sets.near(_star_pairs(postings, labels, number)))
         links = found if links is None else links.union(found)
         before, labels, number = labels, written(components(links, rounds=2), "ngram-labels"), number + 1
         merges = [0 if x is None else x.where("node <> label").count() for x in (before, labels)]
@@ -109,9 +111,13 @@ def _node(values: np.ndarray) -> int:
 
 
 def _bitmap(values: np.ndarray) -> bytes:
-    """BITS bits, the one of each shingle set."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(values >> np.uint64(13)).astype(np.int64) & (BITS - 1)] = 1
+    """Four to eight bits a shingle, at most MAX_BITS, the one of each shingle set.
+
+    The number of bits is a power of two, so a longer bitmap folds to the length of a shorter one.
+    """
+    size = min(MAX_BITS, max(MIN_BITS, 1 << (4 * len(values)).bit_length()))
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(values >> np.uint64(13)).astype(np.int64) & (size - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -274,11 +280,17 @@ def _star_pairs(postings: DataFrame, labels: DataFrame | None, number: int) -> D
     components only. The pivots of the blocks of a salted column meet its first pivot as well.
     """
     # a size class and the next hold all sizes that can link
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)))
-    turn = F.xxhash64("node") if labels is None else F.xxhash64("node", "column", F.lit(number))
-    marked = postings.withColumn("label", F.col("node")) if labels is None else _mixed(postings, labels)
-    row = F.struct(turn.alias("turn"), "node", "n", "at", "label")
-    wide = marked.select("column", "salt", row.alias("q"), F.explode(F.array(size, size + 1)).alias("size"))
+    base = 100.0 / PERCENT
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base)))
+    wide = postings.select("column", "salt", "node", "n", "at", F.explode(F.array(size, size + 1)).alias("size"))
+    # one column in so many, the same for all rows of a class; another one in each round
+    share = F.greatest(F.lit(1), F.floor(F.pow(F.lit(base), "size") * ((100 - PERCENT) / (100 * STAR_COLUMNS))))
+    wide = wide.where(F.pmod(F.xxhash64("column"), share) == F.pmod(F.lit(number), share))
+    if labels is None:
+        turn, wide = F.xxhash64("node"), wide.withColumn("label", F.col("node"))
+    else:
+        turn, wide = F.xxhash64("node", "column", F.lit(number)), _labelled(wide, labels)
+    wide = wide.select("column", "salt", "size", F.struct(turn.alias("turn"), "node", "n", "at", "label").alias("q"))
     pivots = wide.groupBy("column", "salt", "size").agg(F.min("q").alias("p"), F.count("*").alias("rows"))
     pairs = wide.join(pivots.where("rows > 1").drop("rows"), ["column", "salt", "size"])
     salted = pivots.where("salt > 0").select("column", "size", F.col("p").alias("q"))
@@ -293,12 +305,21 @@ def _only_in(x: str, y: str):
     return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(FOLDED)), F.lit(0))
 
 
+def _room_in_bits(n: str, folded: str, m: str, m_folded: str):
+    """The short bitmaps of two sets allow a link."""
+    least = _least_overlap(n, m)
+    return (F.col(n) - _only_in(folded, m_folded) >= least) & (F.col(m) - _only_in(m_folded, folded) >= least)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their node, the node itself where it has no links."""
+    named = labels.select(F.col("node").alias("n_"), "label")
+    return rows.join(named, rows["node"] == named["n_"], "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
+
+
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the component of each row, of the columns that hold several components."""
-    named = labels.withColumnRenamed("node", "n_")
-    marked = postings.join(named, F.col("node") == F.col("n_"), "left").select(
-        "column", "salt", "node", "n", "at", F.coalesce("label", "node").alias("label")
-    )
+    marked = _labelled(postings.drop("salt"), labels)
     mixed = marked.groupBy("column").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     return written(marked.join(mixed.select("column"), "column"), "ngram-mixed")
 
@@ -322,13 +343,12 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
     a pair is discarded when those in the prefixes and all that may follow the last of them
     are fewer than the sizes ask for.
     """
-    marked = _mixed(postings, labels).drop("salt").join(nodes.select("node", "folded"), "node")
+    marked = _mixed(postings, labels).join(nodes.select("node", "folded"), "node")
     other = marked.select("column", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label", "folded")])
     met = marked.join(other, "column").where(
         (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label"))
         & _may_link("n", "o_n", "at", "o_at")
-        & (F.col("n") - _only_in("folded", "o_folded") >= _least_overlap("n", "o_n"))
-        & (F.col("o_n") - _only_in("o_folded", "folded") >= _least_overlap("n", "o_n"))
+        & _room_in_bits("n", "folded", "o_n", "o_folded")
     )
     sums = met.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
         F.count("*").alias("overlap"),
@@ -343,29 +363,22 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
 class _Sets:
     """Verifies pairs of nodes by their whole sets.
 
-    Texts of nodes in shared columns are written once, without a shuffle; in each round only those
-    of pairs that their bitmaps leave are dealt by node.
+    Short bitmaps go first, long ones next. Of the pairs that these leave, the text of one document
+    for each node is read again from ``docs`` and dealt by node.
     """
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, postings: DataFrame, width: int):
-        self.nodes, self.width = nodes.select("node", "n", "bits"), width
-        wanted = _node_bits(postings.select("node"))
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int):
+        self.docs, self.nodes, self.width = docs.select(F.xxhash64("doc_id").alias("key"), "text"), nodes, width
 
-        def run(batches):
-            seen: set[int] = set()
-            for part in slices(batches, "text"):
-                own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
-                take = _in_bits(own, wanted.value)
-                for i in np.flatnonzero(take).tolist():
-                    # copies in one task send one text; others go when a round deals them
-                    take[i] = int(own[i]) not in seen
-                    seen.add(int(own[i]))
-                if len(seen) > SEEN:
-                    seen.clear()
-                chosen = part.rows.filter(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(own[take]), chosen.column("text")], ["node", "text"])
+    def _with(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in "ab":
+            named = self.nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+            pairs = pairs.join(named, side)
+        return pairs
 
-        self.texts = written(docs.mapInArrow(run, "node bigint, text string"), "ngram-texts")
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that short bitmaps leave."""
+        return self._with(pairs, "n", "folded").where(_room_in_bits("a_n", "a_folded", "b_n", "b_folded")).select("a", "b")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link.
@@ -373,18 +386,30 @@ class _Sets:
         Bitmaps go first: a bit of one set that the other lacks is a shingle that they do not
         share, so the bits bound the overlap from above. Of the pairs left both texts meet.
         """
-        marks = [self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"]
-        close = pairs.select("a", "b").join(marks[0], "a").join(marks[1], "b").mapInArrow(_by_bits, "a bigint, b bigint")
-        pairs = written(close, "ngram-pairs")
-        wanted = _node_bits(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        kept = "a bigint, b bigint, a_key bigint, b_key bigint"
+        pairs = written(self._with(pairs.select("a", "b"), "n", "bits", "key").mapInArrow(_by_bits, kept), "ngram-pairs")
+        keys = _node_bits(pairs.select(F.explode(F.array("a_key", "b_key")).alias("node")))
+        nodes = _node_bits(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        width = self.width
 
         def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(_in_bits(batch.column("node").to_numpy(), wanted.value)))
+            seen: set[int] = set()
+            wanted = (b.filter(pa.array(_in_bits(b.column("key").to_numpy(), keys.value))) for b in batches)
+            for part in slices(wanted, "text"):
+                own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
+                take = _in_bits(own, nodes.value)
+                for i in np.flatnonzero(take).tolist():
+                    # copies in one task send one text
+                    take[i] = int(own[i]) not in seen
+                    seen.add(int(own[i]))
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(own[take]), part.rows.column("text").filter(pa.array(take))], ["node", "text"])
 
-        texts = written(self.texts.mapInArrow(run, "node bigint, text string").dropDuplicates(["node"]), "ngram-pair-texts")
+        texts = self.docs.mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
         both = (
-            pairs.join(texts.select(F.col("node").alias("a"), "text"), "a")
+            pairs.select("a", "b")
+            .join(texts.select(F.col("node").alias("a"), "text"), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
             .select("a", "b", "text", "other")
         )
@@ -409,14 +434,15 @@ class _Sets:
 def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose overlap may reach the bound by what their bitmaps say."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (
-            np.frombuffer(b"".join(batch.column(f"{c}_bits").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in "ab"
-        )
-        n, m = (batch.column(f"{c}_n").to_numpy() for c in "ab")
-        most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
-        yield batch.select(["a", "b"]).filter(pa.array(100 * most >= PERCENT * (n + m - most)))
+        sizes = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), strict=True)
+        good = []
+        for (n, m), x, y in zip(sizes, batch.column("a_bits"), batch.column("b_bits"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            short = min(len(x), len(y))
+            x, y = (np.bitwise_or.reduce(v.reshape(-1, short)) for v in (x, y))
+            most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+            good.append(100 * most >= PERCENT * (n + m - most))
+        yield batch.select(["a", "b", "a_key", "b_key"]).filter(pa.array(good, pa.bool_()))
 
 
 def _node_bits(nodes: DataFrame):
