@@ -121,7 +121,9 @@ def filter_search(
     matches = (F.coalesce("__all", F.lit(0)) == len(set(all_of))) & (F.coalesce("__none", F.lit(0)) == 0)
     if any_of:
         matches = matches & (F.col("__any") > 0)
-    return kept.join(found, "doc_id", "left").where(matches).drop("__all", "__any", "__none")
+    # without required terms a document that has none of the sought ones may match
+    how = "inner" if all_of or any_of else "left"
+    return kept.join(found, "doc_id", how).where(matches).drop("__all", "__any", "__none")
 
 
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -221,8 +223,9 @@ def search_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, width:
 
 def collapse_duplicates(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """One hit per query and identical text: the one of best rank."""
-    texts = docs.select("doc_id", F.col("text").alias("__text"))
-    hashed = hits.join(texts, "doc_id").withColumn("__hash", F.sha2("__text", 256)).drop("__text")
+    # hashed below the join, so that texts do not move
+    hashes = docs.select("doc_id", F.sha2("text", 256).alias("__hash"))
+    hashed = hits.join(hashes, "doc_id")
     order = [F.col("rank"), F.col("doc_id")]
     return top_k(hashed, ["query_id", "__hash"], order, 1, "__best").drop("__hash", "__best")
 

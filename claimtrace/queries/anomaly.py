@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimtrace.functions import dollars, money
 from claimtrace.operators import anomaly
-from claimtrace.sources import LINE_KEY, claim_lines, table
+from claimtrace.sources import LINE_KEY, claim_lines, table, written
 
 RATE_YEARS = (1995, 2000)
 
@@ -93,7 +93,9 @@ def frequency_limit(spark, path):
 
 
 def provider_peer_rank(spark, path):
-    ranked = anomaly.provider_peer_rank(provider_totals(spark, path), "provider", "nation", "total")
+    # group sizes are counted on the totals, so that the lines are read once
+    totals = written(provider_totals(spark, path), "provider-totals")
+    ranked = anomaly.provider_peer_rank(totals, "provider", "nation", "total")
     return ranked.withColumn("total", dollars("total"))
 
 
