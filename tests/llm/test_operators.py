@@ -151,6 +151,14 @@ def test_line_dedup(spark):
     assert lines.line_dedup(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_of_lines_on_a_few_hundredths_of_the_pages(spark):
+    """A line on 4 of 300 pages is boilerplate, one on 1 % of them is not; so it is on ten times the pages."""
+    for n in (300, 3000):
+        rows = [(i, f"own {i}" + "\nfooter" * (i % 75 == 0) + "\nchance" * (i % 100 == 0), "s") for i in range(n)]
+        out = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+        assert out == {i: f"own {i}" + "\nchance" * (i % 100 == 0) for i in range(n)}
+
+
 # --- BPE -------------------------------------------------------------------------------------------
 
 
