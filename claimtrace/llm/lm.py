@@ -3,8 +3,8 @@
 A text is the sequence of its lower-cased words, a blank after each and an end instead of the last
 blank. Its symbols are bytes, coded by a binary (Huffman) code of the training bytes, so that a
 frequent byte takes few decisions. Each decision is predicted in several contexts: the last one, two
-and three bytes, and the word so far. A predictor is the counts of zeros and ones in a slot found by
-a hash of context and code node. Its log-odds, kept in LEVELS steps, are mixed by weights that are
+and three bytes, and the word so far. A predictor is the counts of zeros and ones in a slot, one for each
+context and code node, known by a 32-bit hash; the slots are a table that grows with the input. Its log-odds, kept in LEVELS steps, are mixed by weights that are
 gated by which contexts have been seen; the weights are learned online, and a table of what really
 followed each combination refines the mixed probability (Mahoney 2005).
 
@@ -30,10 +30,13 @@ LEVELS = 16
 WIDEST = 8.0
 END = 10
 BLANK = 32
-MIN_BITS, MAX_BITS = 18, 20
-BYTES_PER_SLOT = 1024
-CHUNK = 1 << 14
-SLICE = 1 << 18
+MIN_CHUNK_BITS = 8
+BYTES_PER_CHUNK = 1 << 24
+SLICE = 1 << 20
+BLOCK = 1 << 16
+HELD = 1 << 21
+LAST = 1 << 62
+BLOBS = ("slots", "counts", "levels", "data", "first", "rows")
 HEAD = 1 << 18
 EPOCHS = 30
 _U = np.uint64
@@ -120,15 +123,52 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(size, np.cumsum(size) - size, marks[[n for n, _ in flat]], np.array([b for _, b in flat], dtype=np.int64))
 
 
-def decisions(data: np.ndarray, first: np.ndarray, code: Code, mask: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Slots of each context for each binary decision, the bits, and how many each text has before."""
-    size = code.size[data]
-    ends = np.cumsum(size)
-    symbol = np.repeat(np.arange(len(data)), size)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.start[data] - (ends - size), size)
-    node, bit = code.node[at], code.bit[at]
-    slots = [(c[symbol] ^ node) & np.uint32(mask) for c in _contexts(data, first)]
-    return slots, bit, np.concatenate([[0], ends])[first]
+@dataclass
+class Decisions:
+    """The binary decisions of a part of the text and the slots that they ask for.
+
+    ``slots`` are sorted keys (context << 32 | hash of context and node), each once; ``n`` how often
+    a zero and a one followed each.
+    """
+
+    slots: np.ndarray
+    n: np.ndarray
+    _place: list[np.ndarray]
+    _begin: list[np.ndarray]
+    _size: np.ndarray
+    _bit: np.ndarray
+    _code_start: np.ndarray
+
+    def starts(self) -> np.ndarray:
+        """The first decision of each symbol."""
+        return np.cumsum(self._size) - self._size
+
+    def blocks(self, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Cells and bits, BLOCK symbols at a time; ``levels`` of the slots, in their order."""
+        for at in range(0, len(self._size), BLOCK):
+            size = self._size[at : at + BLOCK]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            cell = np.zeros(len(inner), dtype=np.int32)
+            for place, begin in zip(self._place, self._begin, strict=True):
+                cell = cell * LEVELS + levels[place[np.repeat(begin[at : at + BLOCK], size) + inner]]
+            yield cell, self._bit[np.repeat(self._code_start[at : at + BLOCK], size) + inner]
+
+def decisions(data: np.ndarray, first: np.ndarray, code: Code) -> Decisions:
+    """Decisions by symbol; equal symbols in an equal context are worked out once."""
+    slots, n, places, begins, before = [], [], [], [], 0
+    for k, context in enumerate(_contexts(data, first)):
+        pair, inverse, often = np.unique(context.astype(_U) << _U(8) | data, return_inverse=True, return_counts=True)
+        byte = (pair & _U(255)).astype(np.int64)
+        size = code.size[byte]
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(code.start[byte] - begin, size)
+        own, place = np.unique(np.repeat((pair >> _U(8)).astype(np.uint32), size) ^ code.node[at], return_inverse=True)
+        n.append(np.bincount(place * 2 + code.bit[at], np.repeat(often, size), minlength=2 * len(own)).astype(np.int64).reshape(-1, 2))
+        slots.append(own.astype(_U) | _U(k << 32))
+        places.append(place + before)
+        begins.append(begin[inverse])
+        before += len(own)
+    return Decisions(np.concatenate(slots), np.concatenate(n), places, begins, code.size[data], code.bit, code.start[data])
 
 
 # --- model -----------------------------------------------------------------------------------
@@ -137,16 +177,10 @@ def decisions(data: np.ndarray, first: np.ndarray, code: Code, mask: int) -> tup
 @dataclass
 class Model:
     code: Code
-    bits: int
-    levels: np.ndarray  # contexts x slots: a level, 0 for a slot without counts
+    chunk_bits: int
+    slots: DataFrame  # chunk, slots, levels: the sorted slots of a chunk and a level of each
     log_p: np.ndarray = field(default_factory=lambda: np.zeros(0))  # cells x 2: log10 probability of each bit
 
-    def cells(self, slots: list[np.ndarray]) -> np.ndarray:
-        cell = self.levels[0][slots[0]].astype(np.int32)
-        for k in range(1, CONTEXTS):
-            cell = cell * LEVELS + self.levels[k][slots[k]]
-        return cell
-
 
 def _level(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log-odds of a slot in LEVELS - 1 steps from 1 on; 0 without counts."""
@@ -196,62 +230,166 @@ def _rows(kind: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """Counts, weights and refinement from documents with a fold; ``counts`` as from word_counts.
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all parts, sorted and each once, and their counts added up."""
+    slots = np.concatenate([p[0] for p in parts])
+    order = np.argsort(slots)
+    slots = slots[order]
+    edge = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, dtype=np.int64)
+    n = np.concatenate([p[1] for p in parts])[order]
+    return slots[edge], np.add.reduceat(n, edge) if len(edge) else n
+
+
+def _chunks(slots: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Chunks of sorted slots: a range of each context's hashes."""
+    chunk = slots >> _U(32 - bits)
+    edge = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(chunk)], strict=False):
+        yield int(chunk[a]), slice(a, b)
+
+
+def _table(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k in BLOBS else pa.int64()) for k, v in columns.items()})
 
-    The number of slots grows with the training bytes, up to 2^MAX_BITS for each context. A task
-    sends its slot counts in chunks; tasks that add them up hold only the chunks dealt to them, and
-    the driver gets tables of fixed size.
+
+def _slot_counts(docs: DataFrame, shared, bits: int) -> DataFrame:
+    """chunk, slots and levels of all slots that ``docs`` hold.
+
+    A task adds up what it holds until that is HELD slots, then sends it by chunk. The number of
+    chunks grows with the training bytes, so that those who add up a chunk hold a bounded table.
     """
-    spark = docs.sparkSession
-    letters = np.zeros(256, dtype=np.int64)
-    for row in counts.where("kind = 2").collect():  # at most 256 rows
-        letters[row.key] = row.n
-    code = huffman(letters)
-    bits = int(np.clip(np.ceil(np.log2(max(1, letters.sum() / BYTES_PER_SLOT))), MIN_BITS, MAX_BITS))
-    shape = (CONTEXTS, 1 << bits, 2)
-    shared_code = spark.sparkContext.broadcast((code, bits))
-    total = int(np.prod(shape))
-    chunk = min(CHUNK, total)
+
+    def sent(slots, n):
+        rows = [(c, slots[at].astype(np.uint32).tobytes(), n[at].astype(np.uint32).tobytes()) for c, at in _chunks(slots, bits)]
+        return _table(dict(zip(("chunk", "slots", "counts"), map(list, zip(*rows, strict=True)), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, bits = shared_code.value
-        table = np.zeros((CONTEXTS, 2 << bits), dtype=np.int64)
+        pending, size = [], 0
         for part in slices(batches, "text", SLICE):
-            slots, bit, _ = decisions(*symbols(part, Words(part, NOT_SPACE)), code, (1 << bits) - 1)
-            for k, slot in enumerate(slots):
-                table[k] += np.bincount(slot.astype(np.int64) * 2 + bit, minlength=2 << bits)
-        flat = table.reshape(-1, chunk)
-        for at in np.flatnonzero(flat.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.minimum(flat[at], 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["chunk", "counts"])
+            found = decisions(*symbols(part, Words(part, NOT_SPACE)), shared.value)
+            pending.append((found.slots, found.n))
+            size += len(found.slots)
+            if size > 2 * HELD:
+                pending = [_summed(pending)]
+                size = len(pending[0][0])
+                if size > HELD:
+                    yield sent(*pending[0])
+                    pending, size = [], 0
+        if size:
+            yield sent(*_summed(pending))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        def done(chunk, pending):
+            slots, n = _summed(pending)
+            return _table({"chunk": [chunk], "slots": [slots.tobytes()], "levels": [_level(n[:, 0], n[:, 1]).tobytes()]})
+
+        last, pending, size = None, [], 0
         for batch in batches:
-            for at, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[at] = sums.get(at, 0) + np.frombuffer(raw, dtype=np.uint32).astype(np.int64)
-        for at, values in sums.items():
-            pairs = values.reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_level(pairs[:, 0], pairs[:, 1]).tobytes()], pa.binary())], ["chunk", "levels"])
-
-    counting = docs.where(~F.col("fold").isin(HELD_OUT, GATES)).select("text")
-    sent = counting.mapInArrow(count, "chunk bigint, counts binary").repartition("chunk")
-    levels = np.zeros(total // 2, dtype=np.uint8)
-    for row in sent.mapInArrow(add, "chunk bigint, levels binary").toArrow().to_pylist():
-        levels[row["chunk"] * chunk // 2 : (row["chunk"] + 1) * chunk // 2] = np.frombuffer(row["levels"], dtype=np.uint8)
-    model = Model(code, bits, levels.reshape(CONTEXTS, -1))
-    shared = spark.sparkContext.broadcast(model)
+            for chunk, slots, n in zip(batch.column("chunk").to_pylist(), batch.column("slots"), batch.column("counts"), strict=True):
+                if chunk != last and pending:
+                    yield done(last, pending)
+                    pending, size = [], 0
+                last = chunk
+                pending.append((np.frombuffer(slots.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64).reshape(-1, 2)))
+                size += len(pending[-1][0])
+                if size > 2 * HELD:
+                    pending = [_summed(pending)]
+                    size = 0
+        if pending:
+            yield done(last, pending)
+
+    found = docs.select("text").mapInArrow(count, "chunk bigint, slots binary, counts binary")
+    dealt = found.repartition("chunk").sortWithinPartitions("chunk")
+    return written(dealt.mapInArrow(add, "chunk bigint, slots binary, levels binary"), "lm-slots")
+
+
+def _with_levels(docs: DataFrame, code, bits: int, table: DataFrame) -> DataFrame:
+    """Slices of ``docs`` (row_no, text) with the levels of the slots they ask for, in parts.
+
+    A slice asks for each slot once, by chunk, so that no slot is a hot key; a chunk meets those who ask
+    for it where it lies, and answers go back to the slice. Rows come sorted: slice, chunk, levels
+    of a part of its slots; then its text as symbols, where each text starts and row numbers.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE):
+            data, first = symbols(part, Words(part, NOT_SPACE))
+            found = decisions(data, first, code.value)
+            row_no = part.rows.column("row_no").to_numpy()
+            rows = [(c, found.slots[at].astype(np.uint32).tobytes(), None, None, None) for c, at in _chunks(found.slots, bits)]
+            rows.append((LAST, None, data.tobytes(), first.astype(np.int64).tobytes(), row_no.tobytes()))
+            columns = dict(zip(("chunk", "slots", "data", "first", "rows"), map(list, zip(*rows, strict=True)), strict=True))
+            # the number of its first row is a slice's name
+            yield _table({"slice": [int(row_no[0])] * len(rows)} | columns)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known, level = None, None, None
+        for batch in batches:
+            out = []
+            columns = (batch.column("chunk").to_pylist(), batch.column("slice").to_pylist(), batch.column("slots"), batch.column("levels"))
+            for chunk, number, slots, levels in zip(*columns, strict=True):
+                if chunk != last:
+                    last, known, level = chunk, np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+                own = np.frombuffer(slots.as_buffer(), np.uint32)
+                if levels.is_valid:
+                    known, level = own.copy(), np.frombuffer(levels.as_buffer(), np.uint8).copy()
+                    continue
+                found = np.zeros(len(own), dtype=np.uint8)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    found = np.where(known[place] == own, level[place], 0).astype(np.uint8)
+                out.append((number, chunk, found.tobytes()))
+            if out:
+                yield _table(dict(zip(("slice", "chunk", "levels"), map(list, zip(*out, strict=True)), strict=True)))
+
+    asked = written(docs.select("row_no", "text").mapInArrow(ask, "slice bigint, chunk bigint, slots binary, data binary, first binary, rows binary"), "lm-slices")
+    nothing = F.lit(None).cast("binary")
+    both = asked.where(F.col("chunk") < LAST).select("chunk", "slice", "slots", nothing.alias("levels")).union(
+        table.select("chunk", F.lit(-1).cast("bigint").alias("slice"), "slots", "levels")
+    )
+    met = both.repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(answer, "slice bigint, chunk bigint, levels binary")
+    texts = asked.where(F.col("chunk") == LAST).select("slice", "chunk", nothing.alias("levels"), "data", "first", "rows")
+    all_rows = met.select("slice", "chunk", "levels", *[nothing.alias(c) for c in ("data", "first", "rows")]).union(texts)
+    return all_rows.repartition("slice").sortWithinPartitions("slice", "chunk")
+
+
+def _met(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[tuple[Decisions, np.ndarray, np.ndarray, np.ndarray]]:
+    """Decisions, levels, starts of texts and row numbers of each slice."""
+    levels = []
+    for batch in batches:
+        for chunk, level, data, first, rows in zip(*(batch.column(c) for c in ("chunk", "levels", "data", "first", "rows")), strict=True):
+            if chunk.as_py() < LAST:
+                levels.append(np.frombuffer(level.as_py(), np.uint8))
+                continue
+            start = np.frombuffer(first.as_buffer(), np.int64)
+            found = decisions(np.frombuffer(data.as_buffer(), np.uint8), start, code)
+            yield found, np.concatenate(levels), start, np.frombuffer(rows.as_buffer(), np.int64)
+            levels = []
+
+
+def train(docs: DataFrame, counts: DataFrame) -> Model:
+    """Counts, weights and refinement from documents with a fold and row_no; ``counts`` as from word_counts.
+
+    Slots and their levels stay a table, which grows with the contexts that training documents hold.
+    """
+    spark = docs.sparkSession
+    letters = np.zeros(256, dtype=np.int64)
+    for row in counts.where("kind = 2").collect():  # at most 256 rows
+        letters[row.key] = row.n
+    code = huffman(letters)
+    bits = int(max(MIN_CHUNK_BITS, np.ceil(np.log2(max(1, letters.sum() / BYTES_PER_CHUNK)))))
+    shared = spark.sparkContext.broadcast(code)
+    model = Model(code, bits, _slot_counts(docs.where(~F.col("fold").isin(HELD_OUT, GATES)), shared, bits))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         seen = np.zeros(2 * LEVELS**CONTEXTS, dtype=np.int64)
-        for part in slices(batches, "text", SLICE):
-            slots, bit, _ = decisions(*symbols(part, Words(part, NOT_SPACE)), m.code, (1 << m.bits) - 1)
-            seen += np.bincount(m.cells(slots).astype(np.int64) * 2 + bit, minlength=len(seen))
+        for found, levels, _, _ in _met(batches, shared.value):
+            for cell, bit in found.blocks(levels):
+                seen += np.bincount(cell.astype(np.int64) * 2 + bit, minlength=len(seen))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
-    gating = docs.where(F.col("fold") == GATES).select("text").mapInArrow(follow, "cell bigint, n bigint")
+    gating = _with_levels(docs.where(F.col("fold") == GATES), shared, bits, model.slots).mapInArrow(follow, "cell bigint, n bigint")
     rows = gating.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(2 * LEVELS**CONTEXTS)
     seen[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
@@ -316,8 +454,9 @@ def score(docs: DataFrame) -> DataFrame:
     key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(key)
     head = spark.sparkContext.broadcast((key[order], np.log10(n[order] + 1.0)))
-    model = spark.sparkContext.broadcast(train(docs, counts))
     numbered = docs.withColumn("row_no", F.monotonically_increasing_id())
+    model = train(numbered, counts)
+    code, log_p = spark.sparkContext.broadcast(model.code), spark.sparkContext.broadcast(model.log_p)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -327,15 +466,11 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words.hash[unknown].view(np.int64)), pa.array(row_no)], ["key", "row_no"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text"):
             words = Words(part, NOT_SPACE)
             unknown, logs = _in_head(words, head.value)
             known = np.ones(len(words.hash))
             known[unknown] = 0
-            data, first = symbols(part, words)
-            slots, bit, bit_first = decisions(data, first, m.code, (1 << m.bits) - 1)
-            gained = m.log_p[m.cells(slots), bit]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.rows.column("row_no"),
@@ -344,14 +479,18 @@ def score(docs: DataFrame) -> DataFrame:
                     pa.array(words.counts() + 1),
                     pa.array(_sums(known, words.first).astype(np.int64)),
                     pa.array(_sums(logs, words.first)),
-                    pa.array(np.add.reduceat(gained, bit_first[:-1])),
-                    pa.array(np.diff(first)),
                 ],
-                ["row_no", "doc_id", "fold", "n_tokens", "head_known", "head_log", "score", "n_bytes"],
+                ["row_no", "doc_id", "fold", "n_tokens", "head_known", "head_log"],
             )
 
+    def code_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, levels, first, row_no in _met(batches, code.value):
+            gained = np.concatenate([log_p.value[cell, bit] for cell, bit in found.blocks(levels)])
+            own = np.add.reduceat(gained, found.starts()[first[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(row_no), pa.array(own), pa.array(np.diff(first))], ["row_no", "score", "n_bytes"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row_no bigint, doc_id {kind}, fold int, n_tokens bigint, head_known bigint, head_log double, score double, n_bytes bigint"
+    schema = f"row_no bigint, doc_id {kind}, fold int, n_tokens bigint, head_known bigint, head_log double"
     rows = numbered.mapInArrow(measure, schema)
     looked_up = (
         numbered.select("text", "row_no").mapInArrow(rare, "key bigint, row_no bigint")
@@ -360,7 +499,8 @@ def score(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("log"))
     )
     base = F.col("head_log") + F.coalesce("log", F.lit(0.0)) + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(log_total)
-    return rows.join(looked_up, "row_no", "left").select(
+    coded = _with_levels(numbered, code, model.chunk_bits, model.slots).mapInArrow(code_length, "row_no bigint, score double, n_bytes bigint")
+    return rows.join(coded, "row_no").join(looked_up, "row_no", "left").select(
         "doc_id",
         (F.col("fold") == HELD_OUT).alias("held_out"),
         "n_tokens",

@@ -285,6 +285,35 @@ def test_lm_base_scores_and_probabilities(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [lm.HELD, 50])
+def test_lm_slots_are_those_of_the_training_text(spark, monkeypatch, held):
+    """Every context and code node seen has a slot of its own, and no other has one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from claimtrace.llm.text import NOT_SPACE, Slice, Words
+
+    monkeypatch.setattr(lm, "HELD", held)
+    texts = {i: prose(i, 20 + i) for i in range(60)} | {60: None, 61: ""}
+    docs = lm._fold(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).withColumn("row_no", F.col("doc_id"))
+    model = lm.train(docs, lm.word_counts(docs.where(F.col("fold") != lm.HELD_OUT)))
+    own = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 not in (lm.HELD_OUT, lm.GATES)]
+    part = Slice(pa.RecordBatch.from_pydict({"text": pa.array(own, pa.string())}), "text")
+    data, first = lm.symbols(part, Words(part, NOT_SPACE))
+    wanted = {}
+    for k, context in enumerate(lm._contexts(data, first)):
+        for c, byte in zip(context.tolist(), data.tolist(), strict=True):
+            at = slice(model.code.start[byte], model.code.start[byte] + model.code.size[byte])
+            for node, bit in zip(model.code.node[at].tolist(), model.code.bit[at].tolist(), strict=True):
+                wanted.setdefault((k, c ^ node), [0, 0])[bit] += 1
+    found = {}
+    for row in model.slots.collect():
+        for slot, level in zip(np.frombuffer(row.slots, np.uint32).tolist(), row.levels, strict=True):
+            assert (row.chunk >> model.chunk_bits, slot) not in found
+            found[row.chunk >> model.chunk_bits, slot] = level
+    assert found == {key: lm._level(*np.array(n)) for key, n in wanted.items()}
+
+
 def test_lm_probabilities_of_a_decision_add_up():
     import numpy as np
 
