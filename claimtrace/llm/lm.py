@@ -38,7 +38,10 @@ HELD = 1 << 21
 LAST = 1 << 62
 BLOBS = ("slots", "counts", "levels", "data", "first", "rows")
 HEAD = 1 << 18
-EPOCHS = 30
+ROUNDS = 3
+START, RATE = 0.3, 0.02
+LANE, LANES = 256, 1024
+FIXED = 1 << 16
 _U = np.uint64
 
 
@@ -303,12 +306,11 @@ def _slot_counts(docs: DataFrame, shared, bits: int) -> DataFrame:
     return written(dealt.mapInArrow(add, "chunk bigint, slots binary, levels binary"), "lm-slots")
 
 
-def _with_levels(docs: DataFrame, code, bits: int, table: DataFrame) -> DataFrame:
-    """Slices of ``docs`` (row_no, text) with the levels of the slots they ask for, in parts.
+def _asked(docs: DataFrame, code, bits: int) -> DataFrame:
+    """Slices of ``docs`` (row_no, text) and, by chunk, the slots that they ask for.
 
     A slice asks for each slot once, by chunk, so that no slot is a hot key; a chunk meets those who ask
-    for it where it lies, and answers go back to the slice. Rows come sorted: slice, chunk, levels
-    of a part of its slots; then its text as symbols, where each text starts and row numbers.
+    for it where it lies, and answers go back to the slice.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +324,16 @@ def _with_levels(docs: DataFrame, code, bits: int, table: DataFrame) -> DataFram
             # the number of its first row is a slice's name
             yield _table({"slice": [int(row_no[0])] * len(rows)} | columns)
 
+    return written(docs.select("row_no", "text").mapInArrow(ask, "slice bigint, chunk bigint, slots binary, data binary, first binary, rows binary"), "lm-slices")
+
+
+def _with_levels(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """Slices with the levels of the slots they ask for, in parts.
+
+    Rows come sorted: slice, chunk, levels of a part of its slots; then its text as symbols, where
+    each text starts and row numbers.
+    """
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known, level = None, None, None
         for batch in batches:
@@ -342,7 +354,6 @@ def _with_levels(docs: DataFrame, code, bits: int, table: DataFrame) -> DataFram
             if out:
                 yield _table(dict(zip(("slice", "chunk", "levels"), map(list, zip(*out, strict=True)), strict=True)))
 
-    asked = written(docs.select("row_no", "text").mapInArrow(ask, "slice bigint, chunk bigint, slots binary, data binary, first binary, rows binary"), "lm-slices")
     nothing = F.lit(None).cast("binary")
     both = asked.where(F.col("chunk") < LAST).select("chunk", "slice", "slots", nothing.alias("levels")).union(
         table.select("chunk", F.lit(-1).cast("bigint").alias("slice"), "slots", "levels")
@@ -381,49 +392,88 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(code)
     model = Model(code, bits, _slot_counts(docs.where(~F.col("fold").isin(HELD_OUT, GATES)), shared, bits))
 
+    asked = _asked(docs.where(F.col("fold") == GATES), shared, bits)
+    weights, seen = np.full((1 << CONTEXTS, CONTEXTS), START), np.zeros((LEVELS**CONTEXTS, 2))
+    for number in range(ROUNDS):
+        own = asked.where(F.pmod(F.xxhash64("slice"), F.lit(ROUNDS)) == number)
+        weights, more = _round(_with_levels(own, model.slots), shared, weights)
+        seen += more
+    model.log_p = _mixed(seen, weights)
+    return model
+
+
+def _round(slices_: DataFrame, code, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after the bits of all slices, and how often each bit followed each cell.
+
+    Every slice starts from the same weights and moves its own online; Spark averages them, by the
+    decisions of each gate. Weights are added up in fixed point, so that their order does not matter.
+    """
+    start = slices_.sparkSession.sparkContext.broadcast(weights)
+    cells = 2 * LEVELS**CONTEXTS
+
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * LEVELS**CONTEXTS, dtype=np.int64)
-        for found, levels, _, _ in _met(batches, shared.value):
+        seen = np.zeros(cells, dtype=np.int64)
+        moved = np.zeros((2, *weights.shape), dtype=np.int64)
+        for found, levels, _, _ in _met(batches, code.value):
+            own, passed = start.value.copy(), np.zeros(1 << CONTEXTS, dtype=np.int64)
             for cell, bit in found.blocks(levels):
-                seen += np.bincount(cell.astype(np.int64) * 2 + bit, minlength=len(seen))
+                seen += np.bincount(cell.astype(np.int64) * 2 + bit, minlength=cells)
+                passed += learn(own, cell, bit)
+            moved[0] += np.rint(own * FIXED).astype(np.int64) * passed[:, None]
+            moved[1] += passed[:, None]
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
+        key = np.append(at, cells + np.arange(weights.size))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.append(seen[at], moved[1])), pa.array(np.append(seen[at] * 0, moved[0]))], ["key", "n", "moved"])
 
-    gating = _with_levels(docs.where(F.col("fold") == GATES), shared, bits, model.slots).mapInArrow(follow, "cell bigint, n bigint")
-    rows = gating.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(2 * LEVELS**CONTEXTS)
-    seen[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    model.log_p = _mixed(seen.reshape(-1, 2))
-    return model
+    found = slices_.mapInArrow(follow, "key bigint, n bigint, moved bigint")
+    rows = found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).toArrow()
+    n, moved = np.zeros(cells + weights.size), np.zeros(cells + weights.size)
+    n[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    moved[rows.column("key").to_numpy()] = rows.column("moved").to_numpy()
+    passed, moved = n[cells:].reshape(weights.shape), moved[cells:].reshape(weights.shape)
+    return np.where(passed > 0, moved / FIXED / np.maximum(passed, 1), weights), n[:cells].reshape(-1, 2)
+
+
+def _inputs(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of each context in a cell, and its gate: which contexts have been seen."""
+    level = np.stack([cells // LEVELS ** (CONTEXTS - 1 - k) % LEVELS for k in range(CONTEXTS)], axis=1)
+    return _odds_of_level(level), (level > 0) @ (1 << np.arange(CONTEXTS))
 
 
-def _mixed(seen: np.ndarray) -> np.ndarray:
-    """log10 probability of zero and one in each cell: gated mixing, refined by what was seen.
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
-    Weights start equal and are moved online, cell after cell in a fixed shuffled order, along the
-    gradient of the coding cost; a cell moves them in proportion to how often it occurred.
+
+def learn(weights: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Moves ``weights`` bit by bit along the gradient of the coding cost; decisions of each gate.
+
+    Lanes, stretches of the text of equal length, are walked side by side: each step codes the next
+    bit of every lane and then moves the weights of a gate by its lanes' mean.
     """
-    cells = np.arange(LEVELS**CONTEXTS)
-    level = np.stack([cells // LEVELS ** (CONTEXTS - 1 - k) % LEVELS for k in range(CONTEXTS)], axis=1)
-    inputs = _odds_of_level(level)
-    gate = (level > 0) @ (1 << np.arange(CONTEXTS))
-    weights = np.full((1 << CONTEXTS, CONTEXTS), 0.3)
-    n = seen.sum(axis=1)
-    used = np.flatnonzero(n)
-    share = n / max(1.0, n.sum())
-    target = seen[:, 1] / np.maximum(n, 1)
-    order = np.argsort(randoms(313, len(cells)))
-    order = order[np.isin(order, used)]
-    square = np.full(weights.shape, 1e-8)
-    for _ in range(EPOCHS if len(used) else 0):
-        for at in np.array_split(order, max(1, len(order) // 64)):
-            p = 1 / (1 + np.exp(-(weights[gate[at]] * inputs[at]).sum(axis=1)))
-            gradient = np.zeros_like(weights)
-            np.add.at(gradient, gate[at], ((p - target[at]) * share[at])[:, None] * inputs[at])
-            square += gradient * gradient
-            weights -= 0.02 * gradient / np.sqrt(square)
-    p = np.clip(1 / (1 + np.exp(-(weights[gate] * inputs).sum(axis=1))), 1e-5, 1 - 1e-5)
-    p = np.clip((seen[:, 1] + 16 * p) / (n + 16), 1e-6, 1 - 1e-6)
+    inputs, gate = _inputs(cell)
+    lanes = int(np.clip(len(cell) // LANE, 1, LANES))
+    steps = -(-len(cell) // lanes)
+    for step in range(steps):
+        at = np.arange(step, len(cell), steps)
+        g, x = gate[at], inputs[at]
+        error = bit[at] - _logistic((weights[g] * x).sum(axis=1))
+        n = np.bincount(g, minlength=len(weights))
+        move = np.stack([np.bincount(g, error * x[:, k], minlength=len(weights)) for k in range(CONTEXTS)], axis=1)
+        weights += RATE * move / np.maximum(n, 1)[:, None]
+    return np.bincount(gate, minlength=len(weights))
+
+
+def _mixed(seen: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of zero and one in each cell: the gated mixture, blended with its refinement.
+
+    The refinement moves from the mixture towards what followed the cell, by one part in n + 16 at
+    its n-th bit; both have an equal share of the result, however much was seen.
+    """
+    inputs, gate = _inputs(np.arange(LEVELS**CONTEXTS))
+    weights = np.full((1 << CONTEXTS, CONTEXTS), START) if weights is None else weights
+    p = np.clip(_logistic((weights[gate] * inputs).sum(axis=1)), 1e-5, 1 - 1e-5)
+    refined = (seen[:, 1] + 16 * p) / (seen.sum(axis=1) + 16)
+    p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
     return np.log10(np.stack([1 - p, p], axis=1))
 
 
@@ -499,7 +549,7 @@ def score(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("log"))
     )
     base = F.col("head_log") + F.coalesce("log", F.lit(0.0)) + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(log_total)
-    coded = _with_levels(numbered, code, model.chunk_bits, model.slots).mapInArrow(code_length, "row_no bigint, score double, n_bytes bigint")
+    coded = _with_levels(_asked(numbered, code, model.chunk_bits), model.slots).mapInArrow(code_length, "row_no bigint, score double, n_bytes bigint")
     return rows.join(coded, "row_no").join(looked_up, "row_no", "left").select(
         "doc_id",
         (F.col("fold") == HELD_OUT).alias("held_out"),

@@ -324,6 +324,23 @@ def test_lm_probabilities_of_a_decision_add_up():
     assert sum(2.0 ** -code.size) == 1
 
 
+def test_lm_mixing_counts_however_much_was_seen_and_is_learned_online():
+    import numpy as np
+
+    seen = np.full((lm.LEVELS**lm.CONTEXTS, 2), 10.0**9)
+    few, many = (lm._mixed(seen, np.full((1 << lm.CONTEXTS, lm.CONTEXTS), w)) for w in (0.1, 0.6))
+    assert np.abs(few - many).max() > 0.1
+    rng = np.random.default_rng(3)
+    # the first context is right, the others are noise
+    level = rng.integers(1, lm.LEVELS, (200_000, lm.CONTEXTS))
+    cell = level @ lm.LEVELS ** np.arange(lm.CONTEXTS - 1, -1, -1)
+    bit = (rng.random(len(cell)) < 1 / (1 + np.exp(-lm._odds_of_level(level[:, 0])))).astype(np.int64)
+    weights = np.full((1 << lm.CONTEXTS, lm.CONTEXTS), lm.START)
+    assert lm.learn(weights, cell, bit).sum() == len(cell)
+    assert weights[-1][0] > 0.7 and np.abs(weights[-1][1:]).max() < 0.15
+    assert (weights[:-1] == lm.START).all()
+
+
 # --- fingerprints -----------------------------------------------------------------------------------
 
 
