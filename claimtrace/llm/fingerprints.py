@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimtrace.llm.graph import components
 from claimtrace.llm.text import cut, mix, randoms
+from claimtrace.sources import written
 
 BITS = 256
 BLOCKS = BITS // 8
@@ -22,6 +24,7 @@ MASK = 127
 LEAST, MOST = 32, 768
 CONTEXT = 6
 SLICE = 4 << 20
+MORE = 0.05
 _U = np.uint64
 
 _STEP = randoms(211, 2 * MOST + 1024)
@@ -114,25 +117,62 @@ def _hex(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes().hex() for r in rows], pa.string())
 
 
-def near_links(prints: DataFrame, differ: int = 32, bands: int = 16, sample: int = 20) -> DataFrame:
+def near_links(prints: DataFrame, differ: int = 32) -> DataFrame:
     """Links (a, b, differ) between fingerprints that differ in at most ``differ`` bits.
 
-    ``prints`` has doc_id and fingerprint. Equal fingerprints are one first. Each of ``bands``
-    bands samples ``sample`` bits; fingerprints that agree on a band meet its first one, which is
-    linear in a band however many share it, and the pair is verified by its whole
-    fingerprints. Links are thus not all pairs of a group but lead to its members; two that agree on
-    no band are missed. Null ids and fingerprints are left out; of a repeated id all fingerprints count.
+    ``prints`` has doc_id and fingerprint. Equal fingerprints are one first. The bits are dealt over
+    ``differ`` // 3 + 1 bands, so a pair to be linked differs in at most two bits of some band; a row is
+    in the bucket of its band and of each band one bit from it, where such a pair meets. In rounds, rows of a
+    band's bucket meet one pivot each, another one every round, which is linear in the bucket; what is linked
+    becomes a component, and once hardly any component grows, rows of a bucket that are in
+    different components all meet. Links are thus not all pairs of a group, but lead to all its
+    members: the components are those of all pairs. Null ids and fingerprints are left out; of a
+    repeated id all fingerprints count.
     """
-    places = np.argsort(randoms(229, BITS * bands).reshape(bands, BITS), axis=1)[:, :sample]
-    one = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    keys = F.array(*[_sampled("fingerprint", band) for band in places.tolist()])
-    rows = one.where("fingerprint is not null").select("doc_id", "fingerprint", F.posexplode(keys).alias("band", "key"))
-    pivots = rows.groupBy("band", "key").agg(F.min(F.struct("fingerprint", "doc_id")).alias("p"))
-    met = rows.join(pivots, ["band", "key"]).where(F.col("p.fingerprint") < F.col("fingerprint"))
-    far = _distance("p.fingerprint", "fingerprint").alias("differ")
-    pairs = met.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"), far).where(F.col("differ") <= differ)
+    one = written(prints.where("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "prints")
+    places = np.array_split(np.argsort(randoms(229, BITS)), differ // 3 + 1)
+    exact = F.array(*[_sampled("fingerprint", band) for band in (p.tolist() for p in places)])
+    around = F.array(F.col("own"), *[F.col("own").bitwiseXOR(F.lit(1 << i).cast("bigint")) for i in range(len(places[0]))])
+    banded = one.select(F.col("fingerprint").alias("node"), F.posexplode(exact).alias("band", "own"))
+    # a node is a fingerprint: a repeated id has several
+    rows = written(banded.select("node", "band", F.explode(around).alias("key")), "print-bands")
+    links, labels, grown, number = None, None, 1.0, 0
+    while grown > MORE:
+        marked = _labelled(rows, labels)
+        turn = F.struct(F.xxhash64("node", "band", F.lit(number)).alias("turn"), "node", "label")
+        pivots = marked.groupBy("band", "key").agg(F.min(turn).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        met = marked.join(pivots, ["band", "key"]).where("label <> p.label").select("node", F.col("p.node").alias("other"))
+        found = _near(met, differ)
+        links = found if links is None else links.union(found)
+        before, labels, number = labels, written(components(links.select("a", "b")), "print-labels"), number + 1
+        merges = [0 if x is None else x.where("node <> label").count() for x in (before, labels)]
+        grown = (merges[1] - merges[0]) / max(1, merges[1])
+    marked = _labelled(rows, labels)
+    mixed = marked.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    left = marked.join(mixed.select("band", "key"), ["band", "key"])
+    other = left.select("band", "key", F.col("node").alias("other"), F.col("label").alias("o_label"))
+    met = left.join(other, ["band", "key"]).where("label <> o_label and node < other").select("node", "other")
+    links = links.union(_near(met, differ))
+    for side in "ab":
+        named = one.select(F.col("fingerprint").alias(side), F.col("doc_id").alias(f"{side}_id"))
+        links = links.join(named, side)
+    pairs = links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "differ").where("a <> b").distinct()
     copies = prints.join(one.select(F.col("doc_id").alias("a"), "fingerprint"), "fingerprint").where("doc_id <> a")
-    return pairs.distinct().union(copies.select("a", F.col("doc_id").alias("b"), F.lit(0).alias("differ")))
+    return pairs.union(copies.select("a", F.col("doc_id").alias("b"), F.lit(0).alias("differ")))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their node, the node itself where it has no links."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    named = labels.select(F.col("node").alias("n_"), "label")
+    return rows.join(named, rows["node"] == named["n_"], "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
+
+
+def _near(met: DataFrame, differ: int) -> DataFrame:
+    """(a, b, differ) of the pairs that are near enough, each once, a the lesser."""
+    near = met.withColumn("differ", _distance("node", "other")).where(F.col("differ") <= differ)
+    return written(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "differ").distinct(), "print-links")
 
 
 def _word(column: str, i: int) -> Column:

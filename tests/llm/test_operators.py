@@ -368,6 +368,30 @@ def test_near_fingerprints(spark):
     assert {tuple(sorted(x)) for x in links} == {(3, 100), (4, 101)}
 
 
+def test_near_links_lead_to_all_that_pairs_lead_to(spark):
+    rng = random.Random(12)
+    prints = []
+    for _ in range(40):
+        # pairs at the limit, one just beyond it, and a chain whose ends are far apart
+        base = rng.getrandbits(256)
+        for n in (32, 33):
+            own = rng.getrandbits(256)
+            prints += [own, own ^ sum(1 << b for b in rng.sample(range(256), n))]
+        bits = rng.sample(range(256), 120)
+        prints += [base ^ sum(1 << b for b in bits[: 30 * k]) for k in range(5)]
+    label = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 32 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    frame = spark.createDataFrame([(i, f"{p:064x}") for i, p in enumerate(prints)], "doc_id bigint, fingerprint string")
+    links = fingerprints.near_links(frame).collect()
+    assert all((prints[r.a] ^ prints[r.b]).bit_count() == r.differ <= 32 for r in links)
+    found = {r.node: r.label for r in components(spark.createDataFrame([(r.a, r.b) for r in links], "a bigint, b bigint")).collect()}
+    assert [found.get(i, i) for i in range(len(prints))] == label
+
+
 # --- personal data -------------------------------------------------------------------------------------
 
 
