@@ -55,6 +55,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     that repeat an id are nodes of their own and all get a result. Rows with a null id take no
     part in links and get a null component. Further columns are ignored.
     """
+    rows, named = _named(docs, width)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _named(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the node of each, and the nodes with their component: label and component_id."""
     docs = docs.select("doc_id", "text")
     rows = written(_signatures(docs, width), "ngram-rows")
     nodes = written(
@@ -78,19 +85,30 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     )
     lowest = first.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = first.join(lowest, "label").select("node", "component_id")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows, first.join(lowest, "label").select("node", "label", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id.
 
-    Texts without words stay, as do rows with a null id. Of rows that repeat an id one stays.
+    Texts without words stay, as do rows with a null id. Rows that repeat an id are judged apart,
+    by their sets; of those that repeat id and set one stays.
     """
-    kept = jaccard_components(docs, width).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    rows, named = _named(docs, width)
+    ids = rows.where("doc_id is not null").select("doc_id", "node", "n_shingles").distinct()
+    chosen = ids.where("n_shingles > 0").join(named, "node").where("doc_id = component_id").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("k"))
+    kept = chosen.select("k.doc_id", "k.node").union(ids.where("n_shingles = 0").select("doc_id", "node"))
+    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("node").alias("__node"))
+    # a row meets each kept set of its id; only its own one counts
+    met = docs.join(kept, docs["doc_id"] == F.col("__kept")).drop("__kept")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
+            yield part.rows.filter(pa.array(found == part.rows.column("__node").to_numpy()))
+
+    one = met.mapInArrow(own, met.schema).dropDuplicates(["doc_id", "__node"]).drop("__node")
+    return one.union(docs.where("doc_id is null"))
 
 
 # --- shingle sets --------------------------------------------------------------------------

@@ -89,6 +89,16 @@ def test_jaccard_of_nulls_and_nothing(spark, docs):
     assert ngrams.keep_one(rows).count() == 2
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    first = {i: prose(700 + i, 80) for i in range(10)}
+    clean = {100 + i: [prose(800 + i, 80), prose(900 + i, 80)] for i in range(10)}
+    rows = [*first.items()] + [(i, first[i - 100] + " more") for i in clean] + [(i, t) for i, texts in clean.items() for t in texts]
+    rows += [(100, ""), (100, clean[100][0])]
+    kept = ngrams.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    wanted = [*first.items()] + [(i, t) for i, texts in clean.items() for t in texts] + [(100, "")]
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(wanted)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
