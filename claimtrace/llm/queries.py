@@ -3,7 +3,7 @@
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, lm, ngrams, pii, quality, toxicity
+from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, lm, ngrams, pii, quality, runs, toxicity
 from claimtrace.sources import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -67,9 +67,49 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by crc32 of the id, goes on in circles from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = F.size("words").cast("bigint")
+    with_words = docs.withColumn("h", h).withColumn(
+        "words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    )
+    g = F.floor(F.col("h") / 10)
+    with_places = (
+        with_words.withColumn("n", n)
+        .withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+        .withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    )
+    rest = (F.col("n") - F.col("a")).cast("int")
+    circle = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    looped = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(circle, F.lit(1), rest)), " ")
+    return with_places.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_looped(table(spark, sf_dir, "documents")))
+    # greater length / period first, compared by products
+    left, right = lambda r, s: r["length"] * s["period"], lambda r, s: s["length"] * r["period"]
+
+    def before(r, s):
+        earlier = (r["start"] < s["start"]) | ((r["start"] == s["start"]) & (r["period"] < s["period"]))
+        return F.when(left(r, s) != right(r, s), F.when(left(r, s) > right(r, s), -1).otherwise(1)).otherwise(F.when(earlier, -1).otherwise(1))
+
+    best = F.get(F.array_sort("runs", before), F.lit(0))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", *(r[f].cast("string") for f in ("start", "length", "period"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *(F.col(f"best.{f}").alias(f) for f in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring)
+    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring, op11_periodic_runs)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,4 +175,54 @@ SELECT d.doc_id, count(m.i) AS n_lines, count(*) FILTER (m.dropped) AS n_dropped
 FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLES = {"op1_ngram_jaccard": _OP1, "op2_decontamination": _OP2, "op3_line_dedup": _OP3}
+#: crc32 of a number's decimal digits, bit by bit
+_CRC32 = """
+xor(4294967295, list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+  lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), CAST(4294967295 AS BIGINT)))
+"""
+
+# stretches of 16, 32, ... words are numbered exactly by doubling; only repeated ones are kept
+_OP11 = rf"""
+WITH RECURSIVE plain AS (
+  SELECT doc_id, {_CRC32.format("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM plain),
+periods AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places),
+words AS (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM periods)),
+numbers AS (SELECT doc_id, n, i, word, min(i) OVER (PARTITION BY doc_id, word) AS c FROM words),
+first_two AS (
+  SELECT doc_id, n, i, min(i) OVER g AS c, count(*) OVER g AS m
+  FROM (SELECT x.doc_id, x.n, x.i, x.c AS c1, y.c AS c2 FROM numbers x JOIN numbers y ON x.doc_id = y.doc_id AND y.i = x.i + 1)
+  WINDOW g AS (PARTITION BY doc_id, c1, c2)),
+levels AS (
+  SELECT 2 AS k, doc_id, n, i, c FROM first_two WHERE m > 1
+  UNION ALL
+  SELECT 2 * k, doc_id, n, i, c FROM (
+    SELECT k, doc_id, n, i, min(i) OVER g AS c, count(*) OVER g AS m
+    FROM (SELECT x.k, x.doc_id, x.n, x.i, x.c AS c1, y.c AS c2
+          FROM levels x JOIN levels y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i = x.i + x.k)
+    WINDOW g AS (PARTITION BY doc_id, c1, c2))
+  WHERE m > 1 AND 3 * k <= n),
+lags AS (SELECT k, doc_id, i, i - lag(i) OVER (PARTITION BY k, doc_id, c ORDER BY i) AS q FROM levels WHERE k >= 16),
+stretches AS (
+  SELECT doc_id, k, q, i, i - row_number() OVER (PARTITION BY k, doc_id, q ORDER BY i) AS s
+  FROM lags WHERE q <= k AND (q > k // 2 OR k = 16)),
+found AS (
+  SELECT doc_id, min(i) - q AS start, count(*) + k - 1 + q AS length, q AS period FROM stretches GROUP BY doc_id, k, q, s
+  HAVING count(*) + k - 1 + q >= greatest(24, 3 * q)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM found GROUP BY doc_id),
+best AS (
+  SELECT * FROM found
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM plain LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_ngram_jaccard": _OP1, "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op11_periodic_runs": _OP11}
