@@ -3,7 +3,7 @@
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, lm, ngrams, pii, quality, runs, toxicity
+from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, lm, ngrams, pii, quality, runs, toxicity, tries
 from claimtrace.sources import table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
@@ -107,9 +107,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(paths: DataFrame) -> DataFrame:
+    """Conversations that begin with up to three turns of the last one whose id 20 divides."""
+    heads = paths.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.slice("path", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    own = paths.select("conv_id", "path", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 20).alias("base"))
+    none = F.slice("path", 1, 0)
+    path = F.concat(F.coalesce(F.slice("head", F.lit(1), F.col("h")), none), F.slice("path", F.col("h") + 1, F.size("path")))
+    return own.join(heads, "base", "left").select("conv_id", path.alias("path"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_rebuilt(tries.turn_paths(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring, op11_periodic_runs)
+    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -225,4 +239,33 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
 FROM plain LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_ngram_jaccard": _OP1, "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op11_periodic_runs": _OP11}
+_OP12 = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id, {_CRC32.format("conv_id")} % 4 AS h FROM turns),
+rebuilt AS (
+  SELECT c.conv_id, t.role, t.text, 0 AS part, t.pos FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.role, t.text, 1, t.pos FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+steps AS (
+  SELECT conv_id, row_number() OVER g AS depth, list(sha256(length(role) || ':' || role || text)) OVER g AS path,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM rebuilt WINDOW g AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL SELECT conv_id, 0, [], 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS len FROM steps GROUP BY conv_id),
+nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '') AS ends
+  FROM steps JOIN lengths USING (conv_id) GROUP BY path),
+children AS (SELECT path[: depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+subtrees AS (
+  SELECT path[: d] AS path, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM valued) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(v.ends) AS ends_sha256
+FROM valued v JOIN subtrees USING (path) LEFT JOIN nodes p ON v.depth > 0 AND p.path = v.path[: v.depth - 1]
+"""
+
+ORACLES = {"op1_ngram_jaccard": _OP1, "op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op11_periodic_runs": _OP11, "op12_prefix_trie": _OP12}
