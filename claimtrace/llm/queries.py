@@ -3,10 +3,12 @@
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.llm import bpe, decontamination, fingerprints, langid, lines, lm, ngrams, pii, quality, runs, toxicity, tries
-from claimtrace.sources import table
+from claimtrace.llm import bpe, decontamination, fingerprints, idfiles, langid, lines, lm, ngrams, pii, quality, runs, toxicity, tries
+from claimtrace.sources import scratch_path, table
 
 TOKENIZER = tokenizer_path("word_bpe_49k.json")
+BYTE_TOKENIZER = tokenizer_path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +123,18 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(_rebuilt(tries.turn_paths(table(spark, sf_dir, "conversations"))))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = idfiles.in_id_order(table(spark, sf_dir, "documents"))
+    path = scratch_path(spark, "token-ids")
+    idfiles.write_ids(idfiles.encode_ids(docs, BYTE_TOKENIZER, END_ID), path)
+    return idfiles.read_binary(spark, path).select(
+        "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("data").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie)
+    for f in (op1_ngram_jaccard, op2_decontamination, op3_line_dedup, op4_bpe, op5_quality, op6_language_id, op7_fingerprints, op8_toxicity, op9_pii, op10_lm_scoring, op11_periodic_runs, op12_prefix_trie, op13_token_files)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
