@@ -126,34 +126,70 @@ def filter_search(
     return kept.join(found, "doc_id", how).where(matches).drop("__all", "__any", "__none")
 
 
+def build_positions(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Positional postings: doc_id, term and the positions of the term in the document, ascending from 0.
+
+    Token arrays do not move: what is shuffled is a row per document and term, collected on
+    the map side. With ``terms`` (a column term, one row each) only those are posted. Rows of one doc_id
+    should be one row.
+    """
+    words = docs.select("doc_id", F.posexplode_outer(tokens("text")).alias("__at", "term")).where(F.col("term").isNotNull())
+    if terms is not None:
+        words = words.join(terms.select("term"), "term", "left_semi")
+    return words.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("__at")).alias("positions"))
+
+
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Documents that contain a phrase as consecutive tokens, and the token it first starts at.
 
-    ``phrases`` has query_id and text. Only documents with the rarest term of a phrase
-    are looked at. Positions count from 0.
+    ``phrases`` has query_id and text. Positions count from 0. Only terms of phrases are posted.
     """
-    words = tokenised(docs)
-    present = _exploded(words, F.array_distinct("tokens"))
-    sought = phrases.select("query_id", tokens("text").alias("phrase")).where(F.size("phrase") > 0)
-    terms = _exploded(sought, F.array_distinct("phrase")).drop("phrase")
-    df = _document_frequency(present.join(terms.select("term").distinct(), "term", "left_semi"))
+    return phrase_hits(build_positions(docs, _phrase_terms(phrases).select("term").distinct()), phrases)
+
+
+def phrase_hits(positions: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The same over positional postings: query_id, doc_id, position.
+
+    The rarest term of a phrase proposes where it may start; positions of its other terms, moved
+    back by their place in the phrase, are intersected with that in the candidate documents only.
+    """
+    sought = _phrase_terms(phrases)
+    df = _document_frequency(positions.join(sought.select("term").distinct(), "term", "left_semi"))
+    # a term without postings is the rarest of all, and its phrase is nowhere
     rarest = (
-        terms.join(df, "term", "left")
+        sought.join(df, "term", "left")
         .groupBy("query_id")
-        .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+        .agg(
+            F.min_by(F.struct("term", "__at"), F.struct(F.coalesce("df", F.lit(0)), "term", "__at")).alias("__first"),
+            F.count(F.lit(1)).alias("__n"),
+        )
+        .select("query_id", "__first.*", "__n")
     )
-    candidates = present.join(rarest, "term").select("doc_id", "query_id")
-    text = _spaced("tokens")
-    found = (
-        words.join(candidates, "doc_id")
-        .join(sought, "query_id")
-        .select("query_id", "doc_id", text.alias("__text"), _spaced("phrase").alias("__phrase"))
-        .withColumn("__at", F.position(F.col("__phrase"), F.col("__text")))
-        .where(F.col("__at") > 0)
+    candidates = (
+        positions.join(rarest, "term")
+        .select("query_id", "doc_id", "__n", F.col("__at").alias("__anchor"), _starts().alias("__starts"))
+        .where(F.size("__starts") > 0)
     )
-    before = F.substring("__text", F.lit(1), F.col("__at"))
-    gaps = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
-    return found.select("query_id", "doc_id", (gaps - 1).alias("position"))
+    others = sought.withColumnRenamed("__at", "__place")
+    wanted = candidates.join(others, "query_id").where(F.col("__place") != F.col("__anchor")).select("query_id", "doc_id", "term", F.col("__place").alias("__at"))
+    beside = wanted.join(positions, ["doc_id", "term"]).select("query_id", "doc_id", _starts().alias("__starts"))
+    # as many rows per phrase and document as the phrase has words
+    lists = candidates.select("query_id", "doc_id", "__starts").unionByName(beside)
+    met = lists.groupBy("query_id", "doc_id").agg(F.collect_list("__starts").alias("__lists"))
+    both = F.reduce(F.slice("__lists", F.lit(2), F.size("__lists")), F.get("__lists", F.lit(0)), F.array_intersect)
+    lengths = rarest.select("query_id", "__n")
+    found = met.join(lengths, "query_id").where(F.size("__lists") == F.col("__n"))
+    return found.select("query_id", "doc_id", F.array_min(both).alias("position")).where(F.col("position").isNotNull())
+
+
+def _starts() -> Column:
+    """Where the phrase would start for each position of a term at ``__at`` in it."""
+    return F.filter(F.transform("positions", lambda p: p - F.col("__at")), lambda p: p >= 0)
+
+
+def _phrase_terms(phrases: DataFrame) -> DataFrame:
+    """query_id, place in the phrase (``__at``) and term."""
+    return phrases.select("query_id", F.posexplode_outer(tokens("text")).alias("__at", "term")).where(F.col("term").isNotNull())
 
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -286,7 +322,3 @@ def _exploded(rows: DataFrame, words: Column) -> DataFrame:
     the size of the array and so tokenise every text once more.
     """
     return rows.withColumn("term", F.explode_outer(words)).where(F.col("term").isNotNull()).drop("tokens")
-
-
-def _spaced(words: str) -> Column:
-    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))

@@ -4,7 +4,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimtrace.plans.hot import MAX_HOT_STATS, hot_keys, join_bounded
+from claimtrace.plans.hot import hot_keys, join_bounded
 from claimtrace.plans.ordered import OrderedGroups
 
 
@@ -16,7 +16,7 @@ def split_hot(
     Here and below, group sizes are estimated from ``sizes_from`` instead of rows that
     are costly to compute twice.
     """
-    hot = hot_keys(df if sizes_from is None else sizes_from, keys, MAX_HOT_STATS)
+    hot = hot_keys(df if sizes_from is None else sizes_from, keys)
     if hot is None:
         return df, None
     hot = hot.select(*keys)

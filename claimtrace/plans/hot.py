@@ -3,7 +3,7 @@
 The *hot* groups are the largest ``MAX_HOT`` of those with more than ``HOT_ROWS`` rows.
 Their number is fixed, so their keys may be fetched and broadcast whatever the size of
 the data. Any other group has at most ``HOT_ROWS`` rows or one part in ``MAX_HOT`` of all
-rows, which one sort or one window can take.
+rows, so at most ``HOT_ROWS`` up to 10^11 rows.
 
 Group sizes are estimated from a fixed share of the rows. Only the choice of plan
 depends on the estimate: both plans give the same, whole result for any group.
@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT = 1_000
+# a key and a few numbers each
+MAX_HOT = 100_000
 SAMPLE = 0.01
 
-# where only a few numbers per hot group are broadcast, many more groups may be hot
-MAX_HOT_STATS = 100_000
-
 # session settings that override the first and the last of these
 HOT_ROWS_CONF = "claimtrace.hotRows"
 SAMPLE_CONF = "claimtrace.hotSample"
@@ -59,6 +57,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], at_most: int = MAX_HOT) -> Data
     return spark.createDataFrame(table, schema)
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[float, float]:
+    """Estimated rows in all and of the largest group, by one counting job over the sample."""
+    sample = float(df.sparkSession.conf.get(SAMPLE_CONF, str(SAMPLE)))
+    seen = df.select(*keys)
+    if sample < 1:
+        seen = seen.sample(sample, seed=1)
+    counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
+    return (total or 0) / sample, (largest or 0) / sample
+
+
 def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Broadcast join to ``right``, which holds a bounded number of rows per hot key.
 

@@ -1,25 +1,27 @@
-"""Row-order functions (running sums, previous and next rows) over groups of any size.
-
-An ordinary group is one window partition. A hot group is cut into consecutive ranges of
-its order, at points found in a sample of its rows, and each range is a window partition
-of its own; what earlier ranges contribute to a later one is carried over in a table of
-at most ``MAX_HOT * RANGES`` rows. The result is the same as that of one window per group.
+"""Row-order functions (running sums, previous and next rows) over groups of any size and number.
+
+Where no group is large, a group is one window partition. Otherwise the functions are a
+prefix scan of the whole table: all rows are dealt out by ranges of (keys, order), so each range has
+about ``RANGE_ROWS`` rows whatever the groups are; a group's rows in one range are a window
+partition; and what earlier ranges contribute to a group comes from one summary per range and
+open group. Only the first and the last group of a range can be open, so summaries are a few per
+range. The result is the same as that of one window per group.
 """
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from claimtrace.plans.hot import hot_keys, join_bounded
+from claimtrace.plans.hot import HOT_ROWS, HOT_ROWS_CONF, group_sizes, join_bounded
 from claimtrace.sources.storage import written
 
-# a power of two
-RANGES = 256
-SAMPLED_PER_RANGE = 20
+# rows of a range, as far as Spark's sample of the order tells
+RANGE_ROWS = 1_000_000
+RANGE_ROWS_CONF = "claimtrace.rangeRows"
 
 _RANGE = "__range"
-_OUT_OF = 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -55,12 +57,17 @@ class OrderedGroups:
         self.order = list(order)
         self._steps: list[_Step] = []
         self._columns = df.columns
-        hot = hot_keys(df if sizes_from is None else sizes_from, self.keys)
-        self._whole, self._ranged = df, None
-        if hot is not None:
-            self._whole = join_bounded(df, hot.select(*self.keys), self.keys, "left_anti")
+        self._rows, self._open = df, None
+        conf = df.sparkSession.conf
+        total, largest = group_sizes(df if sizes_from is None else sizes_from, self.keys)
+        if largest > float(conf.get(HOT_ROWS_CONF, str(HOT_ROWS))):
+            wanted = math.ceil(total / float(conf.get(RANGE_ROWS_CONF, str(RANGE_ROWS))))
+            ranges = max(wanted, int(conf.get("spark.sql.shuffle.partitions")))
+            in_order = [F.col(c).asc_nulls_first() for c in [*self.keys, *self.order]]
+            dealt = df.repartitionByRange(ranges, *in_order).withColumn(_RANGE, F.spark_partition_id())
             # read again for what the ranges carry over, so it is computed only once
-            self._ranged = written(self._in_ranges(df, hot), "ranges")
+            self._rows = written(dealt, "ranges")
+            self._open = written(self._open_groups(), "open-groups")
 
     def running_sum(self, **columns: str) -> "OrderedGroups":
         """``name=column``: the sum of ``column`` from the start of the group to this row."""
@@ -97,16 +104,12 @@ class OrderedGroups:
         """Adds the noted columns, then ``col``, which may refer to them."""
         self._add()
         self._columns = [*self._columns, name]
-        self._whole = self._whole.withColumn(name, col)
-        if self._ranged is not None:
-            self._ranged = self._ranged.withColumn(name, col)
+        self._rows = self._rows.withColumn(name, col)
         return self
 
     def result(self) -> DataFrame:
         self._add()
-        if self._ranged is None:
-            return self._whole
-        return self._whole.unionByName(self._ranged.drop(_RANGE))
+        return self._rows if self._open is None else self._rows.drop(_RANGE)
 
     def _beside(self, columns: dict[str, str], offset, nearest, looks_ahead: bool) -> "OrderedGroups":
         for name, column in columns.items():
@@ -154,54 +157,27 @@ class OrderedGroups:
             return
         columns = self._columns
         self._columns = [*columns, *[s.name for s in steps]]
-        self._whole = self._whole.select(
-            *columns, *[s.in_window(self._window(s)).alias(s.name) for s in steps]
-        )
-        if self._ranged is None:
+        if self._open is None:
+            added = [s.in_window(self._window(s)).alias(s.name) for s in steps]
+            self._rows = self._rows.select(*columns, *added)
             return
-        joined = join_bounded(self._ranged, self._carried(steps), [*self.keys, _RANGE], "left")
+        joined = join_bounded(self._rows, self._carried(steps), [*self.keys, _RANGE], "left")
         added = []
         for s in steps:
             rows = self._window(s, _RANGE)
             added.append(s.combined(s.in_window(rows), F.col(f"__c_{s.name}"), rows).alias(s.name))
-        self._ranged = joined.select(*columns, _RANGE, *added)
-
-    def _in_ranges(self, df: DataFrame, hot: DataFrame) -> DataFrame:
-        """The rows of hot groups with the number of the range each falls in.
-
-        Which rows are sampled depends on their keys and order alone, about
-        ``RANGES * SAMPLED_PER_RANGE`` of them per group.
-        """
-        rows = join_bounded(df, hot.drop("__salts"), self.keys, "inner")
-        place = F.struct(*self.order)
-        chance = F.least(F.lit(1.0), RANGES * SAMPLED_PER_RANGE / F.col("__rows"))
-        drawn = F.pmod(F.xxhash64(*self.keys, *self.order), F.lit(_OUT_OF)) < chance * _OUT_OF
-        sample = (
-            rows.where(drawn).groupBy(*self.keys).agg(F.sort_array(F.collect_set(place)).alias("__sample"))
-        )
-        at = F.transform(
-            F.sequence(F.lit(1), F.lit(RANGES - 1)),
-            lambda i: F.get("__sample", F.floor(i * F.size("__sample") / RANGES).cast("int")),
-        )
-        cuts = sample.select(*self.keys, F.array_distinct(at).alias("__cuts"))
-        # how many cuts lie below the row: a binary search, largest step first
-        steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
-        below = F.aggregate(
-            steps,
-            F.lit(0),
-            lambda at, step: F.when(F.get("__cuts", at + step - 1) < place, at + step).otherwise(at),
-        )
-        return (
-            join_bounded(rows.drop("__rows"), cuts, self.keys, "left")
-            .withColumn(_RANGE, F.when(F.col("__cuts").isNull(), 0).otherwise(below))
-            .drop("__cuts")
-        )
+        self._rows = joined.select(*columns, _RANGE, *added)
+
+    def _open_groups(self) -> DataFrame:
+        """The first and the last group of each range: all that may lie in more than one."""
+        group = F.struct(*self.keys)
+        ends = self._rows.groupBy(_RANGE).agg(F.min(group).alias("__lo"), F.max(group).alias("__hi"))
+        return ends.select(F.explode(F.array("__lo", "__hi")).alias("__g")).select("__g.*").distinct()
 
     def _carried(self, steps: list[_Step]) -> DataFrame:
-        """For each range of a hot group, what the ranges before (or after) it contribute."""
-        ranges = self._ranged.groupBy(*self.keys, _RANGE).agg(
-            *[s.per_range.alias(f"__p_{s.name}") for s in steps]
-        )
+        """For each range of an open group, what the ranges before (or after) it contribute."""
+        rows = join_bounded(self._rows, self._open, self.keys, "left_semi")
+        ranges = rows.groupBy(*self.keys, _RANGE).agg(*[s.per_range.alias(f"__p_{s.name}") for s in steps])
 
         def others(s: _Step) -> WindowSpec:
             number = F.col(_RANGE).desc() if s.looks_ahead else F.col(_RANGE).asc()

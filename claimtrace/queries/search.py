@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from claimtrace.operators import search, vectors
+from claimtrace.operators import ivf, search, vectors
 from claimtrace.sources import document_vectors, documents, search_queries
 
 TOP = 10
@@ -38,6 +38,12 @@ def phrase_search(spark, path):
     return search.phrase_search(documents(spark, path), search_queries(spark, path))
 
 
+def position_postings(spark, path):
+    found = search.build_positions(documents(spark, path))
+    listed = F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")
+    return found.select("doc_id", "term", F.size("positions").alias("n"), listed.alias("positions"))
+
+
 def chunk_documents(spark, path):
     return search.chunk_documents(documents(spark, path), 128, 32)
 
@@ -52,6 +58,14 @@ def vector_topk_lsh(spark, path):
     return vectors.vector_topk_lsh(rows, rows, TOP)
 
 
+def vector_ivf_recall(spark, path):
+    """Whether the inverted lists find nine in ten of the true neighbours of all vectors."""
+    rows = document_vectors(spark, path)
+    found = ivf.ivf_topk(ivf.build_ivf(rows, TOP), rows, TOP)
+    recall = ivf.recall_at(found, vectors.vector_topk(rows, rows, TOP))
+    return recall.select("n_queries", "n_neighbours", (F.col("n_found") >= 0.9 * F.col("n_neighbours")).alias("recall_reached"))
+
+
 def hybrid_topk(spark, path):
     """A passage and the vector of the same number form one query."""
     rows = document_vectors(spark, path)
@@ -101,9 +115,11 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "filter_search": filter_search,
     "phrase_search": phrase_search,
+    "position_postings": position_postings,
     "chunk_documents": chunk_documents,
     "vector_topk": vector_topk,
     "vector_topk_lsh": vector_topk_lsh,
+    "vector_ivf_recall": vector_ivf_recall,
     "hybrid_topk": hybrid_topk,
     "search_snippets": search_snippets,
     "collapse_duplicates": collapse_duplicates,
@@ -193,6 +209,10 @@ WHERE lang = 'en' AND list_has_all(toks, ['the', 'of']) AND list_has_any(toks, [
     "phrase_search": f"""
 WITH {TOKENS}, {PHRASES}
 SELECT query_id, doc_id, CAST(len(string_split(substring(spaced, 1, found_at), ' ')) - 2 AS INTEGER) AS position FROM phrases""",
+    "position_postings": f"""
+WITH {TOKENS}
+SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) AS positions
+FROM (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM words) GROUP BY doc_id, term""",
     "chunk_documents": f"""
 WITH {TOKENS}, starts AS (
   SELECT doc_id, toks,
@@ -207,6 +227,9 @@ FROM chunks""",
     "vector_topk": f"""
 WITH {NEAREST}
 SELECT * FROM nearest""",
+    "vector_ivf_recall": f"""
+WITH {NEAREST}
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS recall_reached FROM nearest""",
     "hybrid_topk": f"""
 WITH {SEARCHED}, {NEAREST}, fused AS (
   SELECT query_id, doc_id, b.rank AS keyword_rank, n.rank AS vector_rank,

@@ -9,7 +9,7 @@ from claimtrace.functions import dollars
 from claimtrace.queries.cases import CASES, EVENTS
 from claimtrace.queries.recovery import SIDES
 from claimtrace.sources import case_events, obligations, recoveries, scratch_path, stream_events
-from claimtrace.streaming import alerts, cases, recovery
+from claimtrace.streaming import alerts, cases, ledger, matching, recovery
 from claimtrace.streaming.run import LOCAL_SESSIONS, ROCKSDB, run_to_table, session_settings
 
 DELAY = "1 hour"
@@ -99,6 +99,12 @@ def stream_recovery_match(spark, path):
     return _plain(run_to_table(matched, "recovery-match"))
 
 
+@_settings(ROCKSDB)
+def stream_entry_match(spark, path):
+    """Which recovery paid which demand, for entries the watermark has passed."""
+    return _plain(run_to_table(matching.stream_entry_match(_signed_entries(spark, path), DELAY), "entry-match"))
+
+
 def _signed_entries(spark, path):
     events = _events(spark, path)
     signed = F.when(F.col("state") == "error", F.col("amount")).otherwise(-F.col("amount"))
@@ -112,10 +118,10 @@ def _signed_entries(spark, path):
 def stream_ledger_two_runs(spark, path):
     """Three calls on one ledger: even entries, odd entries, even entries once more."""
     entries = _signed_entries(spark, path)
-    ledger = scratch_path(spark, "ledger")
+    where = scratch_path(spark, "ledger")
     for remainder in (0, 1, 0):
-        recovery.stream_ledger_upsert(entries.where(F.col("entry_id") % 2 == remainder), ledger)
-    return _plain(recovery.ledger_balances(spark, ledger))
+        ledger.stream_ledger_upsert(entries.where(F.col("entry_id") % 2 == remainder), where)
+    return _plain(ledger.ledger_balances(spark, where))
 
 
 @_settings({})
@@ -125,9 +131,28 @@ def stream_ledger_upsert(spark, path):
     def entries():
         return _signed_entries(spark, path)
 
-    ledger = scratch_path(spark, "ledger")
-    recovery.stream_ledger_upsert(entries().union(entries()), ledger)
-    return _plain(recovery.ledger_balances(spark, ledger))
+    where = scratch_path(spark, "ledger")
+    ledger.stream_ledger_upsert(entries().union(entries()), where)
+    return _plain(ledger.ledger_balances(spark, where))
+
+
+@_settings({})
+def stream_ledger_versions(spark, path):
+    """First deliveries, corrections and deletions, then the first deliveries once more; one entry in five has no id.
+
+    Entries without an id cannot be told from their copies, so they come the first time only.
+    """
+    entries = _signed_entries(spark, path)
+    number = F.col("entry_id")
+    first = entries.withColumns({"version": F.lit(1), "gone": F.lit(False)})
+    amount = (F.col("signed") * 2).cast("decimal(18,2)")
+    second = entries.where((number % 3 == 0) & (number % 5 != 0)).withColumns({"signed": amount, "version": F.lit(2), "gone": number % 7 == 0})
+    unnamed = first.withColumn("entry_id", F.when(number % 5 != 0, number))
+    where = scratch_path(spark, "ledger")
+    for rows in (unnamed, second, first.where(number % 5 != 0)):
+        ledger.stream_ledger_upsert(rows, where, version="version", deleted="gone")
+    ledger.compact_ledger(spark, where)
+    return _plain(ledger.ledger_balances(spark, where))
 
 
 QUERIES = {
@@ -138,8 +163,10 @@ QUERIES = {
     "stream_event_counts_sliding": stream_event_counts_sliding,
     "stream_dedup": stream_dedup,
     "stream_recovery_match": stream_recovery_match,
+    "stream_entry_match": stream_entry_match,
     "stream_ledger_upsert": stream_ledger_upsert,
     "stream_ledger_two_runs": stream_ledger_two_runs,
+    "stream_ledger_versions": stream_ledger_versions,
 }
 
 # the watermark after the last row: windows that end later are still open
@@ -205,6 +232,28 @@ SELECT d.party, demanded_day, recovered_day, CAST(demanded AS DOUBLE) AS demande
 FROM demanded d JOIN recovered r ON d.party = r.party
  AND recovered_day >= demanded_day AND recovered_day <= demanded_day + INTERVAL 2 DAY, closed
 WHERE recovered_day + INTERVAL 1 DAY <= at_ts""",
+    # a party's debt is its running sum above the lowest point so far; what fell below it paid nothing
+    "stream_entry_match": f"""
+WITH {SIDES}, {CLOSED}, entries AS (
+  SELECT party, entry_id, ts, CAST(amount * 100 AS BIGINT) AS cents FROM owed
+  UNION ALL SELECT party, entry_id, ts, -CAST(amount * 100 AS BIGINT) FROM paid
+), summed AS (
+  SELECT *, sum(cents) OVER w AS s FROM entries, closed WHERE ts < at_ts AND cents <> 0
+  WINDOW w AS (PARTITION BY party ORDER BY ts, cents < 0, entry_id ROWS UNBOUNDED PRECEDING)
+), lowest AS (
+  SELECT *, least(0, min(s) OVER (PARTITION BY party ORDER BY ts, cents < 0, entry_id ROWS UNBOUNDED PRECEDING)) AS low
+  FROM summed
+), used AS (
+  SELECT *, CASE WHEN cents > 0 THEN cents
+                 ELSE -cents - (coalesce(lag(low) OVER (PARTITION BY party ORDER BY ts, cents < 0, entry_id), 0) - low) END AS part
+  FROM lowest
+), ends AS (
+  SELECT *, sum(part) OVER (PARTITION BY party, cents > 0 ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS upto FROM used
+)
+SELECT d.party, d.entry_id AS obligation_id, r.entry_id AS recovery_id, d.ts AS demanded_at, r.ts AS recovered_at,
+       CAST(least(d.upto, r.upto) - greatest(d.upto - d.part, r.upto - r.part) AS BIGINT) AS amount_cents
+FROM ends d JOIN ends r ON d.party = r.party AND d.cents > 0 AND r.cents < 0 AND r.part > 0
+ AND d.upto > r.upto - r.part AND r.upto > d.upto - d.part""",
     "stream_ledger_upsert": f"""
 WITH {SIDES}, entries AS (
   SELECT party, amount AS signed FROM owed UNION ALL SELECT party, -amount FROM paid
@@ -212,3 +261,11 @@ WITH {SIDES}, entries AS (
 SELECT party, CAST(sum(signed) AS DOUBLE) AS balance, count(*) AS n_entries FROM entries GROUP BY party""",
 }
 ORACLES["stream_ledger_two_runs"] = ORACLES["stream_ledger_upsert"]
+ORACLES["stream_ledger_versions"] = f"""
+WITH {SIDES}, entries AS (
+  SELECT party, entry_id, amount AS signed FROM owed UNION ALL SELECT party, entry_id, -amount FROM paid
+), latest AS (
+  SELECT party, CASE WHEN entry_id % 3 = 0 AND entry_id % 5 <> 0 THEN 2 * signed ELSE signed END AS signed
+  FROM entries WHERE NOT (entry_id % 3 = 0 AND entry_id % 5 <> 0 AND entry_id % 7 = 0)
+)
+SELECT party, CAST(sum(signed) AS DOUBLE) AS balance, count(*) AS n_entries FROM latest GROUP BY party"""

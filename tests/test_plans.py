@@ -9,7 +9,7 @@ from claimtrace.queries import QUERIES, streams
 SMALL = "/root/testdata/sf0.01"
 
 TOP_K = ["risk_score", "worklist_topk", "case_upsert", "bm25_topk", "vector_topk", "hybrid_topk", "collapse_duplicates"]
-PYTHON = {"vector_topk", "vector_topk_lsh", "hybrid_topk"}
+PYTHON = {"vector_topk", "vector_topk_lsh", "vector_ivf_recall", "hybrid_topk"}
 BATCH = sorted(set(QUERIES) - set(streams.QUERIES))
 
 

@@ -79,15 +79,39 @@ def test_salted_join(spark, skewed, request, how):
 
 
 def test_number_of_hot_keys_is_bounded(spark, split):
-    """Only the 1,000 largest groups are hot; their salts follow their sizes."""
+    """Only so many of the largest groups are hot; their salts follow their sizes."""
     assert hot_keys(spark.range(300).select((F.col("id") % 100).alias("k")), ["k"]) is None
     df = spark.range(20_000).select((F.col("id") % 4_000).alias("k"))
-    assert hot_keys(df, ["k"]).count() == 1_000
+    assert hot_keys(df, ["k"]).count() == 4_000
+    assert hot_keys(df, ["k"], 1_000).count() == 1_000
     some = df.unionByName(spark.range(10_000).select(F.lit(5).cast("bigint").alias("k")))
-    salts = {r.k: r["__salts"] for r in hot_keys(some, ["k"]).collect()}
+    salts = {r.k: r["__salts"] for r in hot_keys(some, ["k"], 1_000).collect()}
     assert salts.pop(5) > 600 and set(salts.values()) == {1} and len(salts) == 999
 
 
+def test_ranges_are_bounded_whatever_the_groups(spark, split):
+    """4,000 groups that are each too large, and one of a third of the rows, in ranges of about 300."""
+    spark.conf.set("claimtrace.rangeRows", "300")
+    try:
+        df = spark.range(20_000).select((F.col("id") % 4_000).alias("k"), "id")
+        df = df.unionByName(spark.range(20_000, 30_000).select(F.lit(5).cast("bigint").alias("k"), "id"))
+        groups = OrderedGroups(df, ["k"], ["id"])
+        ranges = {r["__range"]: r["count"] for r in groups._rows.groupBy("__range").count().collect()}
+        assert len(ranges) > 80 and max(ranges.values()) < 3 * 300
+        # two groups of each range can be open, and no other is summarised
+        assert groups._open.count() <= 2 * len(ranges)
+        assert groups._carried(groups.running_sum(s="id")._steps).count() <= 4 * len(ranges)
+        found = groups.previous(p="id").result().orderBy("k", "id").collect()
+        before, total = {}, {}
+        for r in found:
+            assert r.p == before.get(r.k)
+            before[r.k], total[r.k] = r.id, total.get(r.k, 0) + r.id
+            assert r.s == total[r.k]
+        assert len(found) == 30_000
+    finally:
+        spark.conf.unset("claimtrace.rangeRows")
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "k int, t int, id int, v bigint")
     assert _all_functions(empty).count() == 0

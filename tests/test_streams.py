@@ -10,7 +10,7 @@ from claimtrace.operators import cases as batch
 from claimtrace.sources import SCHEMAS, as_case_events, obligations, recoveries, stream_events, table
 from claimtrace.streaming import alerts, cases, recovery
 from claimtrace.streaming.run import ROCKSDB, run_to_table, session_settings
-from tests.frames import at, cents, tuples
+from tests.frames import at, tuples
 from tests.oracle import spark_rows
 
 TINY = "/root/testdata/sf0.001"
@@ -164,20 +164,3 @@ def test_recovery_match_equals_batch(spark, shuffled):
     expected = _daily_pairs(events, 2).where(F.col("recovered_day") + F.expr("interval 1 day") <= closed)
     rows = spark_rows(days)
     assert rows and rows == spark_rows(expected.select(*days.columns))
-
-
-def test_ledger_counts_every_entry_once(spark, tmp_path):
-    rows = [(1, 1, at("2024-01-01T00:00"), cents(10)), (1, 2, at("2024-01-02T00:00"), cents(-4))]
-    more = [(1, 2, at("2024-01-02T00:00"), cents(-4)), (2, 3, at("2024-01-03T00:00"), cents(7))]
-    schema = "party bigint, entry_id bigint, ts timestamp, signed decimal(18,2)"
-    for i, part in enumerate([rows, more]):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ledger = f"{tmp_path}/ledger"
-    recovery.stream_ledger_upsert(stream, ledger)
-    # a second run from the start repeats the same batches
-    recovery.stream_ledger_upsert(stream, ledger)
-    assert tuples(recovery.ledger_balances(spark, ledger), "party", "balance", "n_entries") == [
-        (1, cents(6), 2),
-        (2, cents(7), 1),
-    ]
