@@ -32,7 +32,7 @@ from claimtrace.sources import read_rows, write_rows
 
 BLOCK_IDS = 4096
 #: token ids after which a chunk ends with its document
-CHUNK_IDS = 4 << 20
+CHUNK_IDS = 2 << 20
 MAGIC = b"IDB1"
 CACHE_PIECES = 400_000
 #: the piece pattern of byte-level BPE files (fixed values), its classes spelled out for characters up to U+02C1
@@ -71,7 +71,7 @@ class _Zero:
 
     def find(self, ids: np.ndarray) -> np.ndarray:
         """Entry of each id of each block, -1 where there is none."""
-        out, own = np.full(ids.shape, -1), self.ids
+        out, own = np.full(ids.shape, -1, dtype=np.int32), self.ids
         if max(ids.max(initial=0), own.max(initial=0)) >= _FULL:
             # large ids are numbered first
             named = np.unique(np.concatenate([own, ids.ravel()]))
@@ -192,9 +192,10 @@ class _Encoder:
 
 class _Decoder:
     def __init__(self, words: np.ndarray, first: np.ndarray):
-        self.words = np.append(words, np.zeros(4, dtype=words.dtype)).astype(np.int64)
+        self.words = np.append(words, np.zeros(4, dtype=words.dtype))
         self.at = first + 3
-        self.code = self.words[first] << 32 | self.words[first + 1] << 16 | self.words[first + 2]
+        head = [self.words[first + i].astype(np.int64) for i in range(3)]
+        self.code = head[0] << 32 | head[1] << 16 | head[2]
         self.range = np.full(len(first), 1 << 48)
 
     def step(self, who, bits: int) -> np.ndarray:
@@ -223,17 +224,18 @@ def pack(ids: np.ndarray) -> bytes:
     sizes = np.full(blocks, BLOCK_IDS)
     if blocks:
         sizes[-1] = len(ids) - (blocks - 1) * BLOCK_IDS
-    table = np.zeros((blocks, BLOCK_IDS), dtype=np.int64)
-    table.ravel()[: len(ids)] = ids
     wide = bool(ids.max(initial=0) >= _FULL)
-    narrow = table if wide else table.astype(np.uint16)
+    table = np.zeros((blocks, BLOCK_IDS), dtype=np.int64 if wide else np.uint16)
+    table.ravel()[: len(ids)] = ids
+    # the ids of one step side by side
+    steps = np.ascontiguousarray(table.T)
     coder, model = _Encoder(blocks, (5 if wide else 3) * BLOCK_IDS + 8), _Model(blocks, wide)
     entry = None
     for at, n in _blocks_of(sizes):
         if _refreshes(at):
-            zero, since = _Zero(narrow[:n, :at]), at
-            entry = zero.find(table[:n, at : 2 * at])
-        x = table[:n, at]
+            zero, since = _Zero(table[:n, :at]), at
+            entry = np.ascontiguousarray(zero.find(table[:n, at : 2 * at]).T)
+        x = steps[at, :n].astype(np.int64)
         two, one = model.predict(n)
         is_two = model.c2 == x + 1
         is_one = (model.c1 == x + 1) & ~is_two
@@ -243,7 +245,7 @@ def pack(ids: np.ndarray) -> bytes:
         rest = np.flatnonzero(~(is_two | is_one))
         if len(rest):
             if entry is not None:
-                found = entry[rest, at - since]
+                found = entry[at - since, rest]
                 known = found >= 0
                 start = np.where(known, zero.start[found], zero.rest[rest])
                 freq = np.where(known, zero.freq[found], (1 << ZERO_BITS) - zero.rest[rest])
@@ -274,13 +276,12 @@ def unpack(payload: bytes) -> np.ndarray:
     sizes = np.full(blocks, BLOCK_IDS)
     if blocks:
         sizes[-1] = total - (blocks - 1) * BLOCK_IDS
-    out = np.zeros((blocks, BLOCK_IDS), dtype=np.int64)
+    out = np.zeros((BLOCK_IDS, blocks), dtype=np.int64 if wide else np.uint16)
     coder, model = _Decoder(words, np.cumsum(lengths) - lengths), _Model(blocks, wide)
     slots = None
     for at, n in _blocks_of(sizes):
         if _refreshes(at):
-            seen = out[:n, :at]
-            zero = _Zero(seen if wide else seen.astype(np.uint16))
+            zero = _Zero(out[:at, :n].T)
             slots = zero.slots()
         two, one = model.predict(n)
         unit = coder.step(slice(0, n), 16)
@@ -311,9 +312,9 @@ def unpack(payload: bytes) -> np.ndarray:
                 high = np.minimum(coder.code[rest] // coder.step(rest, 16), _FULL - 1)
                 coder.take(rest, high, 1)
                 x[rest] |= high << 16
-        out[:n, at] = x
+        out[at, :n] = x
         model.learn(n, x, is_two, is_one)
-    ids = out.ravel()[:total].astype("<u4")
+    ids = out.T.ravel()[:total].astype("<u4")
     for i, wanted in enumerate(sums.tolist()):
         if zlib.crc32(ids[i * BLOCK_IDS : (i + 1) * BLOCK_IDS].tobytes()) != wanted:
             raise ValueError(f"block {i} of a payload of token ids is damaged")
