@@ -234,9 +234,11 @@ FROM demanded d JOIN recovered r ON d.party = r.party
 WHERE recovered_day + INTERVAL 1 DAY <= at_ts""",
     # a party's debt is its running sum above the lowest point so far; what fell below it paid nothing
     "stream_entry_match": f"""
-WITH {SIDES}, {CLOSED}, entries AS (
+WITH {SIDES}, entries AS (
   SELECT party, entry_id, ts, CAST(amount * 100 AS BIGINT) AS cents FROM owed
   UNION ALL SELECT party, entry_id, ts, -CAST(amount * 100 AS BIGINT) FROM paid
+), closed AS (
+  SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS at_ts FROM entries WHERE cents <> 0
 ), summed AS (
   SELECT *, sum(cents) OVER w AS s FROM entries, closed WHERE ts < at_ts AND cents <> 0
   WINDOW w AS (PARTITION BY party ORDER BY ts, cents < 0, entry_id ROWS UNBOUNDED PRECEDING)
