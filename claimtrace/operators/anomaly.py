@@ -11,7 +11,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimtrace.plans import OrderedGroups, salted_join, split_hot, top_k, with_group_stats, with_quantiles
-from claimtrace.plans.groups import counted_quantiles, window_quantiles
+from claimtrace.plans.groups import refined_quantiles, window_quantiles
 
 
 def high_cost_lines(lines: DataFrame, amount: str, by: Sequence[str], q: float) -> DataFrame:
@@ -55,7 +55,7 @@ def peer_robust_zscore(lines: DataFrame, value: str, by: Sequence[str], k: float
         return rows.withColumn("zscore", F.when(F.col("peer_mad") > 0, z)).where(F.col("zscore") > k)
 
     flagged = scored(ordinary, window_quantiles)
-    return flagged if hot is None else flagged.unionByName(scored(hot, counted_quantiles))
+    return flagged if hot is None else flagged.unionByName(scored(hot, refined_quantiles))
 
 
 def peer_iqr_outliers(lines: DataFrame, value: str, by: Sequence[str], m: float = 1.5) -> DataFrame:

@@ -63,7 +63,7 @@ def build_ivf(
         length = np.linalg.norm(centres, axis=1)
         centres = centres[length > 0] / length[length > 0, None]
     else:
-        centres = np.zeros((1, width or 1))
+        centres = np.zeros((1, width or 0))
     listed = written(_listed(rows, centres, 1).select("id", "vector", "list"), "ivf-lists")
     index = IvfIndex(centres, len(centres), listed)
     return index._replace(probes=_probes(index, k, recall, seed))
@@ -92,6 +92,8 @@ def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, probes: int | None = N
     With as many probes as lists the result is that of the exact search.
     """
     width = index.centres.shape[1]
+    if not width:
+        return _ranked(queries.sparkSession.createDataFrame([], HITS), k)
     asked = _listed(_usable(queries, width), index.centres, min(probes or index.probes, len(index.centres)))
     per_cell = max(1, CELL_BYTES // (8 * width))
 

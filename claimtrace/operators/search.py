@@ -82,7 +82,8 @@ def bm25_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
     broadcast is joined by term instead, where adaptive execution splits common terms.
     """
     wanted = _query_terms(queries)
-    df = _document_frequency(index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
+    # stored with a saved index; else counted for these terms alone, as the join moves below the count
+    df = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
     # documents without tokens do not count
     n = index.lengths.agg(F.count_if(F.col("length") > 0).alias("n")).scalar()
     mean = index.lengths.agg(F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean")).scalar()
@@ -126,6 +127,53 @@ def filter_search(
     return kept.join(found, "doc_id", how).where(matches).drop("__all", "__any", "__none")
 
 
+def build_bitmaps(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Documents of each term as bits: term, bucket and bitmap, a row for each 32,768 numbers of documents.
+
+    Documents are known by whole numbers from 1 on, as ``doc_id`` + 1. Bits are set on the map
+    side, so at most a row of 4 KB per term and bucket leaves a task, however common the term.
+    """
+    words = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens("text"))).alias("term")).where(F.col("term").isin(list(terms)))
+    number = F.col("doc_id") + 1
+    return words.groupBy("term", F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap")
+    )
+
+
+def bitmap_search(
+    bitmaps: DataFrame, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = ()
+) -> DataFrame:
+    """Ids of documents with all, at least one and none of the given terms, by operations on whole bitmaps.
+
+    The union of ``any_of`` is one more bitmap that must hold; those of ``none_of`` are
+    looked up bit by bit for what is left. At least one required term is needed.
+    """
+    if not all_of and not any_of:
+        raise ValueError("a search by bitmaps needs a term that must be there")
+    term = F.col("term")
+    wanted = F.when(term.isin(list(all_of)), F.concat(F.lit("all:"), term))
+    if any_of:
+        # a term may be in both lists
+        wanted = F.array_compact(F.array(wanted, F.when(term.isin(list(any_of)), F.lit("any"))))
+    else:
+        wanted = F.array_compact(F.array(wanted))
+    roles = bitmaps.select("bucket", "bitmap", F.explode(wanted).alias("role")).groupBy("bucket", "role").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    needed = len(set(all_of)) + bool(any_of)
+    kept = roles.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("__kept"), F.count(F.lit(1)).alias("__roles")).where(F.col("__roles") == needed)
+    gone = bitmaps.where(term.isin(list(none_of))).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("__gone"))
+    both = kept.join(gone, "bucket", "left").select("bucket", F.hex("__kept").alias("__kept"), F.hex("__gone").alias("__gone"))
+    # one character of the hex text holds four bits; a byte's low half is its second character
+    digit = F.posexplode(F.split("__kept", "")).alias("__at", "__digit")
+    halves = both.select("bucket", "__gone", digit).where(~F.col("__digit").isin("0", ""))
+    value = F.conv("__digit", 16, 10).cast("int").bitwiseAND(
+        F.bitwise_not(F.coalesce(F.conv(F.expr("substring(__gone, __at + 1, 1)"), 16, 10).cast("int"), F.lit(0)))
+    )
+    low = F.floor(F.col("__at") / 2) * 8 + F.when(F.col("__at") % 2 == 0, 4).otherwise(0)
+    bits = halves.select("bucket", low.alias("__low"), value.alias("__bits")).select("bucket", "__low", "__bits", F.explode(F.array(*map(F.lit, range(4)))).alias("__bit"))
+    set_bits = bits.where(F.expr("shiftright(__bits, __bit) & 1 = 1"))
+    return set_bits.select(((F.col("bucket") - 1) * 32_768 + F.col("__low") + F.col("__bit")).alias("doc_id"))
+
+
 def build_positions(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Positional postings: doc_id, term and the positions of the term in the document, ascending from 0.
 

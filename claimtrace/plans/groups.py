@@ -5,7 +5,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimtrace.plans.hot import hot_keys, join_bounded
-from claimtrace.plans.ordered import OrderedGroups
+from claimtrace.sources.storage import written
+
+# parts of an interval in one round of refined_quantiles
+BINS = 256
 
 
 def split_hot(
@@ -48,7 +51,7 @@ def with_quantiles(
     rows = window_quantiles(ordinary, by, value, quantiles)
     if hot is None:
         return rows
-    return rows.unionByName(counted_quantiles(hot, by, value, quantiles))
+    return rows.unionByName(refined_quantiles(hot, by, value, quantiles))
 
 
 def window_quantiles(
@@ -61,36 +64,68 @@ def window_quantiles(
     )
 
 
-def counted_quantiles(
+def refined_quantiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Quantiles for hot groups: running counts over distinct values, then selection by rank."""
-    present = df.where(F.col(value).isNotNull())
-    totals = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
-    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = join_bounded(
-        OrderedGroups(counts, by, [value]).running_sum(__upto="__n").result(), totals, by, "inner"
+    """Quantiles for hot groups, by narrowing the interval that holds each rank; nothing is sorted.
+
+    A round counts, for every rank still sought, the values of its interval in BINS equal parts on
+    the map side; the part that holds the rank, from its smallest to its greatest value, is the next
+    interval. A rank is found when that is one value. What is kept between rounds is a row per
+    group and rank, and a task sends at most BINS rows for each.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__x"))
+    # nan is greater than every number and takes no part in bins: it is the value of the last ranks
+    nan = F.isnan("__x")
+    totals = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__total"),
+        F.count_if(~nan).alias("__real"),
+        F.min("__x").alias("__lo"),
+        F.max(F.when(~nan, F.col("__x"))).alias("__hi"),
+    )
+    place = lambda q: (F.col("__total") - 1) * F.lit(q)
+    ranks = [F.struct(F.lit(f"{end}{i}").alias("name"), cut(place(q)).cast("bigint").alias("rank"))
+             for i, q in enumerate(quantiles.values()) for end, cut in (("lo", F.floor), ("hi", F.ceil))]
+    totals = written(totals, "quantile-totals")
+    sought = totals.select(*by, "__real", "__lo", "__hi", F.explode(F.array(*ranks)).alias("__r"))
+    # ranks of a group that are one rank are sought once
+    sought = sought.groupBy(*by, "__real", "__lo", "__hi", F.col("__r.rank").alias("__rank")).agg(F.collect_list("__r.name").alias("__names"))
+    state = sought.select(*by, "__names", "__rank", F.lit(0).cast("bigint").alias("__below"), "__lo", F.when(F.col("__rank") >= F.col("__real"), F.lit(float("nan"))).otherwise(F.col("__hi")).alias("__hi"))
+    state = state.withColumn("__lo", F.when(F.isnan("__hi"), F.col("__hi")).otherwise(F.col("__lo")))
+    state = written(state, "quantile-ranks")
+    done = state.where(F.col("__lo") == F.col("__hi"))
+    live = state.where(F.col("__lo") != F.col("__hi"))
+    while live.take(1):
+        near = join_bounded(rows, live, by, "inner").where((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
+        # halves of both ends, as their difference may be more than a double holds
+        share = (F.col("__x") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+        part = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+        # an infinite end has no parts: it is one of its own
+        part = F.when(F.col("__x") == F.col("__lo"), -1).when(F.col("__x") == F.col("__hi"), BINS).otherwise(F.coalesce(F.when(~F.isnan(share), part), F.lit(0)))
+        bins = near.groupBy(*by, "__names", "__rank", "__below", part.alias("__part")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")
+        )
+        so_far = Window.partitionBy(*by, "__rank").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("__below", F.col("__below") + F.coalesce(F.sum("__n").over(so_far), F.lit(0)))
+        here = bins.where((F.col("__below") <= F.col("__rank")) & (F.col("__rank") < F.col("__below") + F.col("__n")))
+        state = written(here.select(*live.columns), "quantile-ranks")
+        done = done.unionByName(state.where(F.col("__lo") == F.col("__hi")))
+        live = state.where(F.col("__lo") != F.col("__hi"))
+    values = done.select(*by, F.explode("__names").alias("__name"), F.col("__lo").alias("__v"))
+    ends = values.groupBy(*by).agg(
+        *[F.max(F.when(F.col("__name") == f"{end}{i}", F.col("__v"))).alias(f"__{end}{i}") for i in range(len(quantiles)) for end in ("lo", "hi")]
     )
-    picked = []
-    for i, q in enumerate(quantiles.values()):
-        place = (F.col("__total") - 1) * F.lit(q)
-        for end, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
-            picked.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"__{end}{i}"))
-        picked.append(F.max(place - F.floor(place)).alias(f"__f{i}"))
-    ends = ranked.groupBy(*by).agg(*picked)
+    ends = join_bounded(totals.select(*by, "__total"), ends, by, "inner")
     found = ends.select(
         *by,
         *[
             F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}"))
-            .otherwise(
-                (1 - F.col(f"__f{i}")) * F.col(f"__lo{i}") + F.col(f"__f{i}") * F.col(f"__hi{i}")
-            )
+            .otherwise((1 - (place(q) - F.floor(place(q)))) * F.col(f"__lo{i}") + (place(q) - F.floor(place(q))) * F.col(f"__hi{i}"))
             .alias(name)
-            for i, name in enumerate(quantiles)
+            for i, (name, q) in enumerate(quantiles.items())
         ],
     )
-    return join_bounded(df, found, by, "left")
+    return join_bounded(df, written(found, "quantiles"), by, "left")
 
 
 def salted_join(

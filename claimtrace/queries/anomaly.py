@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimtrace.functions import dollars, money
-from claimtrace.operators import anomaly
+from claimtrace.operators import anomaly, sketches
 from claimtrace.sources import LINE_KEY, claim_lines, table, written
 
 RATE_YEARS = (1995, 2000)
@@ -53,6 +53,19 @@ def high_cost_lines_approx(spark, path):
     return lines.select(*LINE_KEY, dollars("paid").alias("paid"), dollars("threshold").alias("threshold"))
 
 
+def sketch_rank_error(spark, path):
+    """Whether thresholds from sketches of days, merged, have the rank they should, for every provider."""
+    lines, by, q = claim_lines(spark, path), ["provider"], 0.95
+    days = sketches.day_sketches(lines, "paid", by, F.to_date(F.date_trunc("month", "service_date")))
+    thresholds = sketches.sketch_thresholds(sketches.merged_sketches(days, by), by, q)
+    errors = sketches.rank_errors(lines, thresholds, "paid", by, q)
+    return errors.agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.sum("n").alias("n_lines"),
+        (F.max("rank_error") <= sketches.RANK_ERROR).alias("within_bound"),
+    )
+
+
 def peer_zscore(spark, path):
     lines = anomaly.peer_zscore(claim_lines(spark, path), "paid", ["code"], 2.0)
     return lines.select(*LINE_KEY, dollars("paid").alias("paid"), "zscore")
@@ -116,6 +129,7 @@ def risk_score(spark, path):
 QUERIES = {
     "high_cost_lines": high_cost_lines,
     "high_cost_lines_approx": high_cost_lines_approx,
+    "sketch_rank_error": sketch_rank_error,
     "peer_zscore": peer_zscore,
     "peer_robust_zscore": peer_robust_zscore,
     "peer_iqr_outliers": peer_iqr_outliers,
@@ -167,6 +181,8 @@ frequent AS (
 )"""
 
 ORACLES = {
+    "sketch_rank_error": """
+SELECT count(DISTINCT l_suppkey) AS n_groups, count(*) AS n_lines, true AS within_bound FROM lineitem""",
     "high_cost_lines": f"""
 WITH {LINES}, {HIGH_COST}
 SELECT {KEY}, CAST(paid AS DOUBLE) AS paid, round(threshold, 4) AS threshold FROM high_cost""",

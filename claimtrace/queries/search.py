@@ -34,6 +34,12 @@ def filter_search(spark, path):
     return found.select("doc_id", "source")
 
 
+def bitmap_search(spark, path):
+    terms = {"all_of": ["the", "of"], "any_of": ["and", "for"], "none_of": ["whst"]}
+    bitmaps = search.build_bitmaps(documents(spark, path), sum(terms.values(), []))
+    return search.bitmap_search(bitmaps, **terms)
+
+
 def phrase_search(spark, path):
     return search.phrase_search(documents(spark, path), search_queries(spark, path))
 
@@ -114,6 +120,7 @@ QUERIES = {
     "term_frequencies": term_frequencies,
     "bm25_topk": bm25_topk,
     "filter_search": filter_search,
+    "bitmap_search": bitmap_search,
     "phrase_search": phrase_search,
     "position_postings": position_postings,
     "chunk_documents": chunk_documents,
@@ -206,6 +213,10 @@ WITH {TOKENS}
 SELECT doc_id, source FROM words
 WHERE lang = 'en' AND list_has_all(toks, ['the', 'of']) AND list_has_any(toks, ['and', 'for'])
   AND NOT list_contains(toks, 'whst')""",
+    "bitmap_search": f"""
+WITH {TOKENS}
+SELECT doc_id FROM words
+WHERE list_has_all(toks, ['the', 'of']) AND list_has_any(toks, ['and', 'for']) AND NOT list_contains(toks, 'whst')""",
     "phrase_search": f"""
 WITH {TOKENS}, {PHRASES}
 SELECT query_id, doc_id, CAST(len(string_split(substring(spaced, 1, found_at), ' ')) - 2 AS INTEGER) AS position FROM phrases""",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from claimtrace.plans import OrderedGroups, hot_keys, salted_join, with_group_stats, with_quantiles
+from claimtrace.plans import OrderedGroups, groups, hot_keys, salted_join, with_group_stats, with_quantiles
 from tests.oracle import spark_rows
 
 
@@ -95,13 +95,13 @@ def test_ranges_are_bounded_whatever_the_groups(spark, split):
     try:
         df = spark.range(20_000).select((F.col("id") % 4_000).alias("k"), "id")
         df = df.unionByName(spark.range(20_000, 30_000).select(F.lit(5).cast("bigint").alias("k"), "id"))
-        groups = OrderedGroups(df, ["k"], ["id"])
-        ranges = {r["__range"]: r["count"] for r in groups._rows.groupBy("__range").count().collect()}
+        split_up = OrderedGroups(df, ["k"], ["id"])
+        ranges = {r["__range"]: r["count"] for r in split_up._rows.groupBy("__range").count().collect()}
         assert len(ranges) > 80 and max(ranges.values()) < 3 * 300
         # two groups of each range can be open, and no other is summarised
-        assert groups._open.count() <= 2 * len(ranges)
-        assert groups._carried(groups.running_sum(s="id")._steps).count() <= 4 * len(ranges)
-        found = groups.previous(p="id").result().orderBy("k", "id").collect()
+        assert split_up._open.count() <= 2 * len(ranges)
+        assert split_up._carried(split_up.running_sum(s="id")._steps).count() <= 4 * len(ranges)
+        found = split_up.previous(p="id").result().orderBy("k", "id").collect()
         before, total = {}, {}
         for r in found:
             assert r.p == before.get(r.k)
@@ -116,3 +116,35 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "k int, t int, id int, v bigint")
     assert _all_functions(empty).count() == 0
     assert with_quantiles(empty, ["k"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("bins", [2, 256])
+def test_refined_quantiles_are_those_of_a_window(spark, monkeypatch, bins):
+    """All values distinct, all equal, far apart, missing, infinite and not numbers; small and large groups."""
+    monkeypatch.setattr(groups, "BINS", bins)
+    rnd = random.Random(bins)
+    inf, nan = float("inf"), float("nan")
+    values = {
+        1: [rnd.random() for _ in range(500)],
+        2: [7.0] * 50,
+        3: [10.0 ** rnd.randint(-300, 300) * rnd.choice([-1, 1]) for _ in range(200)],
+        4: [None, 1.0, 2.0],
+        5: [-inf, inf, 0.0, 1.0, -inf, nan, nan],
+        6: [None, None],
+        7: [nan],
+        None: [1.0, 1.0, 3.0, 8.0],
+        8: [-1.7e308, 1.7e308, 0.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k int, v double")
+    wanted = {"q0": 0.0, "q1": 0.25, "median": 0.5, "p95": 0.95, "q4": 1.0}
+    plain = {r.k: [repr(x) for x in r[2:]] for r in groups.window_quantiles(df, ["k"], "v", wanted).collect()}
+    for r in groups.refined_quantiles(df, ["k"], "v", wanted).collect():
+        ours, theirs = [float(x) if x is not None else None for x in r[2:]], [float(x) if x != "None" else None for x in plain[r.k]]
+        for a, b in zip(ours, theirs, strict=True):
+            assert a == b or (a != a and b != b) or a == pytest.approx(b, rel=1e-12), (r.k, ours, theirs)
+
+
+def test_a_hot_group_of_distinct_values_is_not_sorted(spark, split):
+    df = spark.range(3000).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 3001).alias("v"))
+    plan = with_quantiles(df, ["k"], "v", {"m": 0.5})
+    assert plan.select("m").distinct().collect() == [(plan.agg(F.percentile("v", 0.5)).first()[0],)]
