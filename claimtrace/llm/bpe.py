@@ -4,14 +4,14 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from claimtrace.llm.text import cut
 
@@ -22,8 +22,8 @@ MAX_FILE_BYTES = 64 << 20
 GUESS_BYTES = 64
 #: pieces merged exactly at once
 ROWS = 4096
-#: the piece pattern and the byte letters of the tokenizer file (fixed values)
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: the piece pattern and the byte letters of the tokenizer file (fixed values), for classes of characters to be filled in
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: the same pattern for texts of characters up to U+02C1, with their letters, digits and blanks spelled out
 LATIN = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1"
@@ -33,6 +33,20 @@ BEYOND_LATIN = re.compile("[^\0-\u02c1]")
 END = 256
 
 
+@lru_cache(maxsize=8)
+def character_class(pattern: str) -> str:
+    """The characters that match ``pattern`` as the tokenizers library reads it, as ranges for ``re``.
+
+    Which code points are letters depends on a library's version of Unicode; here it is asked
+    about every one of them, so the answer is its own.
+    """
+    matching = Split(Regex(f"{pattern}+"), "removed", invert=True)
+    # code points in order, without surrogates; a run of matches is a range
+    low, high = "".join(map(chr, range(0xD800))), "".join(map(chr, range(0xE000, 0x110000)))
+    ranges = [(text[0], text[-1]) for part in (low, high) for text, _ in matching.pre_tokenize_str(part)]
+    return "".join(f"\\U{ord(a):08x}-\\U{ord(b):08x}" for a, b in ranges)
+
+
 def _byte_letters() -> list[str]:
     """A printable character for every byte; the others take the ones from 256 on."""
     table, spare = [""] * 256, 256
@@ -71,7 +85,7 @@ class WordBpe:
         suffix = model["end_of_word_suffix"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
-        self.pieces, self.latin = regex.compile(PIECES), re.compile(LATIN_PIECES)
+        self.file, self.latin = file, re.compile(LATIN_PIECES)
         letters = _byte_letters()
         ids = model["vocab"]
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.specials.items()}
@@ -115,6 +129,17 @@ class WordBpe:
         self.known_ids: dict[str, str] = {}
         self.known_tokens: dict[str, str] = {}
 
+    @cached_property
+    def pieces(self) -> re.Pattern:
+        """The piece pattern for all characters; made for the first text that needs it."""
+        classes = {"letters": r"\p{L}", "numbers": r"\p{N}", "blanks": r"\s"}
+        return re.compile(PIECES.format(**{name: character_class(p) for name, p in classes.items()}))
+
+    @cached_property
+    def normal(self):
+        """Composed and lower case as the library's version of Unicode has it."""
+        return Tokenizer.from_str(self.file).normalizer.normalize_str
+
     # --- exact merging -------------------------------------------------------------------
 
     def _merge(self, symbols: list[int]) -> list[int]:
@@ -298,8 +323,7 @@ class WordBpe:
     def _plain(self, text: str) -> list[str]:
         if text.isascii():
             return self.latin.findall(text.lower())
-        # single characters are lowered one by one, so a final sigma stays an ordinary one
-        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        text = self.normal(text) if BEYOND_LATIN.search(text) else text.lower()
         return (self.pieces if BEYOND_LATIN.search(text) else self.latin).findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str, int]]:

@@ -191,6 +191,18 @@ def test_bpe_equals_the_library(spark, docs):
     assert {r.n_tokens for r in bpe.digests(docs.where("text is null"), TOKENIZER).collect()} == {0}
 
 
+def test_bpe_reads_every_character_as_the_library_does():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        ours = bpe.WordBpe(f.read())
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}1 " for c in characters[i : i + 128]) for i in range(0, len(characters), 128)]
+    library = Tokenizer.from_file(TOKENIZER)
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for text, (ids, *_), own in zip(part, ours.encode_batch(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids == " ".join(map(str, own.ids)), hex(ord(text[1]))
+
+
 # --- learned operators --------------------------------------------------------------------------------
 
 
