@@ -34,7 +34,7 @@ BLOCK_IDS = 4096
 #: token ids after which a chunk ends with its document
 CHUNK_IDS = 2 << 20
 MAGIC = b"IDB1"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: the piece pattern of byte-level BPE files (fixed values), its classes spelled out for characters up to U+02C1
 BLANKS = r"\t-\r \x85\xa0"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{NUMBERS}]+| ?[^{LATIN}{NUMBERS}{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
@@ -389,7 +389,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int | None = None) -> DataFra
 
     def run(batches):
         pieces = _loaded(file.value)
-        for part in cut(batches, "text"):
+        for part in cut(batches, "text", 1 << 20):
             ids, sizes = pieces.encode([t or "" for t in part.column("text").to_pylist()])
             if end_id is not None:
                 ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
