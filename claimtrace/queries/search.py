@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from claimtrace.operators import ivf, search, vectors
-from claimtrace.sources import document_vectors, documents, search_queries
+from claimtrace.operators import ivf, search, segments, vectors
+from claimtrace.sources import document_vectors, documents, scratch_path, search_queries
 
 TOP = 10
 
@@ -115,6 +115,29 @@ def update_postings(spark, path):
     return search.update_postings(search.build_postings(docs), changed).terms
 
 
+def _segmented(spark, path):
+    """Documents in two parts; then German ones get their source as a further word, and French ones of even number go."""
+    docs = documents(spark, path).select("doc_id", "text", "lang", "source")
+    where, even = scratch_path(spark, "segments"), F.col("doc_id") % 2 == 0
+    german = docs.where(F.col("lang") == "de").withColumn("text", F.concat_ws(" ", "text", "source"))
+    segments.update_index(spark, where, docs.where(even))
+    segments.update_index(spark, where, docs.where(~even))
+    segments.update_index(spark, where, german, docs.where(even & (F.col("lang") == "fr")))
+    return segments.open_index(spark, where)
+
+
+def segment_postings(spark, path):
+    return _segmented(spark, path).postings
+
+
+def segment_lengths(spark, path):
+    return _segmented(spark, path).lengths
+
+
+def segment_terms(spark, path):
+    return _segmented(spark, path).terms
+
+
 QUERIES = {
     "build_postings": build_postings,
     "term_frequencies": term_frequencies,
@@ -133,6 +156,9 @@ QUERIES = {
     "search_facets": search_facets,
     "retrieval_eval": retrieval_eval,
     "update_postings": update_postings,
+    "segment_postings": segment_postings,
+    "segment_lengths": segment_lengths,
+    "segment_terms": segment_terms,
 }
 
 TOKENS = r"""
@@ -198,7 +224,22 @@ phrases AS (
     ON contains(' ' || array_to_string(w.toks, ' ') || ' ', ' ' || array_to_string(a.toks, ' ') || ' ')
 )"""
 
+SEGMENTED = r"""
+words AS (
+  SELECT doc_id, regexp_extract_all(lower(CASE WHEN lang = 'de' THEN text || ' ' || source ELSE text END), '[\p{L}\p{N}]+') AS toks
+  FROM documents WHERE NOT (lang = 'fr' AND doc_id % 2 = 0)
+)"""
+
 ORACLES = {
+    "segment_postings": f"""
+WITH {SEGMENTED}, {POSTINGS}
+SELECT * FROM postings""",
+    "segment_lengths": f"""
+WITH {SEGMENTED}
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS length FROM words""",
+    "segment_terms": f"""
+WITH {SEGMENTED}, {POSTINGS}
+SELECT term, count(*) AS df FROM postings GROUP BY term""",
     "build_postings": f"""
 WITH {TOKENS}, {POSTINGS}
 SELECT * FROM postings""",

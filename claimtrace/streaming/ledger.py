@@ -13,19 +13,17 @@ manifests stay readable until they are expired.
 """
 
 import hashlib
-import json
 import uuid
+from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
+from claimtrace.sources import manifests
 from claimtrace.sources.storage import scratch_path
 from claimtrace.streaming.run import run_batches
 
 FAN = 8
-ATTEMPTS = 100
 ROWS = (
     "row_key string, party bigint, entry_id bigint, ts timestamp, signed decimal(18,2), version bigint, deleted boolean"
 )
@@ -76,7 +74,8 @@ def stream_ledger_upsert(
 
 def ledger_entries(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:
     """One row per live entry: party, entry_id, ts, signed, version; of an earlier snapshot if its number is given."""
-    live = _live(_rows(spark, path, [f for f, _ in _manifest(spark, path, snapshot)["folders"]]))
+    manifest = _latest(spark, path) if snapshot is None else manifests.read(spark, path, snapshot)
+    live = _live(_rows(spark, path, [f for f, _ in manifest["folders"]]))
     return live.where(~F.col("deleted")).select("party", "entry_id", "ts", "signed", "version")
 
 
@@ -102,22 +101,12 @@ def compact_ledger(spark: SparkSession, path: str, forget_deleted: bool = False)
 
 def snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the snapshots that can be read, in order."""
-    return _numbers(spark, path)
+    return manifests.numbers(spark, path)
 
 
 def expire_snapshots(spark: SparkSession, path: str, keep: int = 10) -> None:
-    """Removes all but the last ``keep`` manifests and the folders that only the removed ones named.
-
-    Folders that no manifest has named yet belong to batches under way and stay.
-    """
-    numbers = _numbers(spark, path)
-    named = lambda some: {f for n in some for f, _ in _manifest(spark, path, n)["folders"]}
-    old, kept = numbers[:-keep], numbers[-keep:]
-    fs, _ = _files(spark, path)
-    for folder in named(old) - named(kept):
-        fs.delete(_path(spark, f"{path}/{folder}"), True)
-    for n in old:
-        fs.delete(_path(spark, _name(path, n)), False)
+    """Removes all but the last ``keep`` snapshots, and the folders that no other names."""
+    manifests.expire(spark, path, keep, lambda m: {f for f, _ in m["folders"]})
 
 
 # --- rows --------------------------------------------------------------------------------------
@@ -159,66 +148,19 @@ def _merge_tiers(spark: SparkSession, path: str) -> None:
 # --- manifests ---------------------------------------------------------------------------------
 
 
-def _path(spark: SparkSession, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(name)
-
-
-def _files(spark: SparkSession, path: str):
-    conf = spark._jsc.hadoopConfiguration()
-    fs = _path(spark, path).getFileSystem(conf)
-    return fs, spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-
-
-def _name(path: str, number: int) -> str:
-    return f"{path}/snapshots/{number:012d}.json"
-
-
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    fs, _ = _files(spark, path)
-    folder = _path(spark, f"{path}/snapshots")
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
-
-
-def _manifest(spark: SparkSession, path: str, number: int | None) -> dict:
-    if number is None:
-        return _latest(spark, path)
-    fs, _ = _files(spark, path)
-    stream = fs.open(_path(spark, _name(path, number)))
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
 def _latest(spark: SparkSession, path: str) -> dict:
-    numbers = _numbers(spark, path)
-    return _manifest(spark, path, numbers[-1]) if numbers else {"number": 0, "folders": [], "runs": {}}
+    return {"folders": [], "runs": {}} | manifests.latest(spark, path)
 
 
-def _commit(spark: SparkSession, path: str, added: list, removed: list = (), run: tuple[str, int] | None = None) -> None:
+def _commit(spark: SparkSession, path: str, added: list, removed: Sequence[str] = (), run: tuple[str, int] | None = None) -> None:
     """Puts the next manifest in place; a merge whose folders another merge took is given up."""
-    fs, context = _files(spark, path)
-    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    for _ in range(ATTEMPTS):
-        now = _latest(spark, path)
+
+    def change(now: dict) -> dict | None:
+        now = {"folders": [], "runs": {}} | now
         names = {f for f, _ in now["folders"]}
         if not names.issuperset(removed) or (run and now["runs"].get(run[0], -1) >= run[1]):
-            return
+            return None
         folders = [f for f in now["folders"] if f[0] not in set(removed)] + [list(f) for f in added]
-        runs = now["runs"] | ({run[0]: run[1]} if run else {})
-        after = {"number": now["number"] + 1, "folders": folders, "runs": runs}
-        draft = _path(spark, f"{path}/snapshots/.draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(after).encode()))
-        out.close()
-        try:
-            context.rename(draft, _path(spark, _name(path, after["number"])), none)
-            return
-        except (Py4JJavaError, PySparkException):
-            fs.delete(draft, False)
-            if after["number"] not in _numbers(spark, path):
-                raise
-    raise RuntimeError(f"{path}: {ATTEMPTS} other writers were faster")
+        return {"folders": folders, "runs": now["runs"] | ({run[0]: run[1]} if run else {})}
+
+    manifests.commit(spark, path, change)
