@@ -23,7 +23,7 @@ BLOCKS = BITS // 8
 MASK = 127
 LEAST, MOST = 32, 768
 CONTEXT = 6
-SLICE = 4 << 20
+SLICE = 2 << 20
 MORE = 0.05
 _U = np.uint64
 
@@ -51,15 +51,24 @@ def _pieces(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """BITS bits of each text, one row of bytes each; equal texts have equal rows."""
+    """BITS bits of each text, one row of bytes each; equal texts have equal rows.
+
+    A piece that several places have, as an edited text shares most with its first form, is walked once.
+    """
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     first = np.concatenate([[0], np.cumsum(lengths)])
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(_U)
+    raw = "".join(texts).encode("utf-32-le")
+    points = np.frombuffer(raw, dtype=np.uint32).astype(_U)
     votes = np.zeros((len(texts), BITS), dtype=np.int64)
     left = np.zeros(len(texts), dtype=_U)
     if len(points):
         starts = _pieces(points, first)
-        own_votes, state = _walk(mix(points), starts, np.append(starts[1:], len(points)))
+        ends = np.append(starts[1:], len(points))
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(raw[4 * a : 4 * b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts))
+        once = np.unique(which, return_index=True)[1]
+        own_votes, state = _walk(mix(points), starts[once], ends[once])
+        own_votes, state = own_votes[which], state[which]
         owner = np.searchsorted(first, starts, side="right") - 1
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         votes[owner[begin]] = np.add.reduceat(own_votes, begin, axis=0, dtype=np.int64)
@@ -262,8 +271,8 @@ def _finished(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for i in rows:
         n = len(texts[i]) // 4
         edited.append(texts[i][: len(texts[i]) - n] + texts[i + 1][:n])
-    own, changed = fingerprints(texts), fingerprints(edited)
-    at = np.array(rows)
+    both = fingerprints(texts + edited)
+    own, changed, at = both[: len(texts)], both[len(texts) :], np.array(rows)
     yield pa.RecordBatch.from_arrays(
         [
             table.column("doc_id").take(pa.array(rows)).combine_chunks(),
