@@ -66,6 +66,19 @@ def stream_case_state(spark, path):
     return _plain(current.select("case_id", "row.state", "row.since", "row.n_events", "row.amount_cents", "row.stale"))
 
 
+@_settings(ROCKSDB)
+def stream_case_state_resumed(spark, path):
+    """A batch over the first half of the month hands its cases to a stream over the rest; then what that holds."""
+    middle = F.lit("2024-01-16").cast("timestamp")
+    before = case_events(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") < middle)
+    later = _events(spark, path).where(F.col("ts") >= middle)
+    checkpoint = scratch_path(spark, "resumed-state")
+    log = cases.stream_case_state(later, DELAY, STALE, initial=cases.case_totals(before))
+    run_to_table(log, "case-state", checkpoint)
+    held = cases.held_case_state(spark, checkpoint)
+    return _plain(held.select("case_id", "state", F.col("ts").alias("since"), "n_events", "amount_cents"))
+
+
 @_settings(LOCAL_SESSIONS)
 def stream_build_cases(spark, path):
     return _plain(run_to_table(cases.stream_build_cases(_events(spark, path), "6 hours", DELAY), "cases"))
@@ -158,6 +171,7 @@ def stream_ledger_versions(spark, path):
 QUERIES = {
     "stream_alerts": stream_alerts,
     "stream_case_state": stream_case_state,
+    "stream_case_state_resumed": stream_case_state_resumed,
     "stream_build_cases": stream_build_cases,
     "stream_event_counts": stream_event_counts,
     "stream_event_counts_sliding": stream_event_counts_sliding,
@@ -190,6 +204,11 @@ SELECT case_id, arg_max(state, ts) AS state, max(ts) AS since, count(*) AS n_eve
        CAST(sum(amount) * 100 AS BIGINT) AS amount_cents,
        date_trunc('milliseconds', max(ts)) + INTERVAL 1 DAY <= max(at_ts) AS stale
 FROM ev, closed GROUP BY case_id""",
+    "stream_case_state_resumed": f"""
+WITH {EVENTS}
+SELECT case_id, arg_max(state, ts) AS state, max(ts) AS since, count(*) AS n_events,
+       CAST(sum(amount) * 100 AS BIGINT) AS amount_cents
+FROM ev GROUP BY case_id""",
     "stream_build_cases": f"""
 WITH {EVENTS}, {CASES}, {CLOSED}
 SELECT case_id, first_ts, last_ts, case_end, n_flags, CAST(amount AS DOUBLE) AS amount

@@ -4,7 +4,7 @@ from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TOTAL = "decimal(28,2)"
@@ -76,12 +76,21 @@ CASE_STATE = (
 _PARTIAL = "case_id bigint, ts timestamp, event_id bigint, state string, n_events bigint, amount_cents bigint"
 
 
-def stream_case_state(stream: DataFrame, delay: str, stale_after: timedelta, keep_for: timedelta | None = None) -> DataFrame:
+#: how long the state of a case that went stale is kept
+KEEP_FOR = timedelta(days=365)
+
+
+def stream_case_state(
+    stream: DataFrame, delay: str, stale_after: timedelta, keep_for: timedelta | None = KEEP_FOR, initial: DataFrame | None = None
+) -> DataFrame:
     """A log of each case's latest state, with a ``stale`` row when it has been still for too long.
 
     Each input block is reduced to one row per case before the shuffle. The state held per
-    case is one row, and one timer. Needs the RocksDB state store. With ``keep_for`` the state of a
-    case ends that long after it went stale; a later event then begins the case anew.
+    case is one row, and one timer. Needs the RocksDB state store. The state of a
+    case ends ``keep_for`` after it went stale, or never if that is None; a later event then begins the case anew.
+
+    ``initial`` (as ``case_totals`` makes it) is what batches have seen of the cases before the stream starts: the stream
+    goes on from there instead of reading old events. It is taken over once, when a checkpoint is new.
     """
     cents = (F.col("amount") * 100).cast("bigint").alias("amount_cents")
     partial = (
@@ -94,9 +103,25 @@ def stream_case_state(stream: DataFrame, delay: str, stale_after: timedelta, kee
         outputStructType=CASE_STATE,
         outputMode="Append",
         timeMode="EventTime",
+        initialState=None if initial is None else initial.select(_columns(_PARTIAL)).groupBy("case_id"),
     )
 
 
+def case_totals(events: DataFrame) -> DataFrame:
+    """The latest event of each case and its totals, from a batch of case events: case_id, ts, event_id, state, n_events, amount_cents."""
+    latest = F.max_by(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id"))
+    totals = events.groupBy("case_id").agg(
+        latest.alias("__e"), F.count(F.lit(1)).alias("n_events"), F.sum((F.col("amount") * 100).cast("bigint")).alias("amount_cents")
+    )
+    return totals.select("case_id", F.col("__e.ts").cast("timestamp").alias("ts"), "__e.event_id", "__e.state", "n_events", "amount_cents")
+
+
+def held_case_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stopped stream holds of each case, read from its checkpoint; the columns of ``case_totals``."""
+    rows = spark.read.format("statestore").option("stateVarName", "latest").load(checkpoint)
+    return rows.select("value.*").select(_columns(_PARTIAL))
+
+
 def _latest_per_case(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for block in blocks:
         yield _collapsed(block)
@@ -122,6 +147,10 @@ class CaseState(StatefulProcessor):
         self._handle = handle
         self._state = handle.getValueState("latest", _PARTIAL)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = _collapsed(initialState[_columns(_PARTIAL)]).iloc[0]
+        self._keep(row)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         latest = None
         if self._state.exists():
@@ -130,10 +159,9 @@ class CaseState(StatefulProcessor):
             seen = block if latest is None else pd.concat([latest, block[latest.columns]], ignore_index=True)
             latest = _collapsed(seen[_columns(_PARTIAL)])
         row = latest.iloc[0]
-        self._state.update(tuple(None if pd.isna(row[c]) else row[c] for c in _columns(_PARTIAL)))
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer(_millis(row["ts"]) + self._stale_ms)
+        self._keep(row)
         yield self._logged(row, row["ts"], False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -149,6 +177,10 @@ class CaseState(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _keep(self, row) -> None:
+        self._state.update(tuple(None if pd.isna(row[c]) else row[c] for c in _columns(_PARTIAL)))
+        self._handle.registerTimer(_millis(row["ts"]) + self._stale_ms)
+
     def _logged(self, row, at, stale: bool) -> pd.DataFrame:
         return pd.DataFrame(
             {
