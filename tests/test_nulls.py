@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimtrace.operators import anomaly, cases, recovery, vectors
-from claimtrace.streaming.recovery import ledger_balances, stream_ledger_upsert
+from claimtrace.streaming.ledger import ledger_balances, stream_ledger_upsert
 from tests.frames import at, cents, entries, events, tuples
 
 
