@@ -148,8 +148,7 @@ class CaseState(StatefulProcessor):
         self._state = handle.getValueState("latest", _PARTIAL)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = _collapsed(initialState[_columns(_PARTIAL)]).iloc[0]
-        self._keep(row)
+        self._keep(_collapsed(_of_case(key, initialState)).iloc[0])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         latest = None
@@ -157,7 +156,7 @@ class CaseState(StatefulProcessor):
             latest = pd.DataFrame([self._state.get()], columns=_columns(_PARTIAL))
         for block in rows:
             seen = block if latest is None else pd.concat([latest, block[latest.columns]], ignore_index=True)
-            latest = _collapsed(seen[_columns(_PARTIAL)])
+            latest = _collapsed(_of_case(key, seen))
         row = latest.iloc[0]
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
@@ -195,6 +194,11 @@ class CaseState(StatefulProcessor):
         )
 
 
+def _of_case(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one case under one form of its id; the null id has two, from state and from input."""
+    return rows[_columns(_PARTIAL)].assign(case_id=float("nan") if key[0] is None else key[0])
+
+
 def _columns(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 

@@ -164,3 +164,23 @@ def test_recovery_match_equals_batch(spark, shuffled):
     expected = _daily_pairs(events, 2).where(F.col("recovered_day") + F.expr("interval 1 day") <= closed)
     rows = spark_rows(days)
     assert rows and rows == spark_rows(expected.select(*days.columns))
+
+
+def test_case_state_goes_on_from_a_batch_and_can_be_read_back(spark, tmp_path):
+    schema = SCHEMAS["events"]
+    old = [(1, at("2024-01-01T00:00"), 1, "open", 1.0, None), (2, at("2024-01-01T01:00"), 1, "paid", 2.0, None),
+           (3, at("2024-01-01T01:00"), None, "open", 3.0, None), (4, at("2024-01-01T02:00"), 9, "open", 4.0, None)]
+    before = as_case_events(spark.createDataFrame(old, schema)).withColumn("ts", F.col("ts").cast("timestamp"))
+    # one event that is older than what the batch has seen, one of the null case, one of a new case
+    files = [[(5, "2024-01-01T00:30", 1, "asked", 5)], [(6, "2024-01-01T03:00", None, "paid", 6), (7, "2024-01-01T03:00", 7, "open", 7)]]
+    stream = _stream(spark, _write(spark, f"{tmp_path}/in", files))
+    with session_settings(spark, ROCKSDB):
+        log = cases.stream_case_state(stream, "1 day", timedelta(days=30), initial=cases.case_totals(before))
+        run_to_table(log, "log", f"{tmp_path}/state")
+        held = cases.held_case_state(spark, f"{tmp_path}/state")
+        assert tuples(held, "case_id", "state", "n_events", "amount_cents") == [
+            (None, "paid", 2, 900),
+            (1, "paid", 3, 800),
+            (7, "open", 1, 700),
+            (9, "open", 1, 400),
+        ]
