@@ -39,6 +39,9 @@ FOLDED = 8
 STAR_COLUMNS = 8
 MORE = 0.05
 WANTED_BITS = 24
+BLOCK = 4096
+FOUND = 1 << 16
+PRODUCT = ["column", "lo", "hi", "own", "node", "n", "at", "label", "folded"]
 
 
 def need(size):
@@ -336,10 +339,41 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with the component of each row, of the columns that hold several components."""
+    """Postings with the component of each row, of the columns that hold several components.
+
+    ``blocks`` names the blocks into which the column's rows are cut, about BLOCK rows each. A
+    component with more rows than that has blocks of its own, for which its label stands in the
+    array; a null is a block of several components.
+    """
     marked = _labelled(postings.drop("salt"), labels)
-    mixed = marked.groupBy("column").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return written(marked.join(mixed.select("column"), "column"), "ngram-mixed")
+    each = marked.groupBy("column", "label").agg(F.count("*").alias("m"))
+    own = F.when(F.col("m") > BLOCK, F.array_repeat("label", F.ceil(F.col("m") / BLOCK).cast("int")))
+    columns = (
+        each.groupBy("column")
+        .agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("rest"), F.flatten(F.collect_list(own)).alias("own"))
+        .where("labels > 1")
+    )
+    shared = F.array_repeat(F.lit(None).cast("bigint"), F.ceil(F.col("rest") / BLOCK).cast("int"))
+    return written(marked.join(columns.select("column", F.concat(shared, "own").alias("blocks")), "column"), "ngram-mixed")
+
+
+def _dealt(mixed: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (lo, hi) that a row of ``mixed`` meets in, with its own block.
+
+    Two blocks of one component never meet, as nothing new can link there.
+    """
+    first = F.array_position("blocks", F.col("label"))
+    size = F.size("blocks")
+    spread = F.pmod(F.xxhash64("node"), F.size(F.filter("blocks", lambda x: x == F.col("label")))).cast("int")
+    others = F.size(F.filter("blocks", lambda x: x.isNull()))
+    own = F.when(first > 0, first.cast("int") - 1 + spread).otherwise(F.pmod(F.xxhash64("label"), others).cast("int"))
+    placed = mixed.withColumn("own", F.when(size > 1, own).otherwise(0))
+    met = F.filter(
+        F.sequence(F.lit(0), size - 1),
+        lambda j: F.coalesce(F.element_at("blocks", j + 1) != F.col("label"), F.lit(True)),
+    )
+    placed = placed.withColumn("other", F.explode(F.when(size > 1, met).otherwise(F.array(F.lit(0)))))
+    return placed.select("column", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "at", "label")
 
 
 def _least_overlap(n: str, m: str):
@@ -356,19 +390,15 @@ def _may_link(n: str, m: str, at: str, m_at: str):
 def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of rows of different components whose overlap may reach the bound.
 
-    Only columns that hold several components take part, and a product is made only where sizes,
-    places and the bits that one set has alone leave room for a link. Overlaps accumulate over columns;
-    a pair is discarded when those in the prefixes and all that may follow the last of them
-    are fewer than the sizes ask for.
+    Only columns that hold several components take part. Each pair of a column's blocks is one
+    product, made in a task; only pairs for which sizes, places and the bits that one set has alone
+    leave room for a link become rows. Overlaps accumulate over columns; a pair is discarded when
+    those in the prefixes and all that may follow the last of them are fewer than the sizes ask for.
     """
-    marked = _mixed(postings, labels).join(nodes.select("node", "folded"), "node")
-    other = marked.select("column", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label", "folded")])
-    met = marked.join(other, "column").where(
-        (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label"))
-        & _may_link("n", "o_n", "at", "o_at")
-        & _room_in_bits("n", "folded", "o_n", "o_folded")
-    )
-    sums = met.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
+    dealt = _dealt(_mixed(postings, labels)).join(nodes.select("node", "folded"), "node")
+    dealt = dealt.select(*PRODUCT).repartition("column", "lo", "hi").sortWithinPartitions("column", "lo", "hi", "n")
+    met = dealt.mapInArrow(_products, "a bigint, b bigint, n int, o_n int, at int, o_at int")
+    sums = met.groupBy("a", "b").agg(
         F.count("*").alias("overlap"),
         F.max(F.struct("at", "o_at")).alias("last"),
         F.max("n").alias("n"),
@@ -378,6 +408,62 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
     return sums.where(F.col("overlap") + rest >= _least_overlap("n", "o_n")).select("a", "b")
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each (column, lo, hi) that may link; rows come sorted by these and by size.
+
+    The last product of a batch waits for the next batch: some BLOCK rows of either block.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        keys = [table.column(c).to_numpy() for c in ("column", "lo", "hi")]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        to = int(new[-1]) if len(new) else 0
+        rest = table.slice(to).to_batches()[0]
+        if to:
+            yield from _met(table.slice(0, to))
+    if rest is not None:
+        yield from _met(pa.Table.from_batches([rest]))
+
+
+def _met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each row meets the one after it, then the second after it, and so on within its product,
+    until the sizes are too far apart to link."""
+    column, lo, hi, own, node, n, at, label = (table.column(c).to_numpy() for c in PRODUCT[:-1])
+    folded = table.column("folded").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, FOLDED)
+    size, place = n.astype(np.int64), at.astype(np.int64)
+    edge = np.flatnonzero((column[1:] != column[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+    starts, ends = np.append(0, edge), np.append(edge, len(column))
+    end = np.repeat(ends, ends - starts)
+    # a product of a block with itself takes all its pairs, one of two blocks those across
+    within = lo == hi
+    x, step, found, waiting = np.arange(len(column)), 0, [], 0
+    while len(x):
+        step += 1
+        x = x[x + step < end[x]]
+        x = x[100 * size[x] >= PERCENT * size[x + step]]
+        y = x + step
+        fits = (label[x] != label[y]) & (within[x] | (own[x] != own[y])) & (node[x] != node[y])
+        p, q = x[fits], y[fits]
+        least = -(-PERCENT * (size[p] + size[q]) // (100 + PERCENT))
+        room = np.minimum(place[p], place[q]) + np.minimum(size[p] - place[p], size[q] - place[q])
+        p, q, least = (v[room >= least] for v in (p, q, least))
+        only_p = np.bitwise_count(folded[p] & ~folded[q]).sum(axis=1, dtype=np.int64)
+        only_q = np.bitwise_count(folded[q] & ~folded[p]).sum(axis=1, dtype=np.int64)
+        good = (size[p] - only_p >= least) & (size[q] - only_q >= least)
+        if good.any():
+            found.append((p[good], q[good]))
+            waiting += len(found[-1][0])
+        if found and (waiting >= FOUND or not len(x)):
+            p, q = (np.concatenate(v) for v in zip(*found, strict=True))
+            found, waiting = [], 0
+            flip = node[p] > node[q]
+            p, q = np.where(flip, q, p), np.where(flip, p, q)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[p], node[q], n[p], n[q], at[p], at[q])], ["a", "b", "n", "o_n", "at", "o_at"])
+
+
 class _Sets:
     """Verifies pairs of nodes by their whole sets.
 

@@ -67,9 +67,10 @@ def edited(text: str, seed: int, n: int) -> str:
     return " ".join(words)
 
 
-@pytest.mark.parametrize("salt_rows", [10_000, 20])
-def test_jaccard_components(spark, monkeypatch, salt_rows):
+@pytest.mark.parametrize("salt_rows, block", [(10_000, 4096), (20, 4)])
+def test_jaccard_components(spark, monkeypatch, salt_rows, block):
     monkeypatch.setattr(ngrams, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(ngrams, "BLOCK", block)
     base, shared = prose(3, 120), prose(4, 60)
     texts = dict(enumerate(odd_texts()))
     # a group of near copies of several grades, and texts that share a long passage only
@@ -82,6 +83,37 @@ def test_jaccard_components(spark, monkeypatch, salt_rows):
     assert kept == {i for i, (_, c) in found.items() if i == c}
 
 
+def test_products_of_blocks(spark, monkeypatch):
+    """Columns of one to many blocks, components of many rows among them, against all pairs."""
+    monkeypatch.setattr(ngrams, "BLOCK", 8)
+    rng = random.Random(5)
+    size, bits = {}, {}
+    for node in range(300):
+        size[node], bits[node] = rng.randrange(20, 60), [1 << rng.randrange(62) if rng.random() < 0.7 else 0 for _ in range(8)]
+    label = {node: 0 if node < 60 else node if node < 200 else node - node % 3 for node in range(300)}
+    rows = [(c, 0, node, size[node], rng.randrange(size[node] // 4 + 1)) for c in range(12) for node in rng.sample(range(300), (c + 1) * 20 if c < 10 else 3)]
+    postings = spark.createDataFrame(rows, "column bigint, salt int, node bigint, n int, at int")
+    labels = spark.createDataFrame([*label.items()], "node bigint, label bigint")
+    nodes = spark.createDataFrame([(node, bits[node]) for node in size], "node bigint, folded array<bigint>")
+    dealt = ngrams._dealt(ngrams._mixed(postings, labels))
+    assert dealt.groupBy("column", "lo", "hi").count().agg({"count": "max"}).first()[0] < 60
+    assert dealt.where("column = 9").select("lo", "hi").distinct().count() > 20
+    wanted = {}
+    for c, _, a, n, at in rows:
+        for d, _, b, m, o in rows:
+            least = -(-75 * (n + m) // 175)
+            alone = [sum((x & ~y).bit_count() for x, y in zip(bits[p], bits[q])) for p, q in ((a, b), (b, a))]
+            if c == d and a < b and label[a] != label[b] and min(at, o) + min(n - at, m - o) >= least and 100 * min(n, m) >= 75 * max(n, m):
+                if n - alone[0] >= least and m - alone[1] >= least:
+                    wanted.setdefault((a, b), []).append((at, o))
+    wanted = {
+        (a, b) for (a, b), met in wanted.items()
+        if len(met) + min(size[a] - max(met)[0], size[b] - max(met)[1]) - 1 >= -(-75 * (size[a] + size[b]) // 175)
+    }
+    found = [(r.a, r.b) for r in ngrams._cross_pairs(postings, labels, nodes).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 100
+
+
 def test_jaccard_of_nulls_and_nothing(spark, docs):
     assert ngrams.jaccard_components(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string")
