@@ -504,7 +504,8 @@ def score(docs: DataFrame) -> DataFrame:
     key, n = top.column("key").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(key)
     head = spark.sparkContext.broadcast((key[order], np.log10(n[order] + 1.0)))
-    numbered = docs.withColumn("row_no", F.monotonically_increasing_id())
+    # several jobs read the rows and are joined by their numbers, so these are fixed first
+    numbered = written(docs.withColumn("row_no", F.monotonically_increasing_id()), "lm-rows")
     model = train(numbered, counts)
     code, log_p = spark.sparkContext.broadcast(model.code), spark.sparkContext.broadcast(model.log_p)
 
