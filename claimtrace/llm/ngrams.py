@@ -95,25 +95,33 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id.
 
     Texts without words stay, as do rows with a null id. Rows that repeat an id are judged apart,
-    by their sets; of those that repeat id and set one stays.
+    by their sets; of those that repeat id and set one stays. All columns stay, whatever their names.
     """
     rows, named = _named(docs, width)
     ids = rows.where("doc_id is not null").select("doc_id", "node", "n_shingles").distinct()
     chosen = ids.where("n_shingles > 0").join(named, "node").where("doc_id = component_id").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("k"))
     kept = chosen.select("k.doc_id", "k.node").union(ids.where("n_shingles = 0").select("doc_id", "node"))
-    kept = kept.select(F.col("doc_id").alias("__kept"), F.col("node").alias("__node"))
+    kept_id, kept_node = _free("__kept", docs.columns), _free("__node", docs.columns)
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("node").alias(kept_node))
     # a row meets each kept set of its id; only its own one counts
-    met = docs.join(kept, docs["doc_id"] == F.col("__kept")).drop("__kept")
+    met = docs.join(kept, docs["doc_id"] == F.col(kept_id)).drop(kept_id)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
-            yield part.rows.filter(pa.array(found == part.rows.column("__node").to_numpy()))
+            yield part.rows.filter(pa.array(found == part.rows.column(kept_node).to_numpy()))
 
-    one = met.mapInArrow(own, met.schema).dropDuplicates(["doc_id", "__node"]).drop("__node")
+    one = met.mapInArrow(own, met.schema).dropDuplicates(["doc_id", kept_node]).drop(kept_node)
     return one.union(docs.where("doc_id is null"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column is called so in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 # --- shingle sets --------------------------------------------------------------------------
 
 

@@ -126,7 +126,9 @@ def test_rows_of_one_id_are_judged_apart(spark):
     clean = {100 + i: [prose(800 + i, 80), prose(900 + i, 80)] for i in range(10)}
     rows = [*first.items()] + [(i, first[i - 100] + " more") for i in clean] + [(i, t) for i, texts in clean.items() for t in texts]
     rows += [(100, ""), (100, clean[100][0])]
-    kept = ngrams.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    frame = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id bigint, text string, __node int, __KEPT int")
+    kept = ngrams.keep_one(frame).collect()
+    assert {(r["__node"], r["__KEPT"]) for r in kept} == {(7, 8)}
     wanted = [*first.items()] + [(i, t) for i, texts in clean.items() for t in texts] + [(100, "")]
     assert sorted((r.doc_id, r.text) for r in kept) == sorted(wanted)
 
