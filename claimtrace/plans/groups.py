@@ -141,6 +141,9 @@ def salted_join(
     Rows of a hot key are dealt out over several salts and the matching right rows are
     repeated once per salt; other keys have the single salt 0. ``condition`` may refer
     to columns of both sides.
+
+    ``right`` is never broadcast: Spark does not see how many rows an explode or a join below it
+    makes, and adaptive execution keeps a broadcast that saves a shuffle, however large it turns out.
     """
     hot = hot_keys(left if sizes_from is None else sizes_from, on)
     if hot is not None:
@@ -150,7 +153,7 @@ def salted_join(
         match = [left[c] == renamed[f"__r_{c}"] for c in on]
         if condition is not None:
             match.append(condition)
-        return left.join(renamed, match, how).drop(*[f"__r_{c}" for c in on])
+        return left.join(renamed.hint("merge"), match, how).drop(*[f"__r_{c}" for c in on])
     dealt = join_bounded(left, hot, on, "left").withColumn(
         "__salt",
         F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__salts")).cast("int"), F.lit(0)),
@@ -163,7 +166,7 @@ def salted_join(
     match.append(dealt["__salt"] == repeated["__r_salt"])
     if condition is not None:
         match.append(condition)
-    return dealt.join(repeated, match, how).drop(
+    return dealt.join(repeated.hint("merge"), match, how).drop(
         "__salt", "__salts", "__r_salt", *[f"__r_{k}" for k in on]
     )
 

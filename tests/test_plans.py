@@ -68,3 +68,8 @@ def test_one_shuffle_of_lines_for_the_robust_zscore(plans):
 def test_one_shuffle_of_events_for_cases(plans):
     assert plans["build_cases"].count("Exchange hashpartitioning") == 1
     assert plans["case_summary"].count("Exchange hashpartitioning") == 1
+
+
+def test_rates_are_not_broadcast(plans):
+    """A row per part and year, six times what Spark takes them for; integrity_flow prices its lines by the same step."""
+    assert "SortMergeJoin" in plans["rate_variance"] and "Broadcast" not in plans["rate_variance"]
