@@ -3,6 +3,7 @@
 Documents have doc_id, text and metadata columns; queries have query_id and text.
 """
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -17,6 +18,11 @@ K1 = 1.2
 B = 0.75
 FUSION = 60
 
+#: characters of text in one partition of documents, about; postings and scores of a partition are one task's
+PART_CHARS = 16_000_000
+#: query terms that are broadcast, at most
+BROADCAST_TERMS = 200_000
+
 
 class Index(NamedTuple):
     """Postings (doc_id, term, length, tf), lengths (doc_id, length) and terms (term, df)."""
@@ -31,9 +37,12 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
     This is the only shuffle of text. Postings, document lengths and scores of a
     document are all computed in the partition it lands in, so a term that is in
-    every document does not make a large group anywhere.
+    every document does not make a large group anywhere. There are as many partitions as
+    the text takes, so that a task's share does not grow with the table.
     """
-    return docs.select("doc_id", tokens("text").alias("tokens")).repartition("doc_id")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PART_CHARS))
+    return docs.select("doc_id", tokens("text").alias("tokens")).repartition(parts, "doc_id")
 
 
 def build_postings(docs: DataFrame) -> Index:
@@ -78,20 +87,23 @@ def bm25_topk(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
     Every document that shares a term with the query is scored. Scores are added up
     and cut to ``k`` per query inside each document partition, so what is shuffled is at
-    most ``k`` rows per query and partition. A batch of queries too large for Spark to
-    broadcast is joined by term instead, where adaptive execution splits common terms.
+    most ``k`` rows per query and partition. A batch of queries with more than BROADCAST_TERMS
+    terms is joined by term instead, where adaptive execution splits common terms.
     """
     wanted = _query_terms(queries)
+    near = _nearby(wanted)
+    sought = near(wanted.select("term").distinct())
     # stored with a saved index; else counted for these terms alone, as the join moves below the count
-    df = index.terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = index.terms.join(sought, "term", "left_semi")
     # documents without tokens do not count
     n = index.lengths.agg(F.count_if(F.col("length") > 0).alias("n")).scalar()
     mean = index.lengths.agg(F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    weights = near(df.join(near(wanted), "term").select("query_id", "term", idf.alias("idf")))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scores = (
-        index.postings.join(weights, "term")
+        index.postings.join(sought, "term", "left_semi")
+        .join(weights, "term")
         .groupBy("doc_id", "query_id")
         .agg(F.round(F.sum(F.col("idf") * saturated), 4).alias("score"))
     )
@@ -177,11 +189,11 @@ def bitmap_search(
 def build_positions(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Positional postings: doc_id, term and the positions of the term in the document, ascending from 0.
 
-    Token arrays do not move: what is shuffled is a row per document and term, collected on
-    the map side. With ``terms`` (a column term, one row each) only those are posted. Rows of one doc_id
+    Text is shuffled once, by document, and posted where it lands: a row per document and term is
+    several times larger. With ``terms`` (a column term, one row each) only those are posted. Rows of one doc_id
     should be one row.
     """
-    words = docs.select("doc_id", F.posexplode_outer(tokens("text")).alias("__at", "term")).where(F.col("term").isNotNull())
+    words = tokenised(docs).select("doc_id", F.posexplode_outer("tokens").alias("__at", "term")).where(F.col("term").isNotNull())
     if terms is not None:
         words = words.join(terms.select("term"), "term", "left_semi")
     return words.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("__at")).alias("positions"))
@@ -190,9 +202,19 @@ def build_positions(docs: DataFrame, terms: DataFrame | None = None) -> DataFram
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Documents that contain a phrase as consecutive tokens, and the token it first starts at.
 
-    ``phrases`` has query_id and text. Positions count from 0. Only terms of phrases are posted.
+    ``phrases`` has query_id and text. Positions count from 0. The rarest term of a phrase proposes
+    documents; whether and where these have the phrase is seen in their tokens, in the partition they are in.
     """
-    return phrase_hits(build_positions(docs, _phrase_terms(phrases).select("term").distinct()), phrases)
+    words, sought = tokenised(docs), _phrase_terms(phrases)
+    near = _nearby(sought)
+    terms = _exploded(words, F.array_distinct("tokens"))
+    df = _document_frequency(terms.join(near(sought.select("term").distinct()), "term", "left_semi"))
+    whole = near(phrases.select("query_id", tokens("text").alias("__phrase")))
+    rarest = near(_rarest(sought, df).select("query_id", "term"))
+    candidates = terms.join(rarest, "term").select("doc_id", "query_id").distinct()
+    start = F.filter(F.sequence(F.lit(0), F.size("tokens") - F.size("__phrase")), _begins)
+    found = words.join(candidates, "doc_id").join(whole, "query_id").where(F.size("tokens") >= F.size("__phrase"))
+    return found.select("query_id", "doc_id", F.array_min(start).alias("position")).where(F.col("position").isNotNull())
 
 
 def phrase_hits(positions: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -203,16 +225,7 @@ def phrase_hits(positions: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     sought = _phrase_terms(phrases)
     df = _document_frequency(positions.join(sought.select("term").distinct(), "term", "left_semi"))
-    # a term without postings is the rarest of all, and its phrase is nowhere
-    rarest = (
-        sought.join(df, "term", "left")
-        .groupBy("query_id")
-        .agg(
-            F.min_by(F.struct("term", "__at"), F.struct(F.coalesce("df", F.lit(0)), "term", "__at")).alias("__first"),
-            F.count(F.lit(1)).alias("__n"),
-        )
-        .select("query_id", "__first.*", "__n")
-    )
+    rarest = _rarest(sought, df)
     candidates = (
         positions.join(rarest, "term")
         .select("query_id", "doc_id", "__n", F.col("__at").alias("__anchor"), _starts().alias("__starts"))
@@ -235,6 +248,25 @@ def _starts() -> Column:
     return F.filter(F.transform("positions", lambda p: p - F.col("__at")), lambda p: p >= 0)
 
 
+def _begins(at: Column) -> Column:
+    """Whether the phrase is in the tokens from ``at`` on; its first word is looked at alone first."""
+    return (F.get("tokens", at) == F.get("__phrase", F.lit(0))) & (F.slice("tokens", at + 1, F.size("__phrase")) == F.col("__phrase"))
+
+
+def _rarest(sought: DataFrame, df: DataFrame) -> DataFrame:
+    """query_id, the rarest term of the phrase, its place and the number of words."""
+    # a term without postings is the rarest of all, and its phrase is nowhere
+    return (
+        sought.join(df, "term", "left")
+        .groupBy("query_id")
+        .agg(
+            F.min_by(F.struct("term", "__at"), F.struct(F.coalesce("df", F.lit(0)), "term", "__at")).alias("__first"),
+            F.count(F.lit(1)).alias("__n"),
+        )
+        .select("query_id", "__first.*", "__n")
+    )
+
+
 def _phrase_terms(phrases: DataFrame) -> DataFrame:
     """query_id, place in the phrase (``__at``) and term."""
     return phrases.select("query_id", F.posexplode_outer(tokens("text")).alias("__at", "term")).where(F.col("term").isNotNull())
@@ -287,10 +319,10 @@ def search_snippets(hits: DataFrame, docs: DataFrame, queries: DataFrame, width:
     ``position`` and ``snippet`` are null for a hit without a query term.
     """
     asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("__terms"))
-    # joined before it is tokenised: only texts that were hit are
+    # joined before it is tokenised: only texts that were hit are; documents first, as few hits are broadcast to them
     found = (
-        hits.join(asked, "query_id")
-        .join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id")
+        hits.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id")
+        .join(asked, "query_id")
         .withColumn("__tokens", tokens("__text"))
     )
     # the intersection keeps the order of the text
@@ -359,6 +391,12 @@ def _document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _nearby(wanted: DataFrame):
+    """Broadcasts what has at most a row per row of ``wanted``, if that is bounded; one small job on the queries."""
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return F.broadcast if few else lambda rows: rows
+
+
 def _query_terms(queries: DataFrame) -> DataFrame:
     return _exploded(queries.select("query_id", tokens("text").alias("tokens")), F.array_distinct("tokens"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimtrace.operators import ivf, search, segments, vectors
-from claimtrace.sources import document_vectors, documents, scratch_path, search_queries
+from claimtrace.sources import document_vectors, documents, scratch_path, search_queries, written
 
 TOP = 10
 
@@ -13,6 +13,11 @@ def _bm25(spark, path):
     return search.bm25_topk(index, search_queries(spark, path), TOP)
 
 
+def _hits(spark, path):
+    """Written, so that Spark sees how few they are and brings them to the documents, not the texts to them."""
+    return written(_bm25(spark, path), "bm25-hits")
+
+
 def build_postings(spark, path):
     return search.build_postings(documents(spark, path)).postings
 
@@ -76,22 +81,22 @@ def hybrid_topk(spark, path):
     """A passage and the vector of the same number form one query."""
     rows = document_vectors(spark, path)
     asked = rows.join(search_queries(spark, path).select(F.col("query_id").alias("id")), "id", "left_semi")
-    return search.hybrid_topk(_bm25(spark, path), vectors.vector_topk(rows, asked, TOP), TOP)
+    return search.hybrid_topk(_hits(spark, path), vectors.vector_topk(rows, asked, TOP), TOP)
 
 
 def search_snippets(spark, path):
     hits = search.search_snippets(
-        _bm25(spark, path), documents(spark, path), search_queries(spark, path), 8
+        _hits(spark, path), documents(spark, path), search_queries(spark, path), 8
     )
     return hits.select("query_id", "doc_id", "rank", "position", "snippet")
 
 
 def collapse_duplicates(spark, path):
-    return search.collapse_duplicates(_bm25(spark, path), documents(spark, path))
+    return search.collapse_duplicates(_hits(spark, path), documents(spark, path))
 
 
 def search_facets(spark, path):
-    return search.search_facets(_bm25(spark, path), documents(spark, path), ["lang", "source"])
+    return search.search_facets(_hits(spark, path), documents(spark, path), ["lang", "source"])
 
 
 def retrieval_eval(spark, path):
@@ -99,13 +104,13 @@ def retrieval_eval(spark, path):
     docs, queries = documents(spark, path), search_queries(spark, path)
     passages = queries.select("query_id", F.col("text").alias("passage"))
     truth = (
-        search.phrase_search(docs, queries)
+        written(search.phrase_search(docs, queries), "passages-found")
         .join(docs.select("doc_id", "text"), "doc_id")
         .join(passages, "query_id")
         .where(F.contains("text", "passage"))
         .select("query_id", "doc_id")
     )
-    return search.retrieval_eval(_bm25(spark, path), truth, TOP)
+    return search.retrieval_eval(_hits(spark, path), truth, TOP)
 
 
 def update_postings(spark, path):

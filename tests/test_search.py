@@ -183,3 +183,30 @@ def test_one_bucket_with_most_vectors(spark):
     found = vectors.vector_topk_lsh(rows, rows, 3, tables=2, bits=3, cell_rows=10)
     assert found.count() == 300
     assert {r.score for r in found.collect()} == {1.0}
+
+
+def test_scores_do_not_move_postings(spark):
+    """Text is shuffled by document; postings of all documents were shuffled once more, by term, to meet the weights."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "beta alpha")], "query_id bigint, text string")
+    ranked = search.bm25_topk(search.build_postings(docs), queries, 2)
+    assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert [r.doc_id for r in ranked.orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_searches_with_and_without_broadcast(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(search, "BROADCAST_TERMS", broadcast)
+    docs = spark.createDataFrame([(1, "b a b c a b"), (2, "a c"), (3, None), (4, "a b c"), (5, "")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "a b"), (2, "A, c"), (3, "zz a"), (4, ""), (5, "b a b c a b d")], "query_id bigint, text string")
+    found = {tuple(r) for r in search.phrase_search(docs, queries).select("query_id", "doc_id", "position").collect()}
+    assert found == {(1, 1, 1), (1, 4, 0), (2, 2, 0)}
+    top = search.bm25_topk(search.build_postings(docs), queries, 1)
+    assert {(r.query_id, r.doc_id) for r in top.collect()} == {(1, 1), (2, 2), (3, 2), (5, 1)}
+
+
+def test_partitions_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(search, "PART_CHARS", 100)
+    docs = spark.range(50).selectExpr("id AS doc_id", "repeat('alpha beta ', 10) AS text")
+    assert search.tokenised(docs).rdd.getNumPartitions() == 55
+    assert search.build_postings(docs).postings.count() == 100
