@@ -148,19 +148,18 @@ class CaseState(StatefulProcessor):
         self._state = handle.getValueState("latest", _PARTIAL)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._keep(_collapsed(_of_case(key, initialState)).iloc[0])
+        self._keep(_folded(key, None, initialState))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        if self._state.exists():
-            latest = pd.DataFrame([self._state.get()], columns=_columns(_PARTIAL))
+        # a tuple of _PARTIAL, or None for a new case, which has no timer either
+        latest = known = self._state.get()
         for block in rows:
-            seen = block if latest is None else pd.concat([latest, block[latest.columns]], ignore_index=True)
-            latest = _collapsed(_of_case(key, seen))
-        row = latest.iloc[0]
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._keep(row)
+            latest = _folded(key, latest, block)
+        if known is not None:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+        self._keep(latest)
+        row = dict(zip(_columns(_PARTIAL), latest, strict=True))
         yield self._logged(row, row["ts"], False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -176,9 +175,9 @@ class CaseState(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _keep(self, row) -> None:
-        self._state.update(tuple(None if pd.isna(row[c]) else row[c] for c in _columns(_PARTIAL)))
-        self._handle.registerTimer(_millis(row["ts"]) + self._stale_ms)
+    def _keep(self, row: tuple) -> None:
+        self._state.update(row)
+        self._handle.registerTimer(_millis(row[1]) + self._stale_ms)
 
     def _logged(self, row, at, stale: bool) -> pd.DataFrame:
         return pd.DataFrame(
@@ -194,9 +193,19 @@ class CaseState(StatefulProcessor):
         )
 
 
-def _of_case(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one case under one form of its id; the null id has two, from state and from input."""
-    return rows[_columns(_PARTIAL)].assign(case_id=float("nan") if key[0] is None else key[0])
+def _folded(key, latest: tuple | None, rows: pd.DataFrame) -> tuple:
+    """``_collapsed`` of one case, as a tuple of _PARTIAL, without frames: there is a call per case, mostly on a row or two.
+
+    ``latest`` is what was known before. The id is the key's, as the null id has two forms, from state and from input.
+    """
+    known = [] if latest is None else [latest[1:]]
+    given = zip(*[[None if pd.isna(v) else v for v in rows[c].tolist()] for c in _columns(_PARTIAL)[1:]], strict=True)
+    parts = [*known, *given]
+    # of equal times and ids the last one; nulls come after all others
+    place = lambda p: tuple((v is None, 0 if v is None else v) for v in (None if p[0] is None else pd.Timestamp(p[0]), p[1]))
+    ts, event_id, state, _, _ = parts[0] if len(parts) == 1 else max(reversed(parts), key=place)
+    n_events, cents = (sum(int(p[i]) for p in parts if p[i] is not None) for i in (3, 4))
+    return None if pd.isna(key[0]) else key[0], ts, None if event_id is None else int(event_id), state, n_events, cents
 
 
 def _columns(schema: str) -> list[str]:
