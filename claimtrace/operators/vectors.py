@@ -17,6 +17,10 @@ from claimtrace.plans import top_k
 
 HITS = "query_id bigint, doc_id bigint, score double"
 BLOCK_BYTES = 64 * 1024 * 1024
+#: vectors that a block of queries is compared with at once
+TILE_ROWS = 4096
+#: scores this much below the k-th best may still equal it when rounded
+ROUNDED = 1.01e-4
 
 
 def vector_topk(
@@ -175,21 +179,33 @@ def _merged(a, b):
 
 
 def _hits(asked, among, k: int, rows_at_once: int = 256):
-    """The ``k`` best of ``among`` for each of ``asked``, as (query ids, doc ids, scores)."""
+    """The ``k`` best of ``among`` for each of ``asked``, as (query ids, doc ids, scores).
+
+    Scores are made in tiles of ``rows_at_once`` queries and TILE_ROWS vectors, so what is held does not grow
+    with either side. A tile gives up only scores that may be among the best so far; those alone are rounded.
+    """
     (query_ids, wanted), (ids, matrix) = asked, among
-    found = _no_hits()
-    if not len(ids) or not len(query_ids):
-        return found
-    for start in range(0, len(query_ids), rows_at_once):
-        part = query_ids[start : start + rows_at_once]
-        scores = np.round(wanted[start : start + rows_at_once] @ matrix.T, 4)
-        scores[part[:, None] == ids[None, :]] = -np.inf
-        # everything at or above the k-th score stays, ties included
-        kth = min(k, scores.shape[1])
-        limit = -np.partition(-scores, kth - 1, axis=1)[:, kth - 1]
-        q, d = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
-        found = _merged(found, (part[q], ids[d], scores[q, d]))
-    return _best(found, k)
+    found = []
+    for start in range(0, len(query_ids) if len(ids) else 0, rows_at_once):
+        part, rows = query_ids[start : start + rows_at_once], wanted[start : start + rows_at_once]
+        # hits are known by the row of the query until the end, as ids may repeat
+        best, least = _no_hits(), np.full(len(part), -np.inf)
+        for at in range(0, len(ids), TILE_ROWS):
+            near = ids[at : at + TILE_ROWS]
+            scores = rows @ matrix[at : at + TILE_ROWS].T
+            if at == 0 and k < len(near):
+                scores[part[:, None] == near[None, :]] = -np.inf
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - ROUNDED
+            q, d = np.nonzero(scores >= least[:, None])
+            kept = (part[q] != near[d]) & np.isfinite(scores[q, d])
+            q, d = q[kept], d[kept]
+            best = _best(_merged(best, (q, near[d], np.round(scores[q, d], 4))), k)
+            n = np.bincount(best[0], minlength=len(part))
+            full = n >= k
+            # the worst of k hits, which ties may still replace
+            least[full] = best[2][(np.cumsum(n) - 1)[full]] - ROUNDED
+        found.append((part[best[0]], best[1], best[2]))
+    return _best(tuple(np.concatenate(c) for c in zip(*found, strict=True)), k) if found else _no_hits()
 
 
 def _best(found, k: int):

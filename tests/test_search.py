@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +212,27 @@ def test_partitions_grow_with_the_text(spark, monkeypatch):
     docs = spark.range(50).selectExpr("id AS doc_id", "repeat('alpha beta ', 10) AS text")
     assert search.tokenised(docs).rdd.getNumPartitions() == 55
     assert search.build_postings(docs).postings.count() == 100
+
+
+def test_hits_hold_one_tile_of_scores_at_a_time(monkeypatch):
+    """Same hits whatever the tiles, and memory that does not grow with the vectors."""
+    rng = np.random.default_rng(5)
+    ids, matrix = np.arange(60_000) % 50_000, np.round(rng.standard_normal((60_000, 8)), 1)
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    asked = (ids[:256], matrix[:256])
+    tracemalloc.start()
+    found = vectors._hits(asked, (ids, matrix), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    scores = np.round(asked[1] @ matrix.T, 4)
+    for query in range(256):
+        mine = found[0] == query
+        order = np.lexsort((ids, -scores[query]))
+        first = order[ids[order] != query][:5]
+        assert found[1][mine].tolist() == ids[first].tolist()
+        assert np.array_equal(found[2][mine], scores[query][first])
+    monkeypatch.setattr(vectors, "TILE_ROWS", 3)
+    small = vectors._hits((ids[:9], matrix[:9]), (ids[:40], matrix[:40]), 5)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 4096)
+    assert all(np.array_equal(a, b) for a, b in zip(small, vectors._hits((ids[:9], matrix[:9]), (ids[:40], matrix[:40]), 5), strict=True))
