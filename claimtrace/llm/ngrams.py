@@ -14,7 +14,9 @@ overlap can reach what the sizes ask for.
    takes about STAR_COLUMNS columns of a row, as copies share most; step 4 takes all.
 4. Products of rows that are in different components after that are accumulated over all
    columns; pairs whose overlap so far and whose rest cannot reach the bound are discarded, the
-   others are verified. No link between different components is missed.
+   others are verified. No link between different components is missed. Columns that begin with
+   the same node are multiplied in one task, which adds up a pair's overlaps: a pair shares many
+   columns, but few first nodes.
 """
 
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from claimtrace.llm.graph import components
-from claimtrace.llm.text import NOT_SPACE, Words, mix, shingles, slices
+from claimtrace.llm.text import NOT_SPACE, SMALL_BYTES, Words, mix, shingles, slices
 from claimtrace.sources import written
 
 WIDTH = 5
@@ -41,7 +43,9 @@ MORE = 0.05
 WANTED_BITS = 24
 BLOCK = 4096
 FOUND = 1 << 16
+HOME_WORK = 1 << 26
 PRODUCT = ["column", "lo", "hi", "own", "node", "n", "at", "label", "folded"]
+PAIR = ["a", "b", "n", "o_n", "at", "o_at", "overlap"]
 
 
 def need(size):
@@ -107,7 +111,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     met = docs.join(kept, docs["doc_id"] == F.col(kept_id)).drop(kept_id)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             found = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
             yield part.rows.filter(pa.array(found == part.rows.column(kept_node).to_numpy()))
 
@@ -159,7 +163,7 @@ def _folded(values: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             found = [(_node(s), len(s), _bitmap(s), _folded(s)) for s in _sets(part, width)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -186,7 +190,7 @@ def _frequent(docs: DataFrame, width: int):
 
     def run(batches):
         pending, size = [], 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             for values in _sets(part, width):
                 pending.append(values)
                 size += len(values)
@@ -204,11 +208,14 @@ def _frequent(docs: DataFrame, width: int):
 
 
 def _repeated(pending: list[np.ndarray]) -> pa.RecordBatch:
-    values = np.sort(np.concatenate(pending))
-    edge = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
-    n = np.diff(np.append(edge, len(values)))
-    twice = n > 1
-    return pa.RecordBatch.from_arrays([pa.array(values[edge][twice].view(np.int64)), pa.array(n[twice])], ["shingle", "n"])
+    values = np.concatenate(pending)
+    values.sort()
+    same = values[1:] == values[:-1]
+    first, last = same.copy(), same.copy()
+    first[1:] &= ~same[:-1]
+    last[:-1] &= ~same[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return pa.RecordBatch.from_arrays([pa.array(values[start].view(np.int64)), pa.array(end - start + 1)], ["shingle", "n"])
 
 
 def _prefix(values: np.ndarray, frequent) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +242,7 @@ def _postings(docs: DataFrame, width: int, frequent) -> DataFrame:
     def run(batches):
         table = frequent.value
         seen: set[int] = set()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             columns = []
             for values in _sets(part, width):
                 if not len(values):
@@ -351,18 +358,30 @@ def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``blocks`` names the blocks into which the column's rows are cut, about BLOCK rows each. A
     component with more rows than that has blocks of its own, for which its label stands in the
-    array; a null is a block of several components.
+    array; a null is a block of several components. ``home`` is the least node of the column,
+    ``part`` one of several parts of a home whose columns hold more than HOME_WORK pairs.
     """
     marked = _labelled(postings.drop("salt"), labels)
-    each = marked.groupBy("column", "label").agg(F.count("*").alias("m"))
+    each = marked.groupBy("column", "label").agg(F.count("*").alias("m"), F.min("node").alias("least"))
     own = F.when(F.col("m") > BLOCK, F.array_repeat("label", F.ceil(F.col("m") / BLOCK).cast("int")))
     columns = (
         each.groupBy("column")
-        .agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("rest"), F.flatten(F.collect_list(own)).alias("own"))
+        .agg(
+            F.count("*").alias("labels"),
+            F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("rest"),
+            F.flatten(F.collect_list(own)).alias("own"),
+            F.min("least").alias("home"),
+            # two blocks at most are one product
+            F.pow(F.least(F.sum("m"), F.lit(2 * BLOCK)), F.lit(2)).alias("work"),
+        )
         .where("labels > 1")
     )
     shared = F.array_repeat(F.lit(None).cast("bigint"), F.ceil(F.col("rest") / BLOCK).cast("int"))
-    return written(marked.join(columns.select("column", F.concat(shared, "own").alias("blocks")), "column"), "ngram-mixed")
+    columns = written(columns.select("column", "home", "work", F.concat(shared, "own").alias("blocks")), "ngram-columns")
+    parts = columns.groupBy("home").agg(F.ceil(F.sum("work") / HOME_WORK).alias("parts"))
+    part = F.pmod(F.xxhash64("column"), "parts").cast("int").alias("part")
+    columns = columns.join(parts, "home").select("column", "home", part, "blocks")
+    return written(marked.join(columns, "column"), "ngram-mixed")
 
 
 def _dealt(mixed: DataFrame) -> DataFrame:
@@ -381,7 +400,8 @@ def _dealt(mixed: DataFrame) -> DataFrame:
         lambda j: F.coalesce(F.element_at("blocks", j + 1) != F.col("label"), F.lit(True)),
     )
     placed = placed.withColumn("other", F.explode(F.when(size > 1, met).otherwise(F.array(F.lit(0)))))
-    return placed.select("column", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "at", "label")
+    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    return placed.select("home", "part", "column", lo, hi, "own", "node", "n", "at", "label")
 
 
 def _least_overlap(n: str, m: str):
@@ -404,10 +424,10 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
     those in the prefixes and all that may follow the last of them are fewer than the sizes ask for.
     """
     dealt = _dealt(_mixed(postings, labels)).join(nodes.select("node", "folded"), "node")
-    dealt = dealt.select(*PRODUCT).repartition("column", "lo", "hi").sortWithinPartitions("column", "lo", "hi", "n")
-    met = dealt.mapInArrow(_products, "a bigint, b bigint, n int, o_n int, at int, o_at int")
+    dealt = dealt.repartition("home", "part", "lo", "hi").sortWithinPartitions("home", "column", "lo", "hi", "n")
+    met = dealt.select(*PRODUCT).mapInArrow(_summed, "a bigint, b bigint, n int, o_n int, at int, o_at int, overlap bigint")
     sums = met.groupBy("a", "b").agg(
-        F.count("*").alias("overlap"),
+        F.sum("overlap").alias("overlap"),
         F.max(F.struct("at", "o_at")).alias("last"),
         F.max("n").alias("n"),
         F.max("o_n").alias("o_n"),
@@ -416,8 +436,37 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, nodes: DataFrame) -> Da
     return sums.where(F.col("overlap") + rest >= _least_overlap("n", "o_n")).select("a", "b")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of the products with the columns of a task that they share: their number and the last places.
+
+    At most some FOUND pairs wait for more of their columns, which come together as columns are sorted by home.
+    """
+    waiting = None
+    for batch in _products(batches):
+        found = [batch.column(c).to_numpy() for c in PAIR[:-1]] + [np.ones(batch.num_rows, dtype=np.int64)]
+        waiting = found if waiting is None else [np.concatenate(c) for c in zip(waiting, found, strict=True)]
+        if len(waiting[0]) >= 4 * FOUND:
+            waiting = _added(waiting)
+            if len(waiting[0]) >= 2 * FOUND:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting], PAIR)
+                waiting = None
+    if waiting is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(waiting)], PAIR)
+
+
+def _added(pairs: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for each pair: its last places and the sum of its overlaps."""
+    a, b, _, _, at, o_at, _ = pairs
+    order = np.lexsort((o_at, at, b, a))
+    pairs = [c[order] for c in pairs]
+    new = (pairs[0][1:] != pairs[0][:-1]) | (pairs[1][1:] != pairs[1][:-1])
+    last = np.flatnonzero(np.append(new, len(a) > 0)[: len(a)])
+    overlap = np.add.reduceat(pairs[-1], np.append(0, last[:-1] + 1)) if len(last) else pairs[-1]
+    return [c[last] for c in pairs[:-1]] + [overlap]
+
+
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each (column, lo, hi) that may link; rows come sorted by these and by size.
+    """The pairs of each (column, lo, hi) that may link; rows come sorted by these within a home, then by size.
 
     The last product of a batch waits for the next batch: some BLOCK rows of either block.
     """
@@ -507,7 +556,7 @@ class _Sets:
         def run(batches):
             seen: set[int] = set()
             wanted = (b.filter(pa.array(_in_bits(b.column("key").to_numpy(), keys.value))) for b in batches)
-            for part in slices(wanted, "text"):
+            for part in slices(wanted, "text", SMALL_BYTES):
                 own = np.array([_node(s) for s in _sets(part, width)], dtype=np.int64)
                 take = _in_bits(own, nodes.value)
                 for i in np.flatnonzero(take).tolist():
@@ -532,7 +581,7 @@ class _Sets:
         width = self.width
 
         def run(batches):
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", SMALL_BYTES):
                 (other,) = slices([part.rows], "other", size=1 << 62)
                 good = []
                 for x, y in zip(_sets(part, width), _sets(other, width), strict=True):

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: for tasks that hold tables beside the slice, as numpy takes some fifty times its bytes
+SMALL_BYTES = 1 << 19
 _U = np.uint64
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from claimtrace.llm.text import NOT_SPACE, Words, mix, slices
+from claimtrace.llm.text import NOT_SPACE, SMALL_BYTES, Words, mix, slices
 from claimtrace.sources import written
 
 MAX_LABELS = 200_000
@@ -211,7 +211,7 @@ def _labelled(batches, known, held: bool):
         if not take.any():
             continue
         chosen = batch.filter(pa.array(take)).append_column("toxic_", pa.array(toxic[place[take]]))
-        for part in slices([chosen], "text"):
+        for part in slices([chosen], "text", SMALL_BYTES):
             yield part, np.asarray(part.rows.column("toxic_"))
 
 
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             top, n, found = _tops(part, m)
             p = m.probability(m.evidence(top, n))
             passages = []
@@ -273,7 +273,7 @@ def reject_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SMALL_BYTES):
             top, n, _ = _tops(part, m)
             yield part.rows.filter(pa.array(m.probability(m.evidence(top, n)) < cut))
 

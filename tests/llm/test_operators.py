@@ -114,6 +114,21 @@ def test_products_of_blocks(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 100
 
 
+def test_overlaps_are_added_up_in_the_task(spark, monkeypatch):
+    """Documents that share many columns are a pair once for each home, not for each column."""
+    rows = [(column, 0, node, 200, column) for column in range(40) for node in range(30)]
+    postings = spark.createDataFrame(rows, "column bigint, salt int, node bigint, n int, at int")
+    labels = spark.createDataFrame([(node, node) for node in range(30)], "node bigint, label bigint")
+    nodes = spark.createDataFrame([(node, [0] * 8) for node in range(30)], "node bigint, folded array<bigint>")
+    dealt = ngrams._dealt(ngrams._mixed(postings, labels)).join(nodes, "node")
+    dealt = dealt.repartition("home", "part", "lo", "hi").sortWithinPartitions("home", "column", "lo", "hi", "n")
+    met = dealt.select(*ngrams.PRODUCT).mapInArrow(ngrams._summed, "a bigint, b bigint, n int, o_n int, at int, o_at int, overlap bigint").collect()
+    assert len(met) == 30 * 29 // 2 and {(r.overlap, r.at, r.o_at) for r in met} == {(40, 39, 39)}
+    # a home of much work is several tasks'
+    monkeypatch.setattr(ngrams, "HOME_WORK", 1)
+    assert ngrams._mixed(postings, labels).select("home", "part").distinct().count() > 10
+
+
 def test_jaccard_of_nulls_and_nothing(spark, docs):
     assert ngrams.jaccard_components(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string")
