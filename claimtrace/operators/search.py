@@ -40,9 +40,13 @@ def tokenised(docs: DataFrame) -> DataFrame:
     every document does not make a large group anywhere. There are as many partitions as
     the text takes, so that a task's share does not grow with the table.
     """
+    return docs.select("doc_id", tokens("text").alias("tokens")).repartition(text_parts(docs), "doc_id")
+
+
+def text_parts(docs: DataFrame) -> int:
+    """Partitions for the text of ``docs``."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PART_CHARS))
-    return docs.select("doc_id", tokens("text").alias("tokens")).repartition(parts, "doc_id")
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PART_CHARS))
 
 
 def build_postings(docs: DataFrame) -> Index:

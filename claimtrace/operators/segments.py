@@ -1,11 +1,15 @@
 """A search index on disk that is updated by segments, as far as the changed documents go.
 
 An update writes the postings and lengths of changed documents as a segment; what earlier segments say
-of these documents is dead from then on, which marks in the segment record. Document
+of these documents is dead from then on, which marks in the segment record, for those documents that an earlier
+segment has. Document
 frequencies are kept by difference: one more for every term a changed document has now, one less for every term it had. The
-terms it had come from a forward table (document and its terms) dealt out by a hash of
+terms it had come from a forward table (document, its terms and how often each) dealt out by a hash of
 the document, of which only the buckets of changed documents are read. FAN segments of one tier are
 merged into one of the next, without what is dead.
+
+Text moves once, by document; buckets follow that partitioning, so the forward table is written where documents
+land, and postings are its rows taken apart, sorted by term within a file. Postings move when tiers are merged.
 """
 
 import uuid
@@ -13,15 +17,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.operators.search import Index, build_postings
+from claimtrace.functions import tokens
+from claimtrace.operators.search import Index, text_parts
 from claimtrace.sources import manifests
 from claimtrace.sources.storage import written
 
 FAN = 8
 BUCKETS = 256
+#: documents whose marks are broadcast, at most (some 64 bytes each); more are joined by document
+NEAR_MARKS = 2_000_000
 _POSTINGS = "doc_id bigint, term string, length int, tf bigint"
 _LENGTHS = "doc_id bigint, length int"
-_FORWARD = "doc_id bigint, terms array<string>, bucket int"
+_FORWARD = "doc_id bigint, length int, terms array<struct<term: string, tf: bigint>>, bucket int"
 _MARKS = "doc_id bigint"
 _TERMS = "term string, df bigint"
 
@@ -38,19 +45,22 @@ def update_index(spark: SparkSession, path: str, changed: DataFrame, removed: Da
     if removed is not None:
         ids = ids.unionByName(removed.select("doc_id"))
     ids = written(ids.distinct().withColumn("bucket", _bucket()), "changed-documents")
-    new = build_postings(changed)
-    postings = written(new.postings, "changed-postings")
-    gone = _old_terms(spark, path, segments, ids)
-    terms = postings.select("term", F.lit(1).alias("df")).unionByName(gone.select("term", F.lit(-1).alias("df")))
+    # what earlier segments say of these is dead; other documents need no mark
+    known = _read(spark, path, segments, "lengths", _LENGTHS).select(F.col("doc_id").alias("__id")).distinct()
+    old = written(ids.join(known, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), "known-documents")
+    number = 1 + max((s["number"] for s in segments), default=0)
+    folder = _folder(number, 0)
+    _forward(changed).write.partitionBy("bucket").parquet(f"{path}/{folder}/forward")
+    forward = spark.read.schema(_FORWARD).parquet(f"{path}/{folder}/forward")
+    gone = _old_terms(spark, path, segments, old)
+    terms = forward.select(F.explode("terms.term").alias("term"), F.lit(1).alias("df")).unionByName(gone.select("term", F.lit(-1).alias("df")))
     tables = {
-        "postings": postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"),
-        "lengths": new.lengths,
-        "forward": _forward(postings),
-        "marks": ids.select("doc_id"),
+        "postings": forward.select("doc_id", "length", F.inline("terms")).select("doc_id", "term", "length", "tf").sortWithinPartitions("term", "doc_id"),
+        "lengths": forward.select("doc_id", "length"),
+        "marks": old.select("doc_id"),
         "terms": _summed(terms),
     }
-    number = 1 + max((s["number"] for s in segments), default=0)
-    _write(spark, path, tables, number, 0, [])
+    _write(spark, path, folder, tables, number, 0, [])
     _merge_tiers(spark, path)
 
 
@@ -73,11 +83,19 @@ def _segments(spark: SparkSession, path: str) -> list[dict]:
 
 
 def _bucket():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    """The hash that partitions rows by doc_id, so that a partition of a power of two holds few buckets."""
+    return F.pmod(F.hash(F.col("doc_id").cast("bigint")), F.lit(BUCKETS)).cast("int")
 
 
-def _forward(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("doc_id").agg(F.collect_list("term").alias("terms")).withColumn("bucket", _bucket())
+def _forward(docs: DataFrame) -> DataFrame:
+    """Documents with their length and terms, counted where the text lands."""
+    parts = 1 << (text_parts(docs) - 1).bit_length()
+    words = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens("text").alias("tokens")).repartition(parts, "doc_id")
+    # outer: documents without terms stay
+    terms = words.select("doc_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    counted = terms.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return counted.groupBy("doc_id", "length").agg(F.collect_list(own).alias("terms")).withColumn("bucket", _bucket())
 
 
 def _summed(terms: DataFrame) -> DataFrame:
@@ -95,11 +113,19 @@ def _read(spark: SparkSession, path: str, segments: Sequence[dict], table: str,
 
 def _live(spark: SparkSession, path: str, segments: Sequence[dict], later: Sequence[dict], table: str, schema: str) -> DataFrame:
     """Rows that no later segment marks as dead; of marks there is a row per document changed since the last merges."""
-    rows = _read(spark, path, segments, table, schema)
-    marks = _read(spark, path, later, "marks", _MARKS).groupBy("doc_id").agg(F.max("__segment").alias("__dead"))
+    last = max((s["number"] for s in later), default=0)
+    rows = _read(spark, path, [s for s in segments if s["number"] < last], table, schema)
+    marks = _read(spark, path, later, "marks", _MARKS)
+    marks = _near(marks, marks.groupBy("doc_id").agg(F.max("__segment").alias("__dead")))
     # a null document is a document
     same = rows["doc_id"].eqNullSafe(marks["doc_id"]) & (marks["__dead"] > rows["__segment"])
-    return rows.join(marks, same, "left_anti")
+    # nothing is later than the last segment
+    return rows.join(marks, same, "left_anti").unionByName(_read(spark, path, [s for s in segments if s["number"] >= last], table, schema))
+
+
+def _near(counted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows``, broadcast if they are no more than NEAR_MARKS, so that postings and terms need not move."""
+    return F.broadcast(rows) if counted.count() <= NEAR_MARKS else rows
 
 
 def _old_terms(spark: SparkSession, path: str, segments: Sequence[dict], ids: DataFrame) -> DataFrame:
@@ -107,12 +133,16 @@ def _old_terms(spark: SparkSession, path: str, segments: Sequence[dict], ids: Da
     # at most BUCKETS numbers
     buckets = [r.bucket for r in ids.select("bucket").distinct().collect()]
     rows = _live(spark, path, segments, segments, "forward", _FORWARD).where(F.col("bucket").isin(buckets))
-    had = rows.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    own = _near(ids, ids.select(F.col("doc_id").alias("__id")))
+    had = rows.select("doc_id", F.col("terms.term").alias("terms")).join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return had.select(F.explode("terms").alias("term"))
 
 
-def _write(spark: SparkSession, path: str, tables: dict[str, DataFrame], number: int, tier: int, replaced: list[dict]) -> None:
-    folder = f"segments/{number}-{tier}-{uuid.uuid4().hex}"
+def _folder(number: int, tier: int) -> str:
+    return f"segments/{number}-{tier}-{uuid.uuid4().hex}"
+
+
+def _write(spark: SparkSession, path: str, folder: str, tables: dict[str, DataFrame], number: int, tier: int, replaced: list[dict]) -> None:
     for name, rows in tables.items():
         writer = rows.write
         if name == "forward":
@@ -149,5 +179,5 @@ def _merge_tiers(spark: SparkSession, path: str) -> None:
             "marks": _read(spark, path, own, "marks", _MARKS).select("doc_id").distinct(),
             "terms": _summed(_read(spark, path, own, "terms", _TERMS).select("term", "df")),
         }
-        _write(spark, path, tables, number, tier + 1, own)
+        _write(spark, path, _folder(number, tier + 1), tables, number, tier + 1, own)
         tier += 1

@@ -45,6 +45,15 @@ def test_an_update_reads_the_buckets_of_changed_documents_alone(spark, tmp_path)
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_new_documents_need_no_marks(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, f"alpha w{i}") for i in range(10)] + [(None, "alpha")], DOCS)
+    segments.update_index(spark, path, docs.where("doc_id < 5"))
+    segments.update_index(spark, path, docs.where("doc_id >= 4 or doc_id is null"))
+    marks = segments._read(spark, path, segments._segments(spark, path), "marks", segments._MARKS)
+    assert [(r.doc_id, r["__segment"]) for r in marks.collect()] == [(4, 2)]
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     assert segments.open_index(spark, str(tmp_path / "none")).postings.count() == 0
     segments.update_index(spark, str(tmp_path / "empty"), spark.createDataFrame([], DOCS))
