@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from tokenizers.pre_tokenizers import Split
 
 from claimtrace.llm.text import cut
 
-CACHE_WORDS = 200_000
-BATCH_BYTES = 2 << 20
+#: pieces known at once, and those of them that are kept when there are more
+CACHE_WORDS, KEPT_WORDS = 100_000, 1 << 15
+BATCH_BYTES = 1 << 20
 MAX_FILE_BYTES = 64 << 20
 #: longer pieces, in bytes, are merged exactly without a guess
 GUESS_BYTES = 64
@@ -307,6 +309,11 @@ class WordBpe:
             self.known_ids[piece] = " ".join([id_text[t] for t in ids])
             self.known_tokens[piece] = " ".join([tokens[t] for t in ids])
 
+    def rest(self) -> None:
+        """Forgets all but the pieces met first, mostly frequent ones."""
+        if len(self.known_ids) > KEPT_WORDS:
+            self.known_ids, self.known_tokens = (dict(islice(k.items(), KEPT_WORDS)) for k in (self.known_ids, self.known_tokens))
+
     # --- texts ----------------------------------------------------------------------------
 
     def split(self, text: str) -> list[str]:
@@ -330,7 +337,7 @@ class WordBpe:
         """Ids and tokens joined by single spaces, and the number of tokens, of each text."""
         split = [self.split(t) for t in texts]
         if len(self.known_ids) > CACHE_WORDS:
-            self.known_ids, self.known_tokens = {}, {}
+            self.rest()
         for s, i in self.specials.items():
             self.known_ids["\0" + s], self.known_tokens["\0" + s] = self.id_text[i], s
         new = set().union(*split).difference(self.known_ids)
@@ -348,11 +355,6 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
-def _loaded(file: str) -> WordBpe:
-    return WordBpe(file)
-
-
 def tokenizer_file(path: str) -> str:
     """The tokenizer file, read on the driver and handed to the tasks; its size is checked."""
     with open(path, "rb") as f:
@@ -377,7 +379,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     file = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches):
-        bpe = _loaded(file.value)
+        # nothing of it stays in the Python worker, which other operators' tasks use next
+        bpe = WordBpe(file.value)
         for part, texts in _batches(batches):
             ids = [list(map(int, found[0].split())) for found in bpe.encode_batch(texts)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -391,7 +394,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     file = encoded.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches):
-        bpe = _loaded(file.value)
+        bpe = WordBpe(file.value)
         for batch in batches:
             texts = [bpe.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -409,7 +412,7 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     file = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches):
-        bpe = _loaded(file.value)
+        bpe = WordBpe(file.value)
         for part, texts in _batches(batches):
             found = bpe.encode_batch(texts)
             ids = [pa.array([np.array(f[0].split(), dtype=np.int32) for f in found], pa.list_(pa.int32()))] if with_ids else []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from claimtrace.llm.graph import components
-from claimtrace.llm.text import NOT_SPACE, SMALL_BYTES, Words, mix, shingles, slices
+from claimtrace.llm.text import NOT_SPACE, SMALL_BYTES, Words, mix, shingles, slices, small_batches
 from claimtrace.sources import written
 
 WIDTH = 5
@@ -70,6 +70,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def _named(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Rows with the node of each, and the nodes with their component: label and component_id."""
     docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _found(docs, width)
+
+
+def _found(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     rows = written(_signatures(docs, width), "ngram-rows")
     nodes = written(
         rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.xxhash64(F.min("doc_id")).alias("key"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("folded").alias("folded")),

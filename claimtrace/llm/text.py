@@ -6,16 +6,23 @@ have equal 64-bit hashes; that different words or shingles share one is not to b
 (about one pair in 10^19) and is the only inexactness.
 """
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2 << 20
 #: for tasks that hold tables beside the slice, as numpy takes some fifty times its bytes
 SMALL_BYTES = 1 << 19
+#: rows of a batch in jobs that hold much beside it, at most
+SMALL_ROWS = 1000
 _U = np.uint64
+#: glibc hands back free memory in the middle of its heap only when asked
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +84,29 @@ class Slice:
         return self.rows.num_rows
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile hand over SMALL_ROWS rows at a time at most; the session's own setting comes back.
+
+    A batch of texts is there several times over, in the executor and in the Python worker. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    # none or less is no bound
+    spark.conf.set(name, min(int(before), SMALL_ROWS) if int(before) > 0 else SMALL_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine, as a Python worker outlives its tasks and would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def cut(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a part holds about ``size`` bytes of text, or one longer text."""
     for batch in batches:
@@ -87,6 +117,8 @@ def cut(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES)
             to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    give_back()
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[Slice]:

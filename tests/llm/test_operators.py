@@ -500,3 +500,27 @@ def test_pii_equals_plain_patterns(spark):
     assert [(r.doc_id, r.n_email, r.spans) for r in rows] == [(1, 1, "email:0:8"), (2, 0, ""), (2, 0, "")]
     assert rows[0].base_sha256 == hashlib.sha256(b"email:0:8").hexdigest()
     assert pii.pii_spans(frame).where("doc_id = 1").first().spans[0].value == "me@x.org"
+
+
+# --- memory of Python workers ---------------------------------------------------------------
+
+
+def test_jaccard_takes_texts_in_small_batches(spark, docs, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes, write = spark.conf.get(name), [], ngrams.written
+    monkeypatch.setattr(ngrams, "written", lambda df, path: sizes.append(int(spark.conf.get(name))) or write(df, path))
+    found = {r.doc_id: r.component_id for r in ngrams.jaccard_components(docs).collect()}
+    assert found[6] == found[5] and max(sizes) <= 1000
+    assert spark.conf.get(name) == before
+
+
+def test_bpe_forgets_rare_pieces_only(monkeypatch):
+    with open(TOKENIZER) as f:
+        ours = bpe.WordBpe(f.read())
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 60)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 40, raising=False)
+    first = ours.encode_batch(["the of and"])
+    many = [prose(i, 30, [f"{w}{i}" for w in WORDS]) for i in range(6)]
+    apart = [ours.encode_batch([t])[0] for t in many]
+    assert "the" in ours.known_ids and "the" in ours.known_tokens and len(ours.known_ids) < 120
+    assert ours.encode_batch(["the of and"]) == first and ours.encode_batch(many) == apart
