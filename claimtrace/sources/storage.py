@@ -59,12 +59,12 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="claimtrace-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     For a result that several later steps read: it is computed once, its plan ends
     here, and the files outlive the executors that wrote them.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

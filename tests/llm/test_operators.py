@@ -1,6 +1,7 @@
 """The text operators against plain versions, on small tables with nulls, ties and odd texts."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -385,6 +386,74 @@ def test_lm_slots_are_those_of_the_training_text(spark, monkeypatch, held):
     assert found == {key: lm._level(*np.array(n)) for key, n in wanted.items()}
 
 
+def lm_texts() -> dict:
+    odd = ["", None, " ", "a", "a b", " A  bb c\td ", "é", "漢字 é x", "x" * 200, "a a a a a", "b" * 70 + " " + "b" * 65]
+    return dict(enumerate(odd + [prose(i, 20 + i) for i in range(50)] + [prose(3, 23)] * 3))
+
+
+@pytest.mark.parametrize("size", [None, 300])
+def test_lm_scores_are_those_of_whole_texts(spark, monkeypatch, size):
+    """Pieces give each text the sum that its symbols have one by one in their contexts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from claimtrace.llm.text import NOT_SPACE, Slice, Words
+
+    if size:
+        monkeypatch.setattr(lm, "SLICE", size)
+        monkeypatch.setattr(lm, "PIECES_SLICE", size)
+        monkeypatch.setattr(lm, "HEAD", 20)
+    models, trained = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *args: models.append(trained(*args)) or models[-1])
+    texts = lm_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in lm.score(docs).collect()}
+    model = models[0]
+    levels = {}
+    for row in model.slots.collect():
+        levels |= {(row.chunk >> model.chunk_bits, s): x for s, x in zip(np.frombuffer(row.slots, np.uint32).tolist(), row.levels, strict=True)}
+    assert len(found) == len(texts)
+    for i, text in texts.items():
+        part = Slice(pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())}), "text")
+        data, first = lm.symbols(part, Words(part, NOT_SPACE))
+        contexts, total = lm._contexts(data, first), 0.0
+        for j, byte in enumerate(data.tolist()):
+            for at in range(model.code.start[byte], model.code.start[byte] + model.code.size[byte]):
+                cell = 0
+                for k in range(lm.CONTEXTS):
+                    cell = cell * lm.LEVELS + levels.get((k, int(contexts[k][j] ^ model.code.node[at])), 0)
+                total += model.log_p[cell, model.code.bit[at]]
+        assert found[i].score == pytest.approx(total), text
+        assert found[i].bits_per_byte == pytest.approx(-total / math.log10(2) / len(data))
+
+
+def test_lm_learns_from_texts_in_their_order():
+    import numpy as np
+    import pyarrow as pa
+
+    from claimtrace.llm.text import NOT_SPACE, Slice, Words
+
+    part = Slice(pa.RecordBatch.from_pydict({"text": pa.array(list(lm_texts().values()), pa.string())}), "text")
+    pieces, first, size = lm._in_text(part)
+    data, starts = lm.symbols(part, Words(part, NOT_SPACE))
+    symbol = np.concatenate([np.arange(a, a + n) for a, n in zip(first, size, strict=True)])
+    assert np.array_equal(pieces.symbols[symbol], data)
+    for own, whole in zip(pieces.contexts, lm._contexts(data, starts), strict=True):
+        assert np.array_equal(own[symbol], whole)
+
+
+def test_lm_asks_no_more_for_copies_of_texts(spark):
+    """Slots are asked for by distinct pieces; asked for by texts, their number grew with the copies."""
+    asked = []
+    for copies in (1, 6):
+        rows = [(i + 1000 * c, prose(i, 40)) for c in range(copies) for i in range(30)]
+        docs = lm._fold(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6))
+        model = lm.train(docs, lm.word_counts(docs.where(F.col("fold") != lm.HELD_OUT)))
+        # each slot that is asked for has a level; bounded by a slice for each task, whichever task the pieces are in
+        asked.append(model.pieces.agg(F.sum(F.length("levels"))).first()[0])
+    assert asked[1] < 1.5 * asked[0]
+
+
 def test_lm_probabilities_of_a_decision_add_up():
     import numpy as np
 
