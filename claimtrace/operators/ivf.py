@@ -19,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.operators.vectors import HITS, _as_batch, _hits, _ranked, _unit_rows, _usable, _width, vector_topk
+from claimtrace.operators.vectors import HITS, _as_batch, _directions, _hits, _merged, _no_hits, _ranked, _usable, _width, vector_topk
 from claimtrace.sources.storage import read_rows, write_rows, written
 
 #: rows that the centres are learned from, and rows that recall is measured on, at most
@@ -29,6 +29,10 @@ MEASURED_ROWS = 256
 CENTRE_BYTES = 64 << 20
 #: vectors (and queries) of one list that one task compares, in bytes
 CELL_BYTES = 64 << 20
+#: and in rows, as time grows with their product
+CELL_ROWS = 1 << 15
+#: queries that are compared at once with all lists that any of them looks into
+QUERIES_AT_ONCE = 256
 
 
 class IvfIndex(NamedTuple):
@@ -64,7 +68,7 @@ def build_ivf(
         centres = centres[length > 0] / length[length > 0, None]
     else:
         centres = np.zeros((1, width or 0))
-    listed = written(_listed(rows, centres, 1).select("id", "vector", "list"), "ivf-lists")
+    listed = written(_listed(rows, centres), "ivf-lists")
     index = IvfIndex(centres, len(centres), listed)
     return index._replace(probes=_probes(index, k, recall, seed))
 
@@ -87,32 +91,96 @@ def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
 def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """About the ``k`` nearest vectors per query: query_id, doc_id, score and rank.
 
-    Queries meet the vectors of their lists only. A list's vectors and queries are dealt over
-    cells of bounded size, so no list, however full or often asked for, makes a large task.
-    With as many probes as lists the result is that of the exact search.
+    Queries meet the vectors of their lists only. Lists are put together to groups of bounded size, and a query goes to a
+    group once, with a bit for each list of the group that it looks into: its copies grow with the groups, not with the lists.
+    A list that is too full for a group is dealt over several, and queries are dealt over cells, so no list, however full or
+    often asked for, makes a large task. With as many probes as lists the result is that of the exact search.
     """
     width = index.centres.shape[1]
     if not width:
         return _ranked(queries.sparkSession.createDataFrame([], HITS), k)
-    asked = _listed(_usable(queries, width), index.centres, min(probes or index.probes, len(index.centres)))
-    per_cell = max(1, CELL_BYTES // (8 * width))
-
-    def cells(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias(name))
-
+    per_cell = max(1, min(CELL_ROWS, CELL_BYTES // (8 * width)))
     # a row per list, of which there are as many as broadcast centres
-    sizes = F.broadcast(cells(index.rows, "__vs").join(cells(asked, "__qs"), "list"))
-
-    def placed(rows: DataFrame, own: str, other: str) -> DataFrame:
-        dealt = rows.join(sizes, "list").withColumn(own, F.pmod(F.xxhash64("id"), f"{own}s").cast("int"))
-        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).select("id", "vector", "list", "__v", "__q")
+    full = np.zeros(len(index.centres), dtype=np.int64)
+    for row in index.rows.groupBy("list").count().collect():
+        full[row["list"]] = row["count"]
+    group, parts = _grouped(full, per_cell)
+    usable = _usable(queries, width)
+    cells = max(1, -(-usable.count() // per_cell))
+    places = queries.sparkSession.createDataFrame([(i, int(g), int(p)) for i, (g, p) in enumerate(zip(group, parts, strict=True))], "list int, __g int, __parts int")
+    vectors = (
+        index.rows.join(F.broadcast(places), "list")
+        .withColumn("__g", (F.col("__g") + F.pmod(F.xxhash64("id"), "__parts")).cast("int"))
+        .withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        .select("id", "vector", "list", "__g", "__q")
+    )
+    asked = _asked(usable, index.centres, min(probes or index.probes, len(index.centres)), group, parts)
+    asked = asked.withColumn("__q", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
+    lists_of = _spans(group, parts)
+
+    def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        low, high = lists_of[key[0].as_py()]
+        ids, matrix, kept = _directions(left)
+        of = left.column("list").to_numpy()[kept] - low
+        query_ids, wanted, whole = _directions(right)
+        bits = np.frombuffer(b"".join(right.column("asked").to_pylist()), np.uint8).reshape(right.num_rows, -1)[whole]
+        looks = np.unpackbits(bits, axis=1, count=high - low).astype(bool)
+        # those whose nearest list is the same look into much the same lists
+        order = np.argsort(right.column("list").to_numpy()[whole], kind="stable")
+        found = _no_hits()
+        for at in range(0, len(order), QUERIES_AT_ONCE):
+            part = order[at : at + QUERIES_AT_ONCE]
+            any_of = looks[part].any(axis=0)
+            among = slice(None) if any_of.all() else np.flatnonzero(any_of[of])
+            found = _merged(found, _hits((query_ids[part], wanted[part]), (ids[among], matrix[among]), k, QUERIES_AT_ONCE, (looks[part], of[among])))
+        return pa.Table.from_batches([_as_batch(found)])
+
+    cell = ["__g", "__q"]
+    return _ranked(vectors.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(nearest, HITS), k)
+
+
+def _grouped(sizes: np.ndarray, per_cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (first) group of each list, and over how many groups its vectors are dealt; lists of a group follow each other."""
+    group, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // per_cell))
+    last, room = -1, 0
+    for i, (n, dealt) in enumerate(zip(sizes.tolist(), parts.tolist(), strict=True)):
+        if dealt > 1 or n > room or last < 0:
+            group[i], last, room = last + 1, last + dealt, per_cell if dealt == 1 else 0
+        else:
+            group[i] = last
+        room = max(0, room - n)
+    return group, parts
+
+
+def _spans(group: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """First and last list (plus one) of each group."""
+    numbers = np.arange(int((group + parts).max()))
+    low = np.searchsorted(group + parts, numbers, side="right")
+    return list(zip(low.tolist(), np.searchsorted(group, numbers, side="right").tolist(), strict=True))
+
+
+def _asked(queries: DataFrame, centres: np.ndarray, probes: int, group: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """Each query once for each group (``__g``) that has lists it looks into: these as bits, and its nearest list."""
+    shared = queries.sparkSession.sparkContext.broadcast((centres, _spans(group, parts)))
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_as_batch(_hits(_unit_rows(right), _unit_rows(left), k))])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, spans = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                order = _order(own, _matrix(part))[:, :probes]
+                looks = np.zeros((part.num_rows, len(own)), dtype=bool)
+                np.put_along_axis(looks, order, True, axis=1)
+                for g, (low, high) in enumerate(spans):
+                    rows = np.flatnonzero(looks[:, low:high].any(axis=1))
+                    if not len(rows):
+                        continue
+                    bits = np.packbits(looks[rows, low:high], axis=1)
+                    columns = [part.column(c).take(pa.array(rows)) for c in ("id", "vector")]
+                    columns += [pa.array(order[rows, 0], pa.int32()), pa.array(np.full(len(rows), g), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "list", "__g", "asked"])
 
-    cell = ["list", "__v", "__q"]
-    met = placed(index.rows, "__v", "__q").groupBy(*cell).cogroup(placed(asked, "__q", "__v").groupBy(*cell))
-    return _ranked(met.applyInArrow(nearest, HITS), k)
+    return queries.select("id", "vector").mapInArrow(place, "id bigint, vector array<double>, list int, __g int, asked binary")
 
 
 def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -123,20 +191,17 @@ def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
     )
 
 
-def _listed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """Each row once for each of the ``probes`` lists whose centres are nearest."""
+def _listed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Each row with the list whose centre is nearest."""
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                order = _order(shared.value, _matrix(part))[:, :probes]
-                again = np.repeat(np.arange(part.num_rows), order.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(again)), part.column("vector").take(pa.array(again)), pa.array(order.ravel(), pa.int32())],
-                    ["id", "vector", "list"],
-                )
+                # ties go to the smaller number
+                nearest = np.argmax(_matrix(part) @ shared.value.T, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), pa.array(nearest, pa.int32())], ["id", "vector", "list"])
 
     return rows.select("id", "vector").mapInArrow(place, "id bigint, vector array<double>, list int")
 

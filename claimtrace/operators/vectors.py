@@ -159,15 +159,20 @@ def _signs(tables: int, bits: int, seed: int):
 
 def _unit_rows(rows) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of length 1 from Arrow rows; zero vectors are left out."""
+    return _directions(rows)[:2]
+
+
+def _directions(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and which rows are not left out."""
     table = pa.Table.from_batches([rows]) if isinstance(rows, pa.RecordBatch) else rows
     ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False)
     if not len(ids):
-        return ids.astype(np.int64), np.empty((0, 0))
+        return ids.astype(np.int64), np.empty((0, 0)), np.zeros(0, dtype=bool)
     values = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     matrix = values.reshape(len(ids), -1)
     norms = np.linalg.norm(matrix, axis=1)
     kept = norms > 0
-    return ids[kept], matrix[kept] / norms[kept, None]
+    return ids[kept], matrix[kept] / norms[kept, None], kept
 
 
 def _no_hits():
@@ -178,11 +183,12 @@ def _merged(a, b):
     return tuple(np.concatenate(pair) for pair in zip(a, b, strict=True))
 
 
-def _hits(asked, among, k: int, rows_at_once: int = 256):
+def _hits(asked, among, k: int, rows_at_once: int = 256, lists=None):
     """The ``k`` best of ``among`` for each of ``asked``, as (query ids, doc ids, scores).
 
     Scores are made in tiles of ``rows_at_once`` queries and TILE_ROWS vectors, so what is held does not grow
     with either side. A tile gives up only scores that may be among the best so far; those alone are rounded.
+    ``lists`` are which lists each query looks into (a row of booleans) and the list of each vector.
     """
     (query_ids, wanted), (ids, matrix) = asked, among
     found = []
@@ -195,9 +201,13 @@ def _hits(asked, among, k: int, rows_at_once: int = 256):
             scores = rows @ matrix[at : at + TILE_ROWS].T
             if at == 0 and k < len(near):
                 scores[part[:, None] == near[None, :]] = -np.inf
+                if lists is not None:
+                    scores[~lists[0][start : start + rows_at_once, lists[1][:TILE_ROWS]]] = -np.inf
                 least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - ROUNDED
             q, d = np.nonzero(scores >= least[:, None])
             kept = (part[q] != near[d]) & np.isfinite(scores[q, d])
+            if lists is not None:
+                kept &= lists[0][start + q, lists[1][at + d]]
             q, d = q[kept], d[kept]
             best = _best(_merged(best, (q, near[d], np.round(scores[q, d], 4))), k)
             n = np.bincount(best[0], minlength=len(part))

@@ -68,3 +68,29 @@ def test_odd_vectors(spark):
         assert ivf.ivf_topk(small, frame, 2, probes=len(small.centres)).count() == vector_topk(few, frame, 2).count()
     with pytest.raises(Exception, match="not a vector of 2 numbers"):
         ivf.build_ivf(spark.createDataFrame([*rows, (9, [1.0])], VECTOR), 2)
+
+
+def test_a_query_is_copied_by_groups_of_lists(clustered, monkeypatch):
+    """Copies grew with the lists that a query looks into, faster than the vectors."""
+    index = ivf.build_ivf(clustered, 5, lists=40)
+    sent = []
+    place = ivf._asked
+    monkeypatch.setattr(ivf, "_asked", lambda *args: sent.append(place(*args)) or sent[-1])
+    for rows, groups in ((ivf.CELL_ROWS, 1), (400, 12)):
+        monkeypatch.setattr(ivf, "CELL_ROWS", rows)
+        for probes in (10, len(index.centres)):
+            assert ivf.ivf_topk(index, clustered, 5, probes=probes).count() == 1500 * 5
+            n = sent[-1].count()
+            assert 1500 <= n <= 1500 * groups
+            assert sent[-1].select("id", "__g").distinct().count() == n
+
+
+def test_groups_of_lists_are_bounded():
+    sizes = np.array([0, 3, 4, 20, 0, 9, 1, 10, 11, 2, 0])
+    group, parts = ivf._grouped(sizes, 10)
+    spans = ivf._spans(group, parts)
+    for i, n in enumerate(sizes):
+        assert all(low <= i < high for low, high in spans[group[i] : group[i] + parts[i]]) and n <= 10 * parts[i]
+    for g, (low, high) in enumerate(spans):
+        assert high > low and (sizes[low:high] / parts[low:high]).sum() <= 10
+        assert all(group[i] <= g < group[i] + parts[i] for i in range(low, high))
