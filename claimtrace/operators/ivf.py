@@ -1,6 +1,6 @@
 """Approximate nearest documents by cosine similarity: a trained coarse quantiser with inverted lists.
 
-Directions are clustered by Spark's k-means on a bounded sample; every vector goes to the list
+Directions are clustered by k-means on a bounded sample; every vector goes to the list
 of its nearest centre, and a query looks into the lists whose centres are nearest to it
 (Jegou, Douze and Schmid, 2011). How many lists that takes for the wanted recall is
 measured against exact search when the index is built, on a bounded sample of the vectors as
@@ -16,23 +16,26 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimtrace.operators.vectors import HITS, _as_batch, _directions, _hits, _merged, _no_hits, _ranked, _usable, _width, vector_topk
+from claimtrace.operators.vectors import HITS, _as_batch, _directions, _Nearest, _placed, _ranked, _side, _usable, _width, vector_topk
 from claimtrace.sources.storage import read_rows, write_rows, written
 
 #: rows that the centres are learned from, and rows that recall is measured on, at most
 TRAINED_ROWS = 200_000
 MEASURED_ROWS = 256
+#: iterations of k-means at most; it ends before if no centre moves further than this
+ITERATIONS = 10
+MOVED = 1e-4
 #: centres are broadcast; there are never more than fit here
 CENTRE_BYTES = 64 << 20
 #: vectors (and queries) of one list that one task compares, in bytes
 CELL_BYTES = 64 << 20
 #: and in rows, as time grows with their product
-CELL_ROWS = 1 << 15
-#: queries that are compared at once with all lists that any of them looks into
-QUERIES_AT_ONCE = 256
+CELL_ROWS = 1 << 17
 
 
 class IvfIndex(NamedTuple):
@@ -59,16 +62,16 @@ def build_ivf(
     sample = rows.where(norm > 0).orderBy(F.xxhash64("id", F.lit(seed))).limit(TRAINED_ROWS)
     if lists is None:
         lists = max(1, min(math.ceil(4 * math.sqrt(rows.count())), CENTRE_BYTES // (8 * (width or 1))))
-    points = written(sample, "ivf-sample").select(array_to_vector("vector").alias("features"))
+    directions = Normalizer(inputCol="__vector", outputCol="features").transform(sample.withColumn("__vector", array_to_vector("vector")))
+    # a limit leaves one partition
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    points = written(directions.select("id", vector_to_array("features").alias("vector")).repartition(cores), "ivf-sample")
     n = points.count()
     if n > 1:
-        model = KMeans(k=max(2, min(lists, n)), distanceMeasure="cosine", initSteps=2, maxIter=10, seed=seed).fit(points)
-        centres = np.array(model.clusterCenters())
-        length = np.linalg.norm(centres, axis=1)
-        centres = centres[length > 0] / length[length > 0, None]
+        centres = _trained(points, max(2, min(lists, n)), seed)
     else:
         centres = np.zeros((1, width or 0))
-    listed = written(_listed(rows, centres), "ivf-lists")
+    listed = written(_listed(rows.repartition("id"), centres), "ivf-lists")
     index = IvfIndex(centres, len(centres), listed)
     return index._replace(probes=_probes(index, k, recall, seed))
 
@@ -104,9 +107,11 @@ def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, probes: int | None = N
     full = np.zeros(len(index.centres), dtype=np.int64)
     for row in index.rows.groupBy("list").count().collect():
         full[row["list"]] = row["count"]
-    group, parts = _grouped(full, per_cell)
     usable = _usable(queries, width)
-    cells = max(1, -(-usable.count() // per_cell))
+    n = usable.count()
+    side = _side(queries, n, int(full.sum()), per_cell)
+    group, parts = _grouped(full, side)
+    cells = max(1, -(-n // side))
     places = queries.sparkSession.createDataFrame([(i, int(g), int(p)) for i, (g, p) in enumerate(zip(group, parts, strict=True))], "list int, __g int, __parts int")
     vectors = (
         index.rows.join(F.broadcast(places), "list")
@@ -114,28 +119,29 @@ def ivf_topk(index: IvfIndex, queries: DataFrame, k: int, probes: int | None = N
         .withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
         .select("id", "vector", "list", "__g", "__q")
     )
-    asked = _asked(usable, index.centres, min(probes or index.probes, len(index.centres)), group, parts)
+    asked = _asked(usable.repartition("id"), index.centres, min(probes or index.probes, len(index.centres)), group, parts)
     asked = asked.withColumn("__q", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
     lists_of = _spans(group, parts)
 
     def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.schema({"query_id": pa.int64(), "doc_id": pa.int64(), "score": pa.float64()}).empty_table()
         low, high = lists_of[key[0].as_py()]
         ids, matrix, kept = _directions(left)
         of = left.column("list").to_numpy()[kept] - low
+        order = np.lexsort((ids, of))
+        ids, matrix, starts = ids[order], matrix[order], np.searchsorted(of[order], np.arange(high - low + 1))
         query_ids, wanted, whole = _directions(right)
-        bits = np.frombuffer(b"".join(right.column("asked").to_pylist()), np.uint8).reshape(right.num_rows, -1)[whole]
-        looks = np.unpackbits(bits, axis=1, count=high - low).astype(bool)
-        # those whose nearest list is the same look into much the same lists
-        order = np.argsort(right.column("list").to_numpy()[whole], kind="stable")
-        found = _no_hits()
-        for at in range(0, len(order), QUERIES_AT_ONCE):
-            part = order[at : at + QUERIES_AT_ONCE]
-            any_of = looks[part].any(axis=0)
-            among = slice(None) if any_of.all() else np.flatnonzero(any_of[of])
-            found = _merged(found, _hits((query_ids[part], wanted[part]), (ids[among], matrix[among]), k, QUERIES_AT_ONCE, (looks[part], of[among])))
-        return pa.Table.from_batches([_as_batch(found)])
-
-    cell = ["__g", "__q"]
+        bits = np.frombuffer(b"".join(right.column("asked").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+        bits = np.ascontiguousarray(bits[whole].T)
+        best = _Nearest((query_ids, wanted), k)
+        for i, (start, end) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+            if start < end:
+                best.offer(ids[start:end], matrix[start:end], np.flatnonzero(bits[i >> 3] & (128 >> (i & 7))))
+        return pa.Table.from_batches([_as_batch(best.found())])
+
+    cell, groups = ["__g", "__q"], len(lists_of)
+    vectors, asked = (_placed(rows, cell, groups * cells) for rows in (vectors, asked))
     return _ranked(vectors.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(nearest, HITS), k)
 
 
@@ -160,7 +166,7 @@ def _spans(group: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _asked(queries: DataFrame, centres: np.ndarray, probes: int, group: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """Each query once for each group (``__g``) that has lists it looks into: these as bits, and its nearest list."""
+    """Each query once for each group (``__g``) that has lists it looks into: these as bits."""
     shared = queries.sparkSession.sparkContext.broadcast((centres, _spans(group, parts)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,19 +174,47 @@ def _asked(queries: DataFrame, centres: np.ndarray, probes: int, group: np.ndarr
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                order = _order(own, _matrix(part))[:, :probes]
-                looks = np.zeros((part.num_rows, len(own)), dtype=bool)
-                np.put_along_axis(looks, order, True, axis=1)
+                near = _matrix(part) @ own.T
+                # lists as near as the last are looked into too
+                looks = near >= np.partition(near, -probes, axis=1)[:, -probes, None]
                 for g, (low, high) in enumerate(spans):
                     rows = np.flatnonzero(looks[:, low:high].any(axis=1))
                     if not len(rows):
                         continue
                     bits = np.packbits(looks[rows, low:high], axis=1)
                     columns = [part.column(c).take(pa.array(rows)) for c in ("id", "vector")]
-                    columns += [pa.array(order[rows, 0], pa.int32()), pa.array(np.full(len(rows), g), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "list", "__g", "asked"])
+                    columns += [pa.array(np.full(len(rows), g), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "__g", "asked"])
 
-    return queries.select("id", "vector").mapInArrow(place, "id bigint, vector array<double>, list int, __g int, asked binary")
+    return queries.select("id", "vector").mapInArrow(place, "id bigint, vector array<double>, __g int, asked binary")
+
+
+def _trained(points: DataFrame, lists: int, seed: int) -> np.ndarray:
+    """Centres of unit vectors by k-means with cosines: Spark's own start, then iterations as matrix products.
+
+    Spark's iterations with cosines compare all centres with each other, in up to 1,024 tasks each time; its block solver
+    knows distances only and fails where the start has fewer centres than asked for.
+    """
+    features = points.select(array_to_vector("vector").alias("features"))
+    model = KMeans(k=lists, distanceMeasure="cosine", initSteps=2, maxIter=0, seed=seed).fit(features)
+    centres = _unit(np.array(model.clusterCenters()))
+    for _ in range(ITERATIONS):
+        means = _listed(points, centres).groupBy("list").agg(Summarizer.mean(array_to_vector("vector")).alias("mean"))
+        # a row per list, of which there are as many as broadcast centres
+        rows = means.select("list", vector_to_array("mean").alias("vector")).toArrow()
+        moved = centres.copy()
+        for batch in rows.to_batches():
+            moved[batch.column("list").to_numpy()] = _matrix(batch)
+        before, centres = centres, _unit(moved)
+        if np.linalg.norm(centres - before, axis=1).max() <= MOVED:
+            break
+    return centres
+
+
+def _unit(centres: np.ndarray) -> np.ndarray:
+    """Centres of length 1; those of opposite directions may have none."""
+    length = np.linalg.norm(centres, axis=1, keepdims=True)
+    return centres / np.where(length > 0, length, 1)
 
 
 def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:

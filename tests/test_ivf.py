@@ -94,3 +94,34 @@ def test_groups_of_lists_are_bounded():
     for g, (low, high) in enumerate(spans):
         assert high > low and (sizes[low:high] / parts[low:high]).sum() <= 10
         assert all(group[i] <= g < group[i] + parts[i] for i in range(low, high))
+
+
+def test_centres_are_trained_in_many_tasks(clustered, monkeypatch):
+    """The sample lay in one partition, and each iteration compared all centres in a task a centre."""
+    kept, write = {}, ivf.written
+    monkeypatch.setattr(ivf, "written", lambda rows, name: kept.setdefault(name, write(rows, name)))
+    tracker = clustered.sparkSession.sparkContext.statusTracker()
+    context = clustered.sparkSession.sparkContext
+    context.setJobGroup("ivf-trained", "centres")
+    try:
+        ivf.build_ivf(clustered, 5, lists=700)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert kept["ivf-sample"].rdd.getNumPartitions() > 1
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("ivf-trained")]
+    stages = [tracker.getStageInfo(i) for job in jobs if job for i in job.stageIds]
+    assert stages and max(s.numTasks for s in stages if s) < 100
+
+
+def test_cells_give_every_core_work(clustered, monkeypatch):
+    monkeypatch.setattr(ivf, "_side", lambda rows, queries, found, most: min(most, 200))
+    index = ivf.build_ivf(clustered, 5, lists=40)
+    found = ivf.ivf_topk(index, clustered, 5)
+    monkeypatch.undo()
+    assert spark_rows(found) == spark_rows(ivf.ivf_topk(index, clustered, 5))
+
+
+def test_centres_of_opposite_directions(spark):
+    rows = _vectors(spark, [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]])
+    index = ivf.build_ivf(rows, 1)
+    assert spark_rows(ivf.ivf_topk(index, rows, 1, probes=len(index.centres))) == spark_rows(vector_topk(rows, rows, 1))

@@ -236,3 +236,45 @@ def test_hits_hold_one_tile_of_scores_at_a_time(monkeypatch):
     small = vectors._hits((ids[:9], matrix[:9]), (ids[:40], matrix[:40]), 5)
     monkeypatch.setattr(vectors, "TILE_ROWS", 4096)
     assert all(np.array_equal(a, b) for a, b in zip(small, vectors._hits((ids[:9], matrix[:9]), (ids[:40], matrix[:40]), 5), strict=True))
+
+
+def test_hits_of_scores_closer_than_floats_tell():
+    """Scores are made as floats first; what they leave out must not be among the best as doubles."""
+    rng = np.random.default_rng(6)
+    matrix = np.repeat(rng.standard_normal((20, 24)), 100, axis=0) + 2e-3 * rng.standard_normal((2000, 24))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    ids = rng.permutation(2000)
+    scores = np.round(matrix @ matrix.T, 4)
+    nearest = vectors._Nearest((ids, matrix), 7)
+    for start in range(0, 2000, 130):
+        nearest.offer(ids[start : start + 130], matrix[start : start + 130])
+    found = nearest.found()
+    for row in range(0, 2000, 9):
+        order = np.lexsort((ids, -scores[row]))
+        first = order[order != row][:7]
+        mine = found[0] == ids[row]
+        assert found[1][mine].tolist() == ids[first].tolist() and np.array_equal(found[2][mine], scores[row][first])
+
+
+def test_copies_are_merged_once(monkeypatch):
+    """Every copy of one vector equals the k-th best and was sorted in again, tile by tile."""
+    merged, merge = [], vectors._Nearest._merge
+    monkeypatch.setattr(vectors._Nearest, "_merge", lambda self, rows, q, *hits: merged.append(len(q)) or merge(self, rows, q, *hits))
+    monkeypatch.setattr(vectors, "TILE_ROWS", 50)
+    ids, matrix = np.arange(1000)[::-1], np.full((1000, 4), 0.5)
+    found = vectors._hits((ids[:10], matrix[:10]), (ids, matrix), 3)
+    assert found[1].tolist() == [0, 1, 2] * 10
+    assert sum(merged) == 10 * 50
+
+
+def test_blocks_give_every_core_work(spark, monkeypatch):
+    """All vectors of a block met all queries of a block in one task, on however many cores."""
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 20)
+    cells, within = [], vectors._within_cells
+    monkeypatch.setattr(vectors, "_within_cells", lambda *args: cells.append(args[-1]) or within(*args))
+    rng = np.random.default_rng(8)
+    rows = _vectors(spark, rng.standard_normal((200, 4)))
+    exact = spark_rows(vectors.vector_topk(rows, rows, 3))
+    assert not cells
+    assert spark_rows(vectors.vector_topk(rows, rows, 3, block_bytes=8 * 4 * 199)) == exact
+    assert cells[0] >= 2 * spark.sparkContext.defaultParallelism
