@@ -218,8 +218,11 @@ def _unit(centres: np.ndarray) -> np.ndarray:
 
 
 def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: n_queries, n_neighbours of the exact result, and n_found of them that ``found`` has."""
-    pairs = found.select("query_id", "doc_id", F.lit(1).alias("__hit"))
+    """One row: n_queries, n_neighbours of the exact result, and n_found of them that ``found`` has.
+
+    Ids may repeat, and so may a pair of them.
+    """
+    pairs = found.select("query_id", "doc_id").distinct().withColumn("__hit", F.lit(1))
     return exact.join(pairs, ["query_id", "doc_id"], "left").agg(
         F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbours"), F.count("__hit").alias("n_found")
     )

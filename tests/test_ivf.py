@@ -125,3 +125,10 @@ def test_centres_of_opposite_directions(spark):
     rows = _vectors(spark, [[1.0, 0.0], [-1.0, 0.0], [0.0, 0.0]])
     index = ivf.build_ivf(rows, 1)
     assert spark_rows(ivf.ivf_topk(index, rows, 1, probes=len(index.centres))) == spark_rows(vector_topk(rows, rows, 1))
+
+
+def test_recall_counts_each_neighbour_once(spark):
+    """A pair that was found twice made two neighbours of each in the exact result."""
+    exact = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 1)], "query_id bigint, doc_id bigint")
+    found = spark.createDataFrame([(1, 2), (1, 2), (4, 1), (4, 5)], "query_id bigint, doc_id bigint")
+    assert tuple(ivf.recall_at(found, exact).first()) == (2, 4, 3)
